@@ -167,6 +167,12 @@ def decontaminate(
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The documents that are not contaminated, with all their columns; of an id with a contaminated text no row stays."""
+    bad = decontaminate(docs, benchmark, text=text, doc_id=doc_id).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad")), "left_anti")
+
+
 #: The same in DuckDB's SQL, by comparing all windows.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import decontam, licenses
+from sparkloom.llm import chat, decontam, licenses, order_minhash, pii, quality, secrets, urls
 from sparkloom.llm._base import table
 from sparkloom.llm.mixing import mix_sources
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -17,17 +21,47 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_report(table(spark, sf_dir, "conversations"))
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
-    "op2_mixing": op2_mixing,
-    "op3_decontamination": op3_decontamination,
-    "op9_licenses": op9_licenses,
+    f.__name__: f
+    for f in (
+        op1_pii,
+        op2_mixing,
+        op3_decontamination,
+        op5_quality,
+        op6_chat,
+        op7_urls,
+        op8_near_duplicates,
+        op9_licenses,
+        op10_secrets,
+    )
 }
 
 ORACLES: dict[str, str] = {
     "op3_decontamination": decontam.ORACLE,
+    "op6_chat": chat.ORACLE,
     "op9_licenses": licenses.oracle(),
 }
