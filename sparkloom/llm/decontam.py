@@ -123,7 +123,8 @@ def decontaminate(
     A word is hit if it lies inside an occurrence of ``window`` consecutive
     words of an item (or of a whole item that has fewer). A document is
     contaminated if ``n_hit > 0`` and ``share * n_hit >= n_words``. Null texts
-    have no words; items without words never match. Rows that repeat a doc_id
+    have no words; items without words never match, and an item with a null id
+    hits words but is neither counted nor listed. Rows that repeat a doc_id
     stay separate rows: equal texts get equal results, and rows of one id with
     different texts are told apart by their text's digest. A null doc_id is an
     id like any other. An empty benchmark hits nothing. Only the named columns

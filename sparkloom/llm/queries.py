@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import chat, decontam, licenses, order_minhash, pii, quality, secrets, urls
+from sparkloom.llm import chat, decontam, licenses, order_minhash, pii, quality, secrets, suffix_array, urls
 from sparkloom.llm._base import table
 from sparkloom.llm.mixing import mix_sources
 
@@ -21,6 +21,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.remove_repeats(table(spark, sf_dir, "documents"), texts=False).drop("kept")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +55,7 @@ QUERIES = {
         op1_pii,
         op2_mixing,
         op3_decontamination,
+        op4_repeats,
         op5_quality,
         op6_chat,
         op7_urls,

@@ -74,8 +74,9 @@ def train(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -
     """Log ratio for each character pair, and the threshold.
 
     Labelled rows are documents with a contract secret (random strings) and
-    the words of at least six letters in the same sample (identifiers). With
-    no secret in the sample, random strings count as uniform.
+    the words of letters, with a few digits after them, in the same sample
+    (identifiers). With no secret in the sample, random strings count as
+    uniform. The threshold lies above all but one in a thousand identifiers.
     """
     order = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     hashed = docs.select(F.col(text).alias("text"), order.alias("o"))
@@ -87,7 +88,7 @@ def train(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -
     secrets = spans.select(F.explode(F.concat(*BASE)).alias("s"))
     good = secrets.select(F.col("s.value").alias("token"), F.lit(1).alias("y"))
     cleaned = F.regexp_replace(F.coalesce("text", F.lit("")), _ASSIGN + r"|AKIA[A-Z0-9]++|[0-9a-f]{32,}+", " ")
-    words = sample.select(F.explode(F.regexp_extract_all(cleaned, F.lit(r"[A-Za-z][A-Za-z0-9+/_=-]{5,}"), F.lit(0))).alias("token"))
+    words = sample.select(F.explode(F.regexp_extract_all(cleaned, F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{3,}[A-Za-z_-]{3,}[0-9]{0,3}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("token"))
     # Identifiers are counted once each; the distinct words of the sample are what is told apart.
     labelled = good.unionAll(words.distinct().withColumn("y", F.lit(0)))
     labelled = keep(labelled.select("y", codes, "token").select("y", F.expr(_classes("token")).alias("k")).select("y", F.expr(_pairs("k")).alias("p")))
@@ -97,20 +98,21 @@ def train(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -
     for r in counts:
         table[r["y"]][r["p"]] += r["n"]
     logs = []
-    for own in table:
+    for y, own in enumerate(table):
         out = [0.0] * (CLASSES * CLASSES)
         total = sum(own)
         single = [(sum(own[a * CLASSES + b] for a in range(CLASSES)) + 1) / (total + CLASSES) for b in range(CLASSES)]
         for a in range(CLASSES):
             row = sum(own[a * CLASSES : (a + 1) * CLASSES])
             for b in range(CLASSES):
-                # Pairs fall back on single characters with a weight of 8.
-                out[a * CLASSES + b] = math.log((own[a * CLASSES + b] + 8 * single[b]) / (row + 8))
+                # Pairs fall back on single characters with a weight of 8; half of the random strings are of any character.
+                p = (own[a * CLASSES + b] + 8 * single[b]) / (row + 8)
+                out[a * CLASSES + b] = math.log((p + 1 / len(ALPHABET)) / 2 if y else p)
         logs.append(out)
     ratio = [round(x - y, 6) for x, y in zip(logs[1], logs[0], strict=True)]
     mean = F.expr("aggregate(p, cast(0 as double), (a, x) -> a + element_at(w, x + 1)) / size(p)")
     top = (
-        labelled.where("y = 0 AND size(p) >= 12").select("p", long_array(ratio, "double").alias("w")).agg(F.max(mean).alias("top")).first()["top"]
+        labelled.where("y = 0 AND size(p) >= 12").select("p", long_array(ratio, "double").alias("w")).agg(F.percentile(mean, 0.999).alias("top")).first()["top"]
     )
     return ratio, max(LEAST_RATIO, round((top or 0.0) + 0.05, 6))
 

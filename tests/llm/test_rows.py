@@ -150,7 +150,7 @@ def test_urls(spark):
 
 
 def test_url_models_tell_held_out_urls_apart(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     host, path = urls.host_and_path(pages.url)
     split = pages.select(host.alias("host"), path.alias("path"))
     verdict = urls.rule_of(split.host, split.path)[1]
