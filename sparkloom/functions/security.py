@@ -1,0 +1,145 @@
+"""Screening of untrusted text and URLs, as Column expressions."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from sparkloom.functions.scoring import js_round
+
+# Label, kind, severity and pattern of injected instructions.
+THREATS: tuple[tuple[str, str, str, str], ...] = (
+    ("role_override", "role_override", "high", r"(?i)(?:you are|you're|act as|pretend to be|assume the role of|your new (?:role|identity|instructions?|purpose))\s+(?:now\s+)?(?:a|an|the)?\s*(?:different|new|helpful|malicious|evil|unrestricted)"),
+    ("instruction_override", "instruction_override", "high", r"(?i)(?:ignore|disregard|forget|override|bypass|skip|dismiss)\s+(?:all\s+)?(?:previous|prior|above|earlier|original|your|the)\s+(?:instructions?|rules?|guidelines?|constraints?|prompts?|system\s+prompts?|directives?)"),
+    ("system_prompt_extraction", "data_exfiltration", "high", r"(?i)(?:reveal|show|display|print|output|repeat|echo|tell me|what (?:are|is))\s+(?:your|the)\s+(?:system\s+prompt|instructions?|rules?|original\s+prompt|hidden\s+prompt|secret|api\s+key|password|token|credential)"),
+    ("injection_markers", "prompt_injection", "high", r"(?i)(?:\[(?:SYSTEM|INST|SYS)\]|</?(?:system|instruction|prompt|s)>|<<\s*(?:SYS|SYSTEM|INST)(?:\s*>>)?|BEGIN\s+(?:SYSTEM|INSTRUCTION)|END\s+(?:SYSTEM|INSTRUCTION))"),
+    ("delimiter_injection", "prompt_injection", "medium", r"(?:^|\n)\s*(?:Human:|Assistant:|User:|System:)\s*(?:\n|$)"),
+    ("header_injection", "prompt_injection", "medium", r"(?:^|\n)###\s*(?:System|Instruction)\s*(?:Message|Prompt)\s*:"),
+    ("tool_exfiltration", "data_exfiltration", "high", r"(?i)(?:call|use|invoke|execute|run)\s+(?:the\s+)?(?:tool|function|command)\s+.*?(?:with|passing|using)\s+.*?(?:env|secret|key|token|password|credential)"),
+    ("base64_payload", "encoding_attack", "medium", r"(?i)(?:base64|atob|decode)\s*[(:]\s*['\"`][A-Za-z0-9+/=]{100,}['\"`]"),
+    ("zero_width_chars", "hidden_text", "medium", "[​‌‍⁠﻿]{3,}"),
+    ("hidden_html_comment", "hidden_text", "high", r"(?i)<!--[\s\S]*?(?:ignore|instruction|system|inject|override|prompt)[\s\S]*?-->"),
+)
+
+
+def threat_counts(content: Column) -> Column:
+    """Matches of each kind of injected instruction, as a map of those that occur."""
+    pairs = [F.struct(F.lit(label).alias("k"), F.regexp_count(content, F.lit(p)).alias("v")) for label, _, _, p in THREATS]
+    return F.map_from_entries(F.filter(F.array(*pairs), lambda e: e["v"] > 0))
+
+
+def sanitized(content: Column) -> Column:
+    """Severe patterns blocked visibly, hidden text and zero-width characters removed."""
+    out = content
+    for label, kind, severity, pattern in THREATS:
+        if severity == "high":
+            out = F.regexp_replace(out, pattern, f"[BLOCKED: {label}]")
+        elif kind == "hidden_text":
+            out = F.regexp_replace(out, pattern, "")
+    return F.regexp_replace(out, "[​‌‍⁠﻿]+", "")
+
+
+# Kind, severity and pattern of credentials.
+SENSITIVE: tuple[tuple[str, str, str], ...] = (
+    ("api_key", "high", r"(?:sk-[a-zA-Z0-9_-]{20,}|ghp_[a-zA-Z0-9]{36}|glpat-[a-zA-Z0-9-]{20,}|xox[bpsa]-[a-zA-Z0-9-]{10,}|rk_(?:live|test)_[a-zA-Z0-9]{20,}|whsec_[a-zA-Z0-9]{20,})"),
+    ("aws_key", "high", r"(?i)(?:AKIA[0-9A-Z]{16}|(?:aws_secret_access_key|aws_access_key_id)\s*[=:]\s*\S+)"),
+    ("private_key", "high", r"-----BEGIN\s+(?:RSA\s+)?PRIVATE\s+KEY-----"),
+    ("connection_string", "high", r"(?i)(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis)://(?!user:password@|\.\.\.@|\*+@|<)[^@\s]{3,}@(?!localhost|127\.0\.0\.1|example|xxx)[^\s]+"),
+    ("wallet_key", "high", r"(?:(?:0x)?[a-fA-F0-9]{64}(?:\b|$)|\b[1-9A-HJ-NP-Za-km-z]{87,88}\b)"),
+    ("jwt", "medium", r"eyJ[a-zA-Z0-9_-]{10,}\.eyJ[a-zA-Z0-9_-]{10,}\.[a-zA-Z0-9_-]{10,}"),
+)
+
+
+def sensitive_kinds(content: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(content.rlike(p), kind) for kind, _, p in SENSITIVE]))
+
+
+def is_safe(content: Column) -> Column:
+    return ~reduce(lambda a, b: a | b, [content.rlike(p) for _, severity, p in SENSITIVE if severity == "high"])
+
+
+def redacted(content: Column) -> Column:
+    for kind, severity, pattern in SENSITIVE:
+        if severity == "high":
+            content = F.regexp_replace(content, pattern, f"[REDACTED:{kind}]")
+    return content
+
+
+# Weight, matches for a full score, and patterns of each kind of influence.
+INFLUENCE: tuple[tuple[str, float, float, tuple[str, ...]], ...] = (
+    ("behavioral_modification", 0.30, 3, (
+        r"(?i)\b(?:remember to (?:always|never)|don't forget to (?:always|never))\b", r"(?i)\b(?:treat .{1,40} as|consider .{1,40} as|interpret .{1,40} as)\b",
+        r"(?i)\b(?:the (?:correct|right|proper|best) (?:way|approach|method) is to)\b", r"(?i)\b(?:update your (?:behavior|approach|rules|understanding))\b",
+        r"(?i)\b(?:add this to your (?:knowledge|rules|guidelines|instructions))\b", r"(?i)\b(?:prioritize .{1,40} over|prefer .{1,40} over|favor .{1,40} over)\b")),
+    ("authority_claims", 0.15, 2, (
+        r"(?i)\b(?:as (?:an? )?(?:expert|authority|senior|lead|principal|staff))\b", r"(?i)\b(?:according to (?:official|internal|confidential|authoritative))\b",
+        r"(?i)\b(?:I (?:am|was) (?:authorized|instructed|directed|told) (?:by|to))\b")),
+    ("urgency_pressure", 0.10, 3, (
+        r"(?i)\b(?:immediately|urgently|right now|as soon as possible|ASAP|without delay|time[- ]sensitive|time[- ]critical)\b",
+        r"(?i)\b(?:do this (?:before|first|now)|stop (?:everything|what you're doing))\b", r"(?i)\b(?:failure to .{1,40} will (?:result|cause|lead))\b")),
+    ("recommendation_steering", 0.15, 2, (
+        r"(?i)\b(?:the (?:only|best|recommended|preferred|superior|optimal) (?:solution|approach|tool|framework|library|platform) is)\b",
+        r"(?i)\b(?:you should (?:always |)(?:recommend|suggest|use|prefer|choose))\b", r"(?i)\b(?:never (?:recommend|suggest|use|consider))\b .{1,40}")),
+)
+_IMPERATIVE = (
+    r"(?i)\b(?:you (?:must|should|need to|have to|are required to))\b", r"(?i)\b(?:always|never|do not ever|make sure to always|ensure you always)\b",
+    r"(?i)\b(?:from now on|going forward|henceforth|from this point)\b", r"(?i)\b(?:it is (?:critical|essential|vital|imperative|mandatory) (?:that you|to))\b",
+)
+_ADDRESS = r"(?i)(^\s*you\b|\byour (?:instructions?|rules?|behavior|guidelines?|knowledge|memory|responses?)\b)"
+
+
+def influence(content: Column) -> Column:
+    """Weighted score of six signals from 0 to 1, three places; 0 for texts under 50 characters."""
+    count = lambda patterns: reduce(lambda a, b: a + b, [F.regexp_count(content, F.lit(p)) for p in patterns])
+    words = F.size(F.split(content, r"\s+"))
+    score = 0.15 * F.least(F.lit(1.0), count(_IMPERATIVE) / (words / 100) / 5)
+    for _, weight, full, patterns in INFLUENCE:
+        score = score + weight * F.least(F.lit(1.0), count(patterns) / full)
+    parts = F.filter(F.split(content, r"[.!?\n]+"), lambda s: F.length(F.trim(s)) > 5)
+    direct = F.size(F.filter(parts, lambda s: s.rlike(_ADDRESS)))
+    score = score + 0.15 * F.when(F.size(parts) > 0, F.least(F.lit(1.0), direct / F.size(parts) * 3)).otherwise(0.0)
+    return F.when(F.length(content) < 50, 0.0).otherwise(js_round(score, 3))
+
+
+def influence_verdict(score: Column) -> Column:
+    return F.when(score < 0.1, "safe").when(score < 0.3, "low").when(score < 0.6, "moderate").otherwise("high")
+
+
+# Top-level domains that are flagged, and patterns of hosts and addresses that are blocked.
+FLAGGED_TLDS = ("tk", "ml", "ga", "cf", "gq", "zip", "mov", "top", "xyz", "icu", "buzz")
+BLOCKED_HOSTS = (r"^\d{1,3}(?:\.\d{1,3}){3}$", r"^xn--.*\.xn--", r"^[^.]{50,}\.")
+BLOCKED_ADDRESSES = (r".{2000,}", r"(?i)(?:redirect|redir|goto|url|link|next)=https?%3A", r"(?i)(?:login|signin|auth|password|credential|\.env|\.git|wp-admin)")
+_INTERNAL = r"^(localhost|127\.0\.0\.1|0\.0\.0\.0|192\.168\..*|10\..*|172\.(1[6-9]|2\d|3[01])\..*|\[::1\]|.*\.local|.*\.internal)$"
+
+
+def url_risk(url: Column) -> Column:
+    """blocked, suspicious or safe."""
+    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?(\[[^\]]*\]|[^:/?#]*)", 1))
+    any_of = lambda c, patterns: reduce(lambda a, b: a | b, [c.rlike(p) for p in patterns])
+    blocked = ~scheme.isin("http", "https") | (host == "") | host.rlike(_INTERNAL) | any_of(host, BLOCKED_HOSTS) | any_of(url, BLOCKED_ADDRESSES)
+    return F.when(blocked, "blocked").when(F.substring_index(host, ".", -1).isin(*FLAGGED_TLDS), "suspicious").otherwise("safe")
+
+
+# Trust in order, the weakest first.
+TRUST = ("untrusted", "external", "verified", "internal")
+
+
+def trust_level(source: Column) -> Column:
+    return F.when(source.isin("manual", "cli"), "internal").when(source.isin("mcp", "api", "consolidation"), "verified").when(source == "import", "external").otherwise("untrusted")
+
+
+def weakest_trust(levels: Column) -> Column:
+    """The least trusted of an array of levels."""
+    order = F.array(*[F.lit(x) for x in TRUST])
+    return F.get(order, F.array_min(F.transform(levels, lambda x: F.array_position(order, x).cast("int") - 1)))
+
+
+def boundary(content: Column, source: Column) -> Column:
+    return F.concat(F.lit("<external source=\""), source, F.lit("\">\n"), content, F.lit("\n</external>"))
+
+
+def without_boundary(content: Column) -> Column:
+    return F.regexp_replace(content, r"</?external[^>]*>\n?", "")

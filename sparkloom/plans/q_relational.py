@@ -160,7 +160,7 @@ def _(t):
   AND abs(epoch_us(a.created_at) - epoch_us(b.created_at)) <= 10800000000)
   SELECT target_id, id, CAST(rank AS INTEGER) AS rank, gap / 1e6 AS seconds FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY gap, id) AS rank FROM n) WHERE rank <= 5""")
 def _(t):
-    events = t.events.where("event_id % 50 = 0").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.lit(True).alias("is_active"))
+    events = t.events.where("event_id % 50 = 0").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("created_at"), F.lit(True).alias("is_active"))
     return R.temporal_neighbours(events, events, hours=3)
 
 
