@@ -6,13 +6,14 @@ stateful ones. Fixed values (word lists, patterns) are stated as they are.
 
 from __future__ import annotations
 
-import html
-import re
-
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.functions import _plain as P
+from sparkloom.functions._plain import STOPWORDS, TECH_TAGS
+from sparkloom.shipping import ship
+
 # --- hashes and simple expressions -------------------------------------------------------------------------
 
 
@@ -88,11 +89,6 @@ def smart_preview(content: Column, query: Column, width: int = 200) -> Column:
     return F.when(F.length(content) <= width, content).otherwise(F.substring(best, 1, width))
 
 
-# Common words that say nothing about a topic.
-STOPWORDS = (
-    "the", "and", "for", "that", "this", "with", "from", "are", "was", "were", "has", "have", "had", "not", "but", "its", "can", "will", "would",
-    "should", "could", "been", "being", "into", "than", "then", "them", "they", "their", "there", "when", "where", "which", "while", "what", "who", "how", "all", "any", "also", "more", "some", "such", "very", "just",
-)
 # Query words that are left out of full-text search.
 QUERY_STOPWORDS = (
     "what", "when", "where", "who", "how", "did", "was", "the", "are", "has", "have", "does", "can", "will", "about", "with", "from", "that", "this", "for", "you", "your",
@@ -111,12 +107,6 @@ def query_terms(query: Column, most: int = 10) -> Column:
 
 # --- tags, keywords, topics --------------------------------------------------------------------------------
 
-# Technology words that become tags.
-TECH_TAGS = (
-    "react typescript javascript python rust go java ruby sqlite postgres postgresql mysql mongodb redis dynamodb node nodejs deno bun express fastify nextjs remix "
-    "vite webpack rollup esbuild turbopack docker kubernetes aws azure gcp vercel cloudflare graphql rest grpc websocket git github gitlab npm pnpm yarn "
-    "vue svelte angular solid astro tailwind css html sass vitest jest playwright cypress openai anthropic claude llm embeddings rag linux windows macos"
-).split()
 # Topics and the words that show them.
 TOPIC_TAGS = (
     ("decision", r"(?i)\b(?:decided|decision|chose|choosing|trade-?off)\b"),
@@ -145,102 +135,37 @@ def auto_tags(content: Column, most: int = 3) -> Column:
     return F.slice(F.array_distinct(F.concat(tech, topics, names)), 1, most)
 
 
-# Short and long names of the same thing.
-ALIASES = {
-    "kubernetes": ("k8s",), "typescript": ("ts",), "javascript": ("js",), "postgresql": ("postgres", "psql"), "mongodb": ("mongo",), "elasticsearch": ("es", "elastic"),
-    "machine learning": ("ml",), "artificial intelligence": ("ai",), "natural language processing": ("nlp",), "large language model": ("llm",),
-    "continuous integration": ("ci",), "continuous deployment": ("cd",), "ci/cd": ("cicd", "ci cd"), "docker": ("container",), "react native": ("rn",), "graphql": ("gql",),
-    "visual studio code": ("vscode",), "redis": ("cache",), "nginx": ("reverse proxy",), "amazon web services": ("aws",), "google cloud platform": ("gcp",), "microsoft azure": ("azure",),
-}
-
-
-def _keywords(content: str, tags: list[str], names: list[str], most: int = 200) -> str:
-    found: dict[str, None] = dict.fromkeys(x.lower() for x in [*names, *tags])
-    low = content.lower()
-    tech = set(TECH_TAGS)
-    for word in re.split(r"[\s,;:()\[\]{}|/\\]+", low):
-        word = re.sub(r"[^a-z0-9-]", "", word)
-        if word in tech:
-            found[word] = None
-    for m in re.finditer(r"\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]+)*\b", content):
-        if m[0].lower() not in STOPWORDS and len(m[0]) <= 30:
-            found[m[0].lower()] = None
-    for m in re.finditer(r"(?i)\b[a-z]+-[a-z]+(?:-[a-z]+)*\b", content):
-        if 5 <= len(m[0]) <= 30:
-            found[m[0].lower()] = None
-    known = set(found)
-    for name, short in ALIASES.items():
-        if name in low or known & {name, *short}:
-            found |= dict.fromkeys((name, *short))
-    out, used = [], 0
-    for word in found:
-        if used + len(word) + 1 > most:
-            break
-        out.append(word)
-        used += len(word) + 1
-    return " ".join(out)
-
-
-@F.pandas_udf("string")
-def keywords(content: pd.Series, tags: pd.Series, names: pd.Series) -> pd.Series:
-    """Search keywords in order of discovery, up to 200 characters: names, tags, technology words, proper nouns, compounds, aliases."""
-    return pd.Series([_keywords(c or "", list(t) if t is not None else [], list(n) if n is not None else []) for c, t, n in zip(content, tags, names, strict=True)])
+def _arrow(kind: str, run):
+    """An Arrow function, made when it is used, with this package on the workers."""
+    ship(SparkSession.active())
+    return F.pandas_udf(run, kind)
 
 
-# --- chunks and sections -----------------------------------------------------------------------------------
+def keywords(content, tags, names) -> Column:
+    """Search keywords in order of discovery, up to 200 characters: names, tags, technology words, proper nouns, compounds, aliases."""
 
+    def run(content: pd.Series, tags: pd.Series, names: pd.Series) -> pd.Series:
+        items = lambda x: list(x) if x is not None else []
+        return pd.Series([P.keywords(c or "", items(t), items(n)) for c, t, n in zip(content, tags, names, strict=True)])
 
-def chunk_text(text: str, target: int = 500, overlap: int = 0) -> list[str]:
-    """Pieces of about ``target`` characters, cut between paragraphs, else after sentences."""
-    if len(text) <= target:
-        return [text]
-    pieces: list[tuple[str, str]] = []  # text, joiner to what stands before
-    for paragraph in filter(None, (p.strip() for p in re.split(r"\n\s*\n", text))):
-        if len(paragraph) <= target:
-            pieces.append((paragraph, "\n\n"))
-        else:
-            pieces.append(("", ""))
-            pieces += [(s, " ") for s in re.split(r"(?<=[.!?])\s+", paragraph)]
-    chunks, now = [], ""
-    for piece, joiner in pieces:
-        if now and (not joiner or len(now) + len(piece) + len(joiner) > target):
-            chunks.append(now.strip())
-            now = ""
-        now += (joiner if now else "") + piece
-    if now.strip():
-        chunks.append(now.strip())
-    return [c if i == 0 or not overlap else chunks[i - 1][-overlap:] + "\n" + c for i, c in enumerate(chunks)]
-
-
-def chunks(target: int = 500, overlap: int = 0):
-    @F.pandas_udf("array<string>")
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else chunk_text(t, target, overlap))
+    return _arrow("string", run)(content, tags, names)
 
-    return run
 
+# --- chunks and sections -----------------------------------------------------------------------------------
 
-def _body(section: str) -> int:
-    return len(re.sub(r"\s", "", "".join(line for line in section.split("\n") if not re.match(r"#+\s", line))))
 
+def chunks(text, target: int = 500, overlap: int = 0) -> Column:
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else P.chunk_text(t, target, overlap))
 
-def split_sections(text: str, least: int = 50) -> list[str]:
-    """Sections under second-level headings; those with little body join the one before (the first one the next)."""
-    raw = [s for s in (p.strip() for p in re.split(r"(?m)^(?=##\s)", text)) if s]
-    out: list[str] = []
-    for section in raw:
-        if out and _body(section) < least:
-            out[-1] += "\n\n" + section
-        else:
-            out.append(section)
-    if len(out) > 1 and _body(out[0]) < least:
-        out[:2] = [out[0] + "\n\n" + out[1]]
-    return [s for s in out if _body(s)]
+    return _arrow("array<string>", run)(text)
 
 
-@F.pandas_udf("array<string>")
-def sections(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else split_sections(t))
+def sections(text) -> Column:
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else P.split_sections(t))
+
+    return _arrow("array<string>", run)(text)
 
 
 # --- HTML --------------------------------------------------------------------------------------------------
@@ -269,9 +194,11 @@ def html_to_text(page: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-@F.pandas_udf("string")
-def decode_entities(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else re.sub(r"&#\d+;", lambda m: html.unescape(m[0]), t))
+def decode_entities(text) -> Column:
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else P.decode_numeric(t))
+
+    return _arrow("string", run)(text)
 
 
 def page_title(page: Column) -> Column:
