@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ONE = F.lit(1)
 
 
 def conditions(
@@ -152,7 +151,7 @@ def preceding_week(themes: DataFrame, episodes: DataFrame, days: int = 7, k: int
 def array_pairs(lists: DataFrame, column: str) -> DataFrame:
     """(a, b, n): how often two values stand in one sorted array, a before b, by array functions within the row."""
     pairs = F.expr(f"flatten(transform({column}, (x, i) -> transform(slice({column}, i + 2, size({column})), y -> struct(x AS a, y AS b))))")
-    return lists.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(ONE).alias("n"))
+    return lists.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tag_pairs(tags: DataFrame, least: int = 2) -> DataFrame:
@@ -247,7 +246,7 @@ def within_budget(rows: DataFrame, group: str, order: list, cost: Column, budget
 def thirds(rows: DataFrame, group: str, order: list) -> DataFrame:
     """Three parts of each group by rank: the top 30 % (at least 3), the next 40 %, the rest."""
     w = Window.partitionBy(group)
-    n, rank = F.count(ONE).over(w), F.row_number().over(w.orderBy(*order))
+    n, rank = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(*order))
     top = F.greatest(F.lit(3), F.ceil(n * 0.3))
     part = F.when(rank <= top, "top").when(rank <= top + F.ceil(n * 0.4), "middle").otherwise("rest")
     return rows.withColumn("part", part)
