@@ -35,16 +35,16 @@ st AS (SELECT count(*) AS n, avg(len(ws)) AS a FROM dt),
 hit AS (SELECT id, dl, term, count(*)::DOUBLE AS tf FROM (SELECT id, len(ws) AS dl, unnest(ws) AS term FROM dt) WHERE term IN (SELECT term FROM qf) GROUP BY ALL),
 dfs AS (SELECT term, count(*) AS df FROM hit GROUP BY 1),
 gain AS (SELECT id, hit.term, greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a)) AS g FROM hit JOIN dfs ON hit.term = dfs.term, st),
-oq AS (SELECT query_id, id, sum(g) AS score FROM gain JOIN qf ON gain.term = qf.term GROUP BY 1, 2),
+oq AS (SELECT query_id, id, round(sum(g), 9) AS score FROM gain JOIN qf ON gain.term = qf.term GROUP BY 1, 2),
 need AS (SELECT query_id, count(*) AS need FROM qf WHERE i < 8 GROUP BY 1 HAVING count(*) >= 3),
-aq AS (SELECT query_id, id, sum(g) AS score, count(*) AS c FROM gain JOIN qf ON gain.term = qf.term WHERE i < 8 GROUP BY 1, 2),
+aq AS (SELECT query_id, id, round(sum(g), 9) AS score, count(*) AS c FROM gain JOIN qf ON gain.term = qf.term WHERE i < 8 GROUP BY 1, 2),
 aw AS (SELECT aq.query_id, id, score, row_number() OVER (PARTITION BY aq.query_id ORDER BY score DESC, id) AS r FROM aq JOIN need ON aq.query_id = need.query_id AND c = need),
 ow AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM oq),
 fl AS (SELECT query_id, id, (score - min(score) OVER w) / coalesce(nullif(max(score) OVER w - min(score) OVER w, 0), 1) * 1.3 AS s FROM aw WHERE r <= 100 WINDOW w AS (PARTITION BY query_id)
  UNION ALL SELECT query_id, id, (score - min(score) OVER w) / coalesce(nullif(max(score) OVER w - min(score) OVER w, 0), 1) FROM ow WHERE r <= 200 WINDOW w AS (PARTITION BY query_id)),
-fts AS (SELECT query_id, id, max(s) AS score FROM fl GROUP BY 1, 2)"""
+fts AS (SELECT query_id, id, round(max(s), 9) AS score FROM fl GROUP BY 1, 2)"""
 COSINE = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
-HYBRID = FTS + f""", vs AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {COSINE} AS score FROM embeddings a, embeddings b WHERE a.vec_id < {N_QUERIES} AND b.vec_id IN (SELECT id FROM memories WHERE is_active)
+HYBRID = FTS + f""", vs AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({COSINE}, 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id < {N_QUERIES} AND b.vec_id IN (SELECT id FROM memories WHERE is_active)
   AND a.vec_id IN (SELECT query_id FROM q)),
 vr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM vs WHERE score > 0),
 fr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM fts WHERE score > 0),
@@ -83,7 +83,7 @@ def _(t):
     return t.embeddings.crossJoin(F.broadcast(one)).select(F.col("vec_id").alias("id"), F.round(S.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
 
 
-@query("j18_one_to_all", f"""SELECT id, score FROM (SELECT b.vec_id AS id, round({COSINE}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 3 AND b.vec_id <> 3) ORDER BY score DESC, id LIMIT 20""", raw=True)
+@query("j18_one_to_all", f"""SELECT id, score FROM (SELECT b.vec_id AS id, round(round({COSINE}, 9), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 3 AND b.vec_id <> 3) ORDER BY score DESC, id LIMIT 20""", raw=True)
 def _(t):
     one = t.embeddings.where("vec_id = 3").select(F.lit(3).alias("query_id"), "embedding")
     found = R.vector_scores(one, embeddings(t).where("id <> 3")).select("id", F.round("score", 6).alias("score"))
