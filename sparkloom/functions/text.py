@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import _plain as P
 from sparkloom.functions._plain import STOPWORDS, TECH_TAGS
+from sparkloom.functions._stem import stem
 from sparkloom.shipping import ship
 
 # --- hashes and simple expressions -------------------------------------------------------------------------
@@ -154,6 +155,15 @@ def keywords(content, tags, names) -> Column:
 # --- chunks and sections -----------------------------------------------------------------------------------
 
 
+def stems(word) -> Column:
+    """Porter stems; distinct words should be stemmed once and joined back."""
+
+    def run(word: pd.Series) -> pd.Series:
+        return word.map(lambda w: None if w is None else stem(w))
+
+    return _arrow("string", run)(word)
+
+
 def chunks(text, target: int = 500, overlap: int = 0) -> Column:
     def run(text: pd.Series) -> pd.Series:
         return text.map(lambda t: None if t is None else P.chunk_text(t, target, overlap))

@@ -194,3 +194,14 @@ def test_entry_works_without_the_training_data_subpackage():
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.FLAGSHIP in entry.queries()
+
+
+def test_stems():
+    from sparkloom.functions._stem import stem
+
+    known = {
+        "caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file",
+        "happy": "happi", "relational": "relat", "conditional": "condit", "digitizer": "digit", "triplicate": "triplic", "hopeful": "hope", "goodness": "good", "adjustment": "adjust", "adoption": "adopt",
+        "probate": "probat", "rate": "rate", "controll": "control", "sky": "sky", "generalizations": "gener", "oscillators": "oscil",
+    }
+    assert {w: stem(w) for w in known} == known
