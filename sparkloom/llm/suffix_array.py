@@ -33,7 +33,8 @@ from sparkloom.llm._base import keep, shared_dir
 from sparkloom.shipping import ship
 
 LENGTH = 50
-GRAM = 12
+#: Long enough that equal runs hardly ever meet by chance, also in text of few different syllables.
+GRAM = 20
 SPAN = LENGTH - GRAM + 1
 #: Symbols of segments that one transform is built over (an anchor with more is a transform of its own).
 SLICE = 1 << 20
