@@ -119,7 +119,8 @@ def betweenness(edges: DataFrame, most_nodes: int = 1000) -> DataFrame:
                             carried[u] += paths[u] / paths[v] * (1 + carried[v])
                     if v != source:
                         total[v] = total.get(v, 0.0) + carried[v]
-        yield pd.DataFrame({"node": list(total), "part": list(total.values())})
+        if total:
+            yield pd.DataFrame({"node": pd.Series(list(total), dtype=object), "part": list(total.values())})
 
     parts = nodes.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "node string, part double")
     summed = parts.groupBy("node").agg(F.sum("part").alias("s"))
