@@ -9,9 +9,12 @@ each sketch, and linked within equal sketches to the run's least document and
 then to their neighbours. A link counts if a banded alignment of the labelled
 runs gives a similarity of 0.8 or more. Connected documents are one group.
 
-No bucket is expanded into pairs: each member of a bucket yields a fixed number
-of links, buckets are split over tasks by the sort, and components are found by
-distributed label exchange with checkpoints.
+Buckets whose members are then still in different groups are compared in full:
+blocks of members meet each other over tasks, and every pair of two groups is
+either verified or shown by a bound to be below the threshold. The bound is the
+Hamming distance of two parity sketches, which no pair exceeds by more than the
+shingles that it does not share. Components are found by distributed label
+exchange with checkpoints.
 """
 
 from __future__ import annotations
@@ -34,6 +37,14 @@ SKETCHES = 24
 ELL = 3
 #: Neighbours in sketch order that each document is compared with in the second pass.
 REACH = 2
+#: Words of 64 bits in a parity sketch, and members of a block, as dealt to tasks.
+PARITY_WORDS = 32
+BLOCK_ROWS = 512
+#: Closest partners of a member that the first round over open buckets verifies; later rounds take GROWTH times as many.
+PARTNERS = 4
+GROWTH = 8
+#: Texts of the asked similarity are in the same or adjacent bands of length (ln 1.25 = 0.2231).
+_BAND = 0.224
 _FACTORS = K.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -111,6 +122,20 @@ def _sketches(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parities(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Parity sketch of each text: a bit is set if an odd number of its labelled shingles fall on it.
+
+    Each shingle that only one of two texts has turns one bit, so that the
+    Hamming distance is at most the number of unshared shingles.
+    """
+    n = len(bounds) - 1
+    out = np.zeros(n * PARITY_WORDS, np.uint64)
+    row = np.repeat(np.arange(n), np.diff(bounds))
+    bit = K.mix(shingles ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * PARITY_WORDS)
+    np.bitwise_xor.at(out, row * PARITY_WORDS + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out.reshape(n, PARITY_WORDS)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, data, offsets in K.small_batches(batches, "text"):
         h, first = _sequences(data, offsets)
@@ -125,14 +150,18 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = K.segment_hash(K.prefix_hash(data), offsets[:-1], offsets[1:])
         one = np.where(words > 0, one, raw ^ np.uint64(0x5851F42D4C957F2D))
         empty = np.diff(offsets) == 0
+        parity = _parities(shingles, bounds)
+        width = np.arange(n + 1, dtype=np.int32) * (8 * PARITY_WORDS)
         yield pa.RecordBatch.from_arrays(
             [
                 part.column("doc_id"),
                 pa.array(one.view(np.int64), mask=empty),
                 pa.array(two.view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lists)]).astype(np.int32)), pa.array(keys.reshape(-1))),
+                pa.array(np.diff(bounds).astype(np.int32)),
+                pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(width), pa.py_buffer(parity)]),
             ],
-            ["doc_id", "h1", "h2", "keys"],
+            ["doc_id", "h1", "h2", "keys", "n", "parity"],
         )
 
 
@@ -140,7 +169,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (key, next key, document): links to the least document of the key's run and to neighbours.
 
     Runs that may go on in another task also name their least document, so
-    that the parts can be linked afterwards.
+    that the parts can be linked afterwards. Rows of kind 3 are the members of
+    runs that have, or may have, more than one.
     """
     key, doc, head = None, np.zeros(0, np.int64), True
 
@@ -155,6 +185,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         fresh = np.ones(len(k), bool)
         fresh[1:] = k[1:] != k[:-1]
+        shared = ~fresh
+        shared[:-1] |= ~fresh[1:]
+        shared[[0, -1]] = True
+        yield emit(k[shared], d[shared], 3)
         goes_on = key is not None and k[0] == key
         starts = np.flatnonzero(fresh)
         hubs = np.minimum.reduceat(d, starts)
@@ -232,6 +266,105 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["a", "b"]).filter(good)
 
 
+def _close_pairs(side, label, n, parity, most: int):
+    """Pairs of rows of different labels that the bound leaves, at most ``most`` or more for each row, the closest first; and whether there are others."""
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1)
+    within = not len(right)
+    if within:
+        right = left
+    found = []
+    for at in range(0, len(left), 32):
+        a = left[at : at + 32]
+        apart = label[a][:, None] != label[right][None]
+        limit = (n[a][:, None] + n[right][None]) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+        apart &= np.abs(n[a][:, None] - n[right][None]) <= limit
+        if within:
+            apart &= a[:, None] < right[None]
+        i, j = np.nonzero(apart)
+        for part in range(0, len(i), 1 << 15):
+            x, y = i[part : part + (1 << 15)], j[part : part + (1 << 15)]
+            distance = np.bitwise_count(parity[a[x]] ^ parity[right[y]]).sum(axis=1, dtype=np.int64)
+            good = distance <= limit[x, y]
+            found.append((a[x[good]], right[y[good]], distance[good]))
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, False
+    i, j, distance = (np.concatenate(x) for x in zip(*found, strict=True))
+    ends, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
+    order = np.lexsort((np.tile(distance, 2), ends))
+    place = np.arange(len(order)) - np.searchsorted(ends[order], ends[order])
+    chosen = np.unique(pair[order][place < most])
+    return i[chosen], j[chosen], len(chosen) < len(i)
+
+
+def _compare(most: int):
+    """From rows sorted by block pair: candidates (kind 0), and one row of kind 1 if some were left for later."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried, more = None, False
+
+        def pairs(block):
+            nonlocal more
+            _, side, label, doc, n, parity = block
+            i, j, cut = _close_pairs(side, label, n, parity, most)
+            more |= cut
+            a, b = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), np.int32))], ["a", "b", "kind"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bits = np.frombuffer(b"".join(batch.column("parity").to_pylist()), np.uint64).reshape(-1, PARITY_WORDS)
+            names = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("k", "lo", "i", "hi", "j")], axis=1)
+            block = [names, *[np.asarray(batch.column(c)).astype(np.int64) for c in ("side", "label", "doc_id", "n")], bits]
+            if carried is not None:
+                block = [np.concatenate(x) for x in zip(carried, block, strict=True)]
+            starts = np.flatnonzero((block[0][1:] != block[0][:-1]).any(axis=1)) + 1
+            bounds = [0, *starts.tolist()]
+            for x, y in zip(bounds, bounds[1:], strict=False):
+                yield pairs([c[x:y] for c in block])
+            carried = [c[bounds[-1] :] for c in block]
+        if carried is not None:
+            yield pairs(carried)
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([1], pa.int32())], ["a", "b", "kind"])
+
+    return run
+
+
+def _open_pairs(members: DataFrame, cut: DataFrame, label: DataFrame, sketched: DataFrame, most: int) -> DataFrame:
+    """(a, b, kind) from ``_compare``, for the buckets whose members have different labels.
+
+    Buckets of three members that no task boundary cuts were compared in full
+    by the neighbour pass.
+    """
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = members.join(label.toDF("doc_id", "l"), "doc_id", "left").select("k", "doc_id", F.coalesce("l", "doc_id").alias("label"))
+    sizes = known.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
+    opened = sizes.join(cut.select("k", F.lit(True).alias("was_cut")), "k", "left").where("m > 3 OR was_cut").select("k")
+    rows = keep(
+        known.join(opened, "k", "left_semi").join(sketched, "doc_id")
+        .select("k", "doc_id", "label", "n", "parity", F.floor(F.log("n") / F.lit(_BAND)).cast("int").alias("band"))
+    )
+    counts = rows.groupBy("k", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("cells"))
+    # At most one entry for each band of length.
+    cells = counts.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("band", "cells"))).alias("cells"))
+    pair = "named_struct('lo', {}, 'i', {}, 'hi', {}, 'j', {}, 'side', {})"
+    same = pair.format("band", "least(own, x)", "band", "greatest(own, x)", "IF(own > x, 1, 0)")
+    above = pair.format("band", "own", "band + 1", "x", "0")
+    below = pair.format("band - 1", "x", "band", "own", "1")
+    listed = lambda at, what: f"transform(IF(coalesce(cells[{at}], 0) > 0, sequence(0, cells[{at}] - 1), cast(array() as array<int>)), x -> {what})"
+    dealt = (
+        rows.join(cells, "k")
+        .withColumn("own", F.expr("cast(pmod(xxhash64(doc_id), cells[band]) as int)"))
+        .select("k", "label", "doc_id", "n", "parity", F.explode(F.expr(f"concat({listed('band', same)}, {listed('band + 1', above)}, {listed('band - 1', below)})")).alias("x"))
+        .select("k", "x.*", "label", "doc_id", "n", "parity")
+    )
+    names = ("k", "lo", "i", "hi", "j")
+    return keep(dealt.repartition(parts, *names).sortWithinPartitions(*names).mapInArrow(_compare(most), "a long, b long, kind int").distinct())
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, label): the least node of each connected component, for the nodes of ``edges`` (a, b).
 
@@ -294,7 +427,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """
     ship(docs.sparkSession)
     read = docs.select(F.coalesce(F.col(doc_id), F.lit(-(1 << 63))).alias("doc_id"), F.col(text).alias("text"))
-    signed = keep(read.mapInArrow(_signatures, "doc_id long, h1 long, h2 long, keys array<long>"))
+    signed = keep(read.mapInArrow(_signatures, "doc_id long, h1 long, h2 long, keys array<long>, n int, parity binary"))
     # Kept apart from the join: on one exchange with it, the copies of a text could not be split over tasks.
     reps = keep(signed.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
     named = keep(
@@ -330,6 +463,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     second = _checked(apart, read)
     edges = first.unionAll(second)
     label = components(edges)
+    # Buckets that still hold several groups: all pairs of two groups, the closest ones first.
+    members = links.where("kind = 3").select(F.col("a").alias("k"), F.col("b").alias("doc_id"))
+    parted = cut.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    sketched = signed.where("n > 0").select("doc_id", "n", "parity")
+    tested, most = stars.unionAll(apart), PARTNERS
+    while True:
+        candidates = _open_pairs(members, parted, label, sketched, most)
+        fresh = keep(candidates.where("kind = 0").select("a", "b").join(tested, ["a", "b"], "left_anti"))
+        if fresh.count():
+            edges = edges.unionAll(_checked(fresh, read))
+            tested = tested.unionAll(fresh)
+            label = components(edges)
+        if not candidates.where("kind = 1").count():
+            break
+        most *= GROWTH
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     nodes = label.join(degree, "node", "full_outer").select("node", F.coalesce("label", "node").alias("label"), "links")
     rows = named.join(nodes, named.rep == nodes.node, "left").select(
