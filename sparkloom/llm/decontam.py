@@ -109,27 +109,8 @@ def contaminated_windows(
     return hits.select("id", F.inline(F.expr(spans))).join(near_windows, ["len", "window"], "left_semi").distinct()
 
 
-def decontaminate(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    window: int = WINDOW,
-    text: str = "text",
-    doc_id: str = "doc_id",
-    item_id: str = "item_id",
-    share: int = 20,
-) -> DataFrame:
-    """One row for each document id: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
-
-    A word is hit if it lies inside an occurrence of ``window`` consecutive
-    words of an item (or of a whole item that has fewer). A document is
-    contaminated if ``n_hit > 0`` and ``share * n_hit >= n_words``. Null texts
-    have no words; items without words never match, and an item with a null id
-    hits words but is neither counted nor listed. Rows that repeat a doc_id
-    stay separate rows: equal texts get equal results, and rows of one id with
-    different texts are told apart by their text's digest. A null doc_id is an
-    id like any other. An empty benchmark hits nothing. Only the named columns
-    are read, so that others may have any name.
-    """
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int, text: str, doc_id: str, item_id: str, share: int) -> DataFrame:
+    """The columns of ``decontaminate``, with ``id``, a struct of doc_id and text digest, in place of doc_id."""
     # Rows are named by their id and text, so that repeated ids cannot mix.
     name = F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"))
     base = docs.select(name.alias("id"), F.col(text).alias("t"))
@@ -159,7 +140,7 @@ def decontaminate(
     counted = base.select("id", n_words.alias("n_words"))
     n = F.coalesce("n_hit", F.lit(0)).cast("long")
     return counted.join(found, counted.id.eqNullSafe(found.found_id), "left").select(
-        "id.doc_id",
+        "id",
         "n_words",
         n.alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
@@ -168,10 +149,36 @@ def decontaminate(
     )
 
 
+def decontaminate(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    item_id: str = "item_id",
+    share: int = 20,
+) -> DataFrame:
+    """One row for each document id: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    A word is hit if it lies inside an occurrence of ``window`` consecutive
+    words of an item (or of a whole item that has fewer). A document is
+    contaminated if ``n_hit > 0`` and ``share * n_hit >= n_words``. Null texts
+    have no words; items without words never match, and an item with a null id
+    hits words but is neither counted nor listed. Rows that repeat a doc_id
+    stay separate rows: equal texts get equal results, and rows of one id with
+    different texts are told apart by their text's digest. A null doc_id is an
+    id like any other. An empty benchmark hits nothing. Only the named columns
+    are read, so that others may have any name.
+    """
+    return _judged(docs, benchmark, window, text, doc_id, item_id, share).select("id.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents that are not contaminated, with all their columns; of an id with a contaminated text no row stays."""
-    bad = decontaminate(docs, benchmark, text=text, doc_id=doc_id).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents that are not contaminated, with all their columns; rows of one id are told apart by their text."""
+    judged = _judged(docs, benchmark, WINDOW, text, doc_id, "item_id", 20)
+    bad = judged.where("contaminated").select(F.col("id.doc_id").alias("_bad"), F.col("id.h").alias("_bad_h")).distinct()
+    same = F.col(doc_id).eqNullSafe(F.col("_bad")) & (F.xxhash64(F.col(text)) == F.col("_bad_h"))
+    return docs.join(bad, same, "left_anti")
 
 
 #: The same in DuckDB's SQL, by comparing all windows.

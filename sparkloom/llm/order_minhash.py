@@ -150,21 +150,29 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = K.segment_hash(K.prefix_hash(data), offsets[:-1], offsets[1:])
         one = np.where(words > 0, one, raw ^ np.uint64(0x5851F42D4C957F2D))
         empty = np.diff(offsets) == 0
-        parity = _parities(shingles, bounds)
-        width = np.arange(n + 1, dtype=np.int32) * (8 * PARITY_WORDS)
         yield pa.RecordBatch.from_arrays(
             [
                 part.column("doc_id"),
+                part.column("t"),
                 pa.array(one.view(np.int64), mask=empty),
                 pa.array(two.view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lists)]).astype(np.int32)), pa.array(keys.reshape(-1))),
                 pa.array(np.diff(bounds).astype(np.int32)),
-                pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(width), pa.py_buffer(parity)]),
             ],
-            ["doc_id", "h1", "h2", "keys", "n", "parity"],
+            ["doc_id", "t", "h1", "h2", "keys", "n"],
         )
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of labelled shingles and parity sketch of each text."""
+    for part, data, offsets in K.small_batches(batches, "text"):
+        shingles, bounds = _labelled(*_sequences(data, offsets))
+        n = len(offsets) - 1
+        width = np.arange(n + 1, dtype=np.int32) * (8 * PARITY_WORDS)
+        parity = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(width), pa.py_buffer(_parities(shingles, bounds))])
+        yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(np.diff(bounds).astype(np.int32)), parity], ["doc_id", "n", "parity"])
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (key, next key, document): links to the least document of the key's run and to neighbours.
 
@@ -406,35 +414,29 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-def _checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose texts align."""
-    a = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    b = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs of nodes whose texts align."""
+    a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     return keep(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long").distinct())
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per input row: doc_id, class_id, n_members, n_links, representative.
-
-    ``class_id`` is the least doc_id of the group, ``n_members`` the group's
-    rows, ``n_links`` the verified links of the row's text to other texts
-    (copies count as one text), ``representative`` marks the class's own row.
-    Words are runs of letters, digits and characters outside ASCII, A-Z
-    lower-cased. Texts without words are alike only if equal; null and empty
-    texts are alone. A null doc_id counts as the least possible id. Rows that
-    share an id are told apart by their text, but texts that share their least
-    id share a class. Columns other than those named are ignored.
-    """
+def _grouped(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """The columns of ``near_duplicates``, with the digest ``t`` of each row's text."""
     ship(docs.sparkSession)
-    read = docs.select(F.coalesce(F.col(doc_id), F.lit(-(1 << 63))).alias("doc_id"), F.col(text).alias("text"))
-    signed = keep(read.mapInArrow(_signatures, "doc_id long, h1 long, h2 long, keys array<long>, n int, parity binary"))
+    read = docs.select(F.coalesce(F.col(doc_id), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    schema = "doc_id long, t long, h1 long, h2 long, keys array<long>, n int"
+    # Rows get numbers of their own, so that rows without an id or with a repeated one stay apart.
+    signed = keep(read.mapInArrow(_signatures, schema).withColumn("row", F.monotonically_increasing_id()))
     # Kept apart from the join: on one exchange with it, the copies of a text could not be split over tasks.
-    reps = keep(signed.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
+    reps = keep(signed.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min_by("row", "doc_id").alias("rep")))
     named = keep(
-        signed.join(reps, ["h1", "h2"], "left").select("doc_id", "h1", F.coalesce("rep", "doc_id").alias("rep"), "keys")
+        signed.join(reps, ["h1", "h2"], "left")
+        .withColumn("node", F.coalesce("rep", "row"))
+        .select("doc_id", "t", "row", "node", *[F.when(F.col("row") == F.col("node"), F.col(c)).alias(c) for c in ("keys", "n")])
     )
-    keys = named.where("doc_id = rep AND h1 IS NOT NULL AND size(keys) > 0").select(
-        "doc_id", F.explode(F.expr("zip_with(keys, concat(slice(keys, 2, size(keys)), slice(keys, 1, 1)), (k, n) -> struct(k, n))")).alias("x")
+    keys = named.where("row = node AND n > 0").select(
+        F.col("node").alias("doc_id"), F.explode(F.expr("zip_with(keys, concat(slice(keys, 2, size(keys)), slice(keys, 1, 1)), (k, n) -> struct(k, n))")).alias("x")
     )
     ordered = keep(keys.select("x.k", "doc_id", "x.n"))
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
@@ -444,12 +446,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         .mapInArrow(_neighbours, "a long, b long, kind int")
         .distinct()
     )
+    members = links.where("kind = 3").select(F.col("a").alias("k"), F.col("b").alias("doc_id"))
+    # Only texts that share a bucket are moved, once; rows that repeat an id and its text are one text.
+    ends = members.select(F.col("doc_id").alias("node")).distinct()
+    sought = named.where("row = node").select("doc_id", "t", "node").join(ends, "node", "left_semi")
+    texts = keep(read.join(sought, ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).select("node", "text"))
     # Parts of one run in several tasks: their least documents are linked to the least of all.
     cut = links.where("kind = 2").select(F.col("a").alias("k"), F.col("b").alias("d"))
     across = cut.join(cut.groupBy("k").agg(F.min("d").alias("m")), "k").where("d <> m").select(F.col("m").alias("a"), F.col("d").alias("b"))
     stars = links.where("kind = 0").select("a", "b").unionAll(across)
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = _checked(stars, read)
+    first = _checked(stars, texts)
     label = components(first)
     # Neighbours that are still in different groups are compared as well.
     near = links.where("kind = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -460,19 +467,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         .select("a", "b")
         .join(stars, ["a", "b"], "left_anti")
     )
-    second = _checked(apart, read)
+    second = _checked(apart, texts)
     edges = first.unionAll(second)
     label = components(edges)
     # Buckets that still hold several groups: all pairs of two groups, the closest ones first.
-    members = links.where("kind = 3").select(F.col("a").alias("k"), F.col("b").alias("doc_id"))
     parted = cut.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    sketched = signed.where("n > 0").select("doc_id", "n", "parity")
+    sketched = keep(texts.mapInArrow(_sketched, "doc_id long, n int, parity binary"))
     tested, most = stars.unionAll(apart), PARTNERS
     while True:
         candidates = _open_pairs(members, parted, label, sketched, most)
         fresh = keep(candidates.where("kind = 0").select("a", "b").join(tested, ["a", "b"], "left_anti"))
         if fresh.count():
-            edges = edges.unionAll(_checked(fresh, read))
+            edges = edges.unionAll(_checked(fresh, texts))
             tested = tested.unionAll(fresh)
             label = components(edges)
         if not candidates.where("kind = 1").count():
@@ -480,23 +486,43 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         most *= GROWTH
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     nodes = label.join(degree, "node", "full_outer").select("node", F.coalesce("label", "node").alias("label"), "links")
-    rows = named.join(nodes, named.rep == nodes.node, "left").select(
-        "doc_id", F.coalesce("label", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), "h1"
+    rows = named.select("doc_id", "t", "row", "node").join(nodes, "node", "left").select(
+        "doc_id", "t", "row", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("n_links")
     )
     rows = keep(rows)
-    sizes = keep(rows.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_members")))
+    sizes = keep(
+        rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_members"), F.min("doc_id").alias("class_id"), F.min_by("row", "doc_id").alias("own"))
+    )
     real = lambda c: F.when(F.col(c) != -(1 << 63), F.col(c)).alias(c)
-    return rows.join(sizes, "class_id").select(
-        real("doc_id"), real("class_id"), "n_members", "n_links", (F.col("doc_id") == F.col("class_id")).alias("representative")
+    return rows.join(sizes, "label").select(
+        real("doc_id"), "t", real("class_id"), "n_members", "n_links", (F.col("row") == F.col("own")).alias("representative")
     )
 
 
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per input row: doc_id, class_id, n_members, n_links, representative.
+
+    ``class_id`` is the least doc_id of the group, ``n_members`` the group's
+    rows, ``n_links`` the verified links of the row's text to other texts
+    (copies count as one text), ``representative`` marks the class's own row.
+    Words are runs of letters, digits and characters outside ASCII, A-Z
+    lower-cased. Texts without words are alike only if equal; null and empty
+    texts are alone. A null doc_id counts as the least possible id. Rows that
+    share an id are told apart by their text; groups whose least ids are equal
+    have the same class_id, but are counted apart and have a representative
+    each. Columns other than those named are ignored.
+    """
+    return _grouped(docs, text, doc_id).drop("t")
+
+
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The document with the least id of each group, once, with all its columns.
 
-    Of several rows with that id the one with the least text stays.
+    Documents without an id or with a repeated one are told apart by their
+    text; of rows that repeat both, one stays.
     """
-    classes = near_duplicates(docs, text, doc_id).where("representative").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(classes, F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi")
-    order = Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last())
-    return kept.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+    classes = _grouped(docs, text, doc_id).where("representative").select(F.col("doc_id").alias("_kept"), F.col("t").alias("_kept_t")).distinct()
+    found = docs.withColumn("_t", F.xxhash64(text))
+    kept = found.join(classes, F.col(doc_id).eqNullSafe(F.col("_kept")) & (F.col("_t") == F.col("_kept_t")), "left_semi")
+    order = Window.partitionBy(doc_id, "_t").orderBy(F.col(text).asc_nulls_last())
+    return kept.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn", "_t")

@@ -2,7 +2,7 @@
 
 import random
 
-from sparkloom.llm import order_minhash
+from sparkloom.llm import decontam, order_minhash
 
 
 def test_star_whose_centre_has_the_greatest_id(spark):
@@ -18,3 +18,17 @@ def test_star_whose_centre_has_the_greatest_id(spark):
     got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
     assert len({r.class_id for r in got if r.doc_id < 2000 or r.doc_id == 10**6}) == 1
     assert all(r.n_members == 1 for r in got if 20_000 <= r.doc_id < 20_050)
+
+
+def test_documents_without_or_with_repeated_ids_stay(spark):
+    text = lambda i: " ".join(f"t{i}x{k}" for k in range(40))
+    rows = [(None, text(i)) for i in range(5)] + [(1, text(5)), (1, text(6)), (None, text(0)), (1, text(5)), (2, text(6)), (3, text(7))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = order_minhash.drop_near_duplicates(docs)
+    assert sorted(r.text for r in kept.collect()) == sorted(text(i) for i in range(8))
+    groups = order_minhash.near_duplicates(docs).collect()
+    assert sum(r.representative for r in groups) == 8
+    assert sorted(r.n_members for r in groups) == [1] * 5 + [2] * 6
+    items = spark.createDataFrame([(1, text(0)), (2, text(5))], "item_id long, text string")
+    clean = decontam.drop_contaminated(docs, items)
+    assert sorted(r.text for r in clean.collect()) == sorted(t for _, t in rows if t not in (text(0), text(5)))
