@@ -2,7 +2,12 @@
 
 import importlib
 import math
+import os
 import random
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,12 +195,33 @@ def test_stateful_stream(spark, tmp_path):
     assert sum(totals.values()) == events.count()
 
 
-def test_entry_works_without_the_training_data_subpackage():
+def test_entry_names_agree():
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.FLAGSHIP in entry.queries()
 
 
+@pytest.mark.parametrize("gone", [("sparkloom/llm", "tests/llm"), ("sparkloom/llm", "tests/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
+def test_entry_works_without_the_training_data_subpackage(tmp_path, gone):
+    root = Path(__file__).resolve().parent.parent
+    for part in ("sparkloom", "tests", "__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / part).is_dir():
+            shutil.copytree(root / part, tmp_path / part, ignore=shutil.ignore_patterns("__pycache__"))
+        elif (root / part).exists():
+            shutil.copy(root / part, tmp_path / part)
+    for part in gone:
+        if (tmp_path / part).is_dir():
+            shutil.rmtree(tmp_path / part)
+        else:
+            (tmp_path / part).unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; print(len([q for q in e.queries() if q.startswith('op') and q[2].isdigit()]), 'pipeline' in e.queries(), e.FLAGSHIP in e.queries())"
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+    assert got.returncode == 0, got.stderr
+    many, pipeline, flagship = got.stdout.split()
+    assert flagship == "True" and pipeline == "False"
+    assert (many == "0") == (len(gone) > 1)
+
+
 def test_stems():
     from sparkloom.functions._stem import stem
 
