@@ -7,13 +7,13 @@ gazetteer, the words before it and the shape of its characters. Expectation
 maximisation over the counts of vote patterns (a bounded table) estimates how
 reliable each labeler is; its posteriors are the soft labels from which a
 naive Bayes span classifier over hashed span features is trained. Spans that
-pass their contract check always stay; the classifier decides on the rest.
+pass their contract check always stay; of the others the classifier alone
+decides.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,13 +38,32 @@ PATTERNS: tuple[tuple[str, str, str, str], ...] = (
     ("phone", "phone", r"\+[0-9][\x20().0-9-]+[0-9]", "contains(t, '+')"),
     ("local", "phone", r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])", "t rlike '[0-9]{3}[.-][0-9]{4}'"),
     ("national", "national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "t rlike '[0-9]-[0-9]'"),
-    ("at", "email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z0-9-]{1,63})+", "t rlike '[\\\\[(](at|AT)[\\\\])]'"),
+    ("at", "email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z0-9-]{1,63}+)++", "t rlike '[\\\\[(](at|AT)[\\\\])]'"),
     ("name", "name", r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20\p{Lu}[\p{L}'-]+(?:\x20\p{Lu}[\p{L}'-]+)?", "t rlike '(Mr|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor)'"),
 )
 
-#: Common top-level domains, given names and words that announce personal data or its absence.
-DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "us", "ca", "ch", "at")
-NAMES = ("john", "mary", "james", "anna", "peter", "maria", "thomas", "julia", "michael", "laura", "jean", "marie", "hans", "carlos", "sofia")
+#: Common top-level domains, in the gazetteer of addresses.
+DOMAINS = (
+    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "io", "ai", "app", "dev", "co", "me", "tv", "cc", "eu", "de", "fr", "es", "uk", "us", "ca", "ch", "at", "be", "nl",
+    "it", "pt", "pl", "cz", "sk", "hu", "ro", "bg", "gr", "tr", "ru", "ua", "se", "no", "dk", "fi", "is", "ie", "lu", "li", "mx", "ar", "br", "cl", "pe", "au", "nz", "jp", "cn", "kr", "in", "za", "il",
+)
+#: Common given names in English, German, Spanish and French, in the gazetteer of names.
+NAMES = (
+    "james", "john", "robert", "michael", "william", "david", "richard", "joseph", "thomas", "charles", "daniel", "matthew", "anthony", "mark", "paul", "steven", "andrew", "kevin", "brian", "george",
+    "mary", "patricia", "jennifer", "linda", "elizabeth", "barbara", "susan", "jessica", "sarah", "karen", "lisa", "nancy", "emily", "emma", "olivia", "laura", "alice", "grace", "anna", "julia",
+    "peter", "hans", "klaus", "jürgen", "stefan", "andreas", "wolfgang", "markus", "lukas", "felix", "jonas", "karl", "heinz", "ursula", "monika", "sabine", "petra", "heike", "katrin", "lena",
+    "josé", "carlos", "juan", "luis", "miguel", "javier", "antonio", "francisco", "manuel", "pedro", "pablo", "diego", "sofia", "maria", "carmen", "lucia", "ana", "elena", "isabel", "marta",
+    "jean", "pierre", "michel", "jacques", "philippe", "nicolas", "julien", "antoine", "louis", "henri", "marie", "camille", "sophie", "claire", "nathalie", "isabelle", "céline", "chloé", "léa", "manon",
+)
+#: Leading digits of payment card issuers, and country calling codes.
+ISSUERS = ("34", "35", "36", "37", "38", "4", "51", "52", "53", "54", "55", "56", "57", "58", "6011", "62", "63", "64", "65", "67", "22", "23", "24", "25", "26", "27")
+CALLING = (
+    "1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65",
+    "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98", "212", "213", "216", "234", "254", "351", "352", "353", "354", "355", "356", "357", "358", "359", "370", "371", "372", "380", "385", "420", "421", "852", "886", "971", "972",
+)
+#: Address blocks that name no public host, by their first numbers.
+SPECIAL = ("0.", "10.", "127.", "169.254.", "192.0.2.", "192.168.", "198.51.100.", "203.0.113.", "224.", "239.", "240.", "255.")
+#: Words that announce personal data or its absence.
 CUES = r"(?i)(e-?mail|contact|phone|tel|call|fax|mobile|card|visa|account|ssn|social security|address|ip|host|name|kontakt|telefon|correo|courriel)[^\n]{0,12}$"
 ANTI_CUES = r"(?i)(version|ver\.|v|isbn|issn|section|chapter|figure|order|serial|part|page|rfc|doi|§)[\x20.:#]*$"
 
@@ -71,17 +90,22 @@ def _valid(digits: str = _DIGITS) -> str:
     )
 
 
+def _starts(text: str, listed: tuple[str, ...]) -> str:
+    """Whether a text begins with one of a list."""
+    widths = sorted({len(x) for x in listed})
+    return "(" + " or ".join(f"left({text}, {n}) in ({', '.join(repr(x) for x in listed if len(x) == n)})" for n in widths) + ")"
+
+
 def _votes() -> str:
     """A struct of the labelers' votes: 1 for personal data, -1 against, 0 to abstain."""
     listed = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
-    last = "lower(substring_index(s.token, '.', -1))"
-    second = "lower(regexp_extract(s.token, '([^ .]+)$', 1))"
+    last = "lower(regexp_extract(s.token, '([A-Za-z0-9-]+)$', 1))"
     gazetteer = (
-        f"CASE WHEN s.kind = 'email' THEN CASE WHEN {last} in {listed(DOMAINS)} THEN 1 ELSE 0 END "
-        f"WHEN s.kind = 'name' THEN CASE WHEN exists(split(lower(s.token), ' '), x -> x in {listed(NAMES)}) THEN 1 ELSE 0 END "
-        f"WHEN s.kind = 'card' THEN CASE WHEN s.token rlike '^[3-6]' THEN 1 ELSE -1 END "
-        f"WHEN s.kind = 'ip' THEN CASE WHEN s.token rlike '^(0|127|255)[.]' THEN -1 ELSE 0 END "
-        f"ELSE CASE WHEN {second} = '' THEN -1 ELSE 0 END END"
+        f"CASE s.kind WHEN 'email' THEN IF({last} in {listed(DOMAINS)}, 1, -1) "
+        f"WHEN 'name' THEN IF(exists(split(lower(s.token), '[ .]+'), x -> x in {listed(NAMES)}), 1, 0) "
+        f"WHEN 'card' THEN IF({_starts(_DIGITS, ISSUERS)}, 1, -1) "
+        f"WHEN 'phone' THEN CASE WHEN NOT startswith(s.token, '+') THEN 0 WHEN {_starts(_DIGITS, CALLING)} THEN 1 ELSE -1 END "
+        f"WHEN 'ip' THEN IF({_starts('s.token', SPECIAL)}, -1, 0) ELSE 0 END"
     )
     context = f"CASE WHEN s.before rlike {_spans.quoted(CUES)} THEN 1 WHEN s.before rlike {_spans.quoted(ANTI_CUES)} THEN -1 ELSE 0 END"
     shape = (
@@ -89,12 +113,15 @@ def _votes() -> str:
         f"WHEN size(array_distinct(split({_DIGITS}, ''))) <= 2 THEN -1 "
         "WHEN s.before rlike '[A-Za-z0-9_.#-]$' or s.after rlike '^[A-Za-z0-9_-]' THEN -1 ELSE 1 END"
     )
-    form = "CASE WHEN s.valid THEN 1 WHEN s.base THEN -1 WHEN s.kind in ('national_id', 'phone') THEN 1 ELSE 0 END"
+    form = (
+        "CASE WHEN s.valid THEN 1 WHEN s.base THEN -1 WHEN s.kind = 'national_id' THEN IF(s.token rlike '^(000|666|9)|-00-|-0000$', -1, 1) "
+        "WHEN s.kind = 'phone' THEN IF(s.token rlike '^[(]?[2-9]', 1, -1) ELSE 0 END"
+    )
     return f"named_struct('format', {form}, 'gazetteer', {gazetteer}, 'context', {context}, 'shape', {shape})"
 
 
 def _features() -> str:
-    """Hashed features of a span: form, neighbours and their pairs with the kind."""
+    """Hashed features of a span: its form, its neighbours and each labeler's vote, with the kind."""
     shape = "regexp_replace(regexp_replace(regexp_replace(left(s.token, 24), '[0-9]+', '9'), '[A-Z]+', 'A'), '[a-z]+', 'a')"
     named = [
         ("kind", "s.kind"),
@@ -104,6 +131,7 @@ def _features() -> str:
         ("before", "lower(regexp_extract(s.before, '([A-Za-z]+)[^A-Za-z]*$', 1))"),
         ("near", "concat(right(s.before, 1), '|', left(s.after, 1))"),
         ("valid", "concat(s.base, s.valid)"),
+        *[(f"vote {x}", f"cast(s.votes.{x} as string)") for x in LABELERS],
     ]
     return "array(" + ", ".join(f"cast(pmod(xxhash64('{n}', s.kind, {x}), {FEATURES}) as int)" for n, x in named) + ")"
 
@@ -112,11 +140,13 @@ def candidates(docs: DataFrame, text: str = "text", columns: tuple[str, ...] = (
     """``columns`` of each row and its candidate spans, with their votes and features."""
     read = docs.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("t"))
     read = read.select(*columns, *[F.expr(_spans.pieces_and_matches("t", p, guard)).alias(f"_{c}") for c, _, p, guard in PATTERNS])
-    base = lambda c: f"transform({_spans.spans(f'_{c[0]}', c[1])}, s -> named_struct('kind', s.kind, 'start', s.start, 'stop', s.stop, 'token', s.token, 'before', s.before, 'after', s.after, 'base', {'true' if c[0] in BASE else 'false'}))"
-    read = read.select(*columns, F.expr("concat(" + ", ".join(base(c) for c in PATTERNS) + ")").alias("c"))
-    checked = f"transform(c, s -> named_struct('kind', s.kind, 'start', s.start, 'stop', s.stop, 'token', s.token, 'before', s.before, 'after', s.after, 'base', s.base, 'valid', s.base and ({_valid()})))"
-    read = read.select(*columns, F.expr(checked).alias("c"))
-    short = f"transform(c, s -> named_struct('kind', s.kind, 'start', s.start, 'stop', s.stop, 'base', s.base, 'valid', s.valid, 'votes', {_votes()}, 'features', {_features()}))"
+    read = _spans.located(read, columns, {f"_{c}": kind for c, kind, _, _ in PATTERNS})
+    fields = "'kind', s.kind, 'start', s.start, 'stop', s.stop, 'token', s.token, 'before', s.before, 'after', s.after"
+    base = lambda c: f"transform(_{c}, s -> named_struct({fields}, 'base', {'true' if c in BASE else 'false'}))"
+    read = read.select(*columns, F.expr("concat(" + ", ".join(base(c) for c, *_ in PATTERNS) + ")").alias("c"))
+    read = read.select(*columns, F.expr(f"transform(c, s -> named_struct({fields}, 'base', s.base, 'valid', s.base and ({_valid()})))").alias("c"))
+    read = read.select(*columns, F.expr(f"transform(c, s -> named_struct({fields}, 'base', s.base, 'valid', s.valid, 'votes', {_votes()}))").alias("c"))
+    short = f"transform(c, s -> named_struct('kind', s.kind, 'start', s.start, 'stop', s.stop, 'base', s.base, 'valid', s.valid, 'votes', s.votes, 'features', {_features()}))"
     return read.select(*columns, F.expr(short).alias("c"))
 
 
@@ -185,22 +215,19 @@ def train(found: DataFrame) -> tuple[float, list[float]]:
 
 
 def scored(found: DataFrame, columns: tuple[str, ...], bias: float, weights: list[float]) -> DataFrame:
-    """``columns``, the base spans and all spans of each row, by kind and start."""
+    """``columns``, the base spans and all spans of each row, by kind and start; the classifier alone decides on spans beyond the base."""
     table = found.select(*columns, "c", long_array(weights, "double").alias("w"))
     logit = f"aggregate(s.features, cast({bias!r} as double), (a, f) -> a + element_at(w, f + 1))"
-    listed = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
-    ordered = (
-        f"array_sort({{}}, (a, b) -> CASE WHEN a.kind <> b.kind THEN cast(array_position({listed}, a.kind) - array_position({listed}, b.kind) as int) "
-        "ELSE a.start - b.start END)"
-    )
     slim = "named_struct('kind', s.kind, 'start', s.start, 'stop', s.stop)"
-    base = f"transform(filter(c, s -> s.valid), s -> {slim})"
-    more = (
-        f"transform(filter(c, s -> NOT s.valid AND NOT s.base AND {logit} > 0 AND s.votes.format + s.votes.gazetteer + s.votes.context + s.votes.shape > 0 "
-        f"AND NOT exists(c, x -> x.valid AND x.start < s.stop AND s.start < x.stop)), s -> {slim})"
+    table = table.select(
+        *columns,
+        F.expr(f"transform(filter(c, s -> s.valid), s -> {slim})").alias("b"),
+        F.expr(f"transform(filter(c, s -> NOT s.base AND {logit} > 0), s -> {slim})").alias("m"),
+    )
+    table = _spans.outside(table, columns, "b", "m")
+    return table.select(
+        *columns, F.expr(_spans.in_order("b", KINDS, True)).alias("base"), F.expr(_spans.in_order("concat(b, m)", KINDS, True)).alias("spans")
     )
-    table = table.select(*columns, F.expr(base).alias("b"), F.expr(more).alias("m"))
-    return table.select(*columns, F.expr(ordered.format("b")).alias("base"), F.expr(ordered.format("concat(b, m)")).alias("spans"))
 
 
 def find_pii(docs: DataFrame, text: str = "text", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -234,10 +261,5 @@ def redact_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     trained = train(keep(candidates(docs.select(F.col(text).alias("text")), columns=())))
     found = candidates(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text")), "_text", ("_row", "_text"))
-    done = scored(found, ("_row", "_text"), *trained)
-    changed = F.expr(_spans.redacted("_text", "spans"))
-    return done.select(*[changed.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns])
-
-
-#: All vote patterns, for tests.
-ALL_VOTES = tuple(product((-1, 0, 1), repeat=len(LABELERS)))
+    done = _spans.redacted(scored(found, ("_row", "_text"), *trained), ("_row",), "_text", "spans")
+    return done.select(*[F.col("_text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -1,8 +1,8 @@
 """Secret scans by character Markov models.
 
 Two models of character pairs, one of random strings and one of ordinary
-identifiers, are counted from labelled samples: values found by the contract
-patterns against words of the same texts. Long tokens outside the contract
+identifiers, are counted from labelled values of all documents: those found by
+the contract patterns against words of the same texts. Long tokens outside the contract
 spans are secrets if the mean log-likelihood ratio of the two models is above
 a threshold that is calibrated on the labelled identifiers.
 """
@@ -23,13 +23,12 @@ KINDS = (*BASE, "random")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 CLASSES = len(ALPHABET) + 1
 MIN_LENGTH = 20
-#: The models are fitted on at most this many labelled rows (documents), chosen by hash.
-SAMPLE_ROWS = 5_000
 #: Mean log-likelihood ratio for each character that is asked for at least.
 LEAST_RATIO = 0.25
 
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]++"""
 _ASSIGN_VALUE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_IDENTIFIER = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{3,}[A-Za-z_-]{3,}[0-9]{0,3}(?![A-Za-z0-9+/_=-])"
 _TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}+"
 PATTERNS: tuple[tuple[str, str, str], ...] = (
     ("assign", _ASSIGN, "t rlike '(?i:password|passwd|secret|token|api_?key)'"),
@@ -55,7 +54,8 @@ def _pairs(classes: str) -> str:
 def _found(docs: DataFrame, text: str, columns: tuple[str, ...]) -> DataFrame:
     """``columns`` and an array of spans for each pattern; failing contract matches are gone."""
     read = docs.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("t"))
-    read = read.select(*columns, *[F.expr(_spans.pieces_and_matches("t", p, g)).alias(f"_{c}") for c, p, g in PATTERNS])
+    read = read.select(*columns, *[F.expr(_spans.pieces_and_matches("t", p, g)).alias(c) for c, p, g in PATTERNS])
+    read = _spans.located(read, columns, {c: c for c in KINDS}, 1)
     good = {
         "assign": f"length(regexp_extract(s.token, {_spans.quoted(_ASSIGN_VALUE)}, 1)) >= 8",
         "access": "length(s.token) >= 16",
@@ -64,33 +64,27 @@ def _found(docs: DataFrame, text: str, columns: tuple[str, ...]) -> DataFrame:
     }
     value = {"assign": f"regexp_extract(s.token, {_spans.quoted(_ASSIGN_VALUE)}, 1)"}
     slim = lambda c: (
-        f"transform(filter({_spans.spans(f'_{c}', c, 1)}, s -> {good[c]}), s -> "
-        f"named_struct('kind', s.kind, 'start', s.start, 'stop', s.stop, 'value', {value.get(c, 's.token')}))"
+        f"transform(filter({c}, s -> {good[c]}), s -> named_struct('kind', s.kind, 'start', s.start, 'stop', s.stop, 'value', {value.get(c, 's.token')}))"
     )
     return read.select(*columns, *[F.expr(slim(c)).alias(c) for c in KINDS])
 
 
-def train(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[list[float], float]:
+def train(docs: DataFrame, text: str = "text") -> tuple[list[float], float]:
     """Log ratio for each character pair, and the threshold.
 
-    Labelled rows are documents with a contract secret (random strings) and
-    the words of letters, with a few digits after them, in the same sample
-    (identifiers). With no secret in the sample, random strings count as
-    uniform. The threshold lies above all but one in a thousand identifiers.
+    Labelled rows are the distinct values found by the contract patterns
+    (random strings) and the distinct words of letters, with a few digits
+    after them (identifiers), of all documents. Without any secret, random
+    strings count as uniform. The threshold lies above all but one in a
+    thousand of all identifiers, from counts in steps of a thousandth.
     """
-    order = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    hashed = docs.select(F.col(text).alias("text"), order.alias("o"))
-    # Only hashes are ordered; the texts up to the last one stay where they are.
-    last = hashed.select("o").orderBy("o").limit(sample_rows).agg(F.max("o").alias("o")).first()["o"]
-    sample = hashed.where(F.col("o") <= F.lit(last)).select("text")
-    spans = _found(sample, "text", ("text",))
+    read = docs.select(F.col(text).alias("text"))
     codes = F.from_json(F.lit(_CODES), "array<int>").alias("codes")
-    secrets = spans.select(F.explode(F.concat(*BASE)).alias("s"))
-    good = secrets.select(F.col("s.value").alias("token"), F.lit(1).alias("y"))
+    good = _found(read, "text", ()).select(F.explode(F.concat(*BASE)).alias("s")).select(F.col("s.value").alias("token"), F.lit(1).alias("y"))
     cleaned = F.regexp_replace(F.coalesce("text", F.lit("")), _ASSIGN + r"|AKIA[A-Z0-9]++|[0-9a-f]{32,}+", " ")
-    words = sample.select(F.explode(F.regexp_extract_all(cleaned, F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{3,}[A-Za-z_-]{3,}[0-9]{0,3}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("token"))
-    # Identifiers are counted once each; the distinct words of the sample are what is told apart.
-    labelled = good.unionAll(words.distinct().withColumn("y", F.lit(0)))
+    words = read.select(F.explode(F.regexp_extract_all(cleaned, F.lit(_IDENTIFIER), F.lit(0))).alias("token"), F.lit(0).alias("y"))
+    # Each value counts once, whatever its number of copies; repeats go before the shuffle.
+    labelled = good.unionAll(words).distinct()
     labelled = keep(labelled.select("y", codes, "token").select("y", F.expr(_classes("token")).alias("k")).select("y", F.expr(_pairs("k")).alias("p")))
     counts = labelled.select("y", F.explode("p").alias("p")).groupBy("y", "p").agg(F.count(F.lit(1)).alias("n")).collect()
     # At most 2 * CLASSES ** 2 rows.
@@ -111,15 +105,20 @@ def train(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -
         logs.append(out)
     ratio = [round(x - y, 6) for x, y in zip(logs[1], logs[0], strict=True)]
     mean = F.expr("aggregate(p, cast(0 as double), (a, x) -> a + element_at(w, x + 1)) / size(p)")
-    top = (
-        labelled.where("y = 0 AND size(p) >= 12").select("p", long_array(ratio, "double").alias("w")).agg(F.percentile(mean, 0.999).alias("top")).first()["top"]
-    )
-    return ratio, max(LEAST_RATIO, round((top or 0.0) + 0.05, 6))
-
-
-def find_secrets(
-    docs: DataFrame, text: str = "text", columns: tuple[str, ...] = ("doc_id",), sample_rows: int = SAMPLE_ROWS
-) -> DataFrame:
+    steps = F.floor(mean * 1000).cast("int").alias("step")
+    long_ = labelled.where("y = 0 AND size(p) >= 12").select("p", long_array(ratio, "double").alias("w"))
+    seen = sorted((r["step"], r["n"]) for r in long_.select(steps).groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect())
+    # At most some ten thousand steps, since a mean lies between the least and the largest ratio.
+    above, top = sum(n for _, n in seen) // 1000, 0.0
+    for step, n in reversed(seen):
+        top = (step + 1) / 1000
+        above -= n
+        if above < 0:
+            break
+    return ratio, max(LEAST_RATIO, round(top + 0.05, 6))
+
+
+def find_secrets(docs: DataFrame, text: str = "text", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per input row: ``columns``, base and spans (arrays of kind, start, stop).
 
     Base spans are the contract matches that pass their length checks; spans
@@ -128,21 +127,21 @@ def find_secrets(
     training, so that repeated rows get equal results and null ids are
     allowed. Columns of the input other than those named are ignored.
     """
-    ratio, threshold = train(docs, text, sample_rows)
+    ratio, threshold = train(docs, text)
     found = _found(docs, text, columns).select(
         *columns, *KINDS, long_array(ratio, "double").alias("w"), F.from_json(F.lit(_CODES), "array<int>").alias("codes")
     )
     slim = "named_struct('kind', s.kind, 'start', s.start, 'stop', s.stop)"
     mean = f"aggregate({_pairs(_classes('s.value'))}, named_struct('n', 0, 't', cast(0 as double)), (a, x) -> named_struct('n', a.n + 1, 't', a.t + element_at(w, x + 1)), a -> a.t / greatest(1, a.n))"
-    found = found.select(*columns, "w", "codes", F.expr(f"transform(concat({', '.join(BASE)}), s -> {slim})").alias("b"), "random")
-    more = f"transform(filter(random, s -> NOT exists(b, x -> x.start < s.stop AND s.start < x.stop) AND {mean} > {threshold!r}D), s -> {slim})"
-    found = found.select(*columns, "b", F.expr(more).alias("m"))
-    listed = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
-    ordered = (
-        f"array_sort({{}}, (a, b) -> CASE WHEN a.start <> b.start THEN a.start - b.start "
-        f"ELSE cast(array_position({listed}, a.kind) - array_position({listed}, b.kind) as int) END)"
+    table = found.select(
+        *columns,
+        F.expr(f"transform(concat({', '.join(BASE)}), s -> {slim})").alias("b"),
+        F.expr(f"transform(filter(random, s -> {mean} > {threshold!r}D), s -> {slim})").alias("m"),
+    )
+    table = _spans.outside(table, columns, "b", "m")
+    return table.select(
+        *columns, F.expr(_spans.in_order("b", KINDS, False)).alias("base"), F.expr(_spans.in_order("concat(b, m)", KINDS, False)).alias("spans")
     )
-    return found.select(*columns, F.expr(ordered.format("b")).alias("base"), F.expr(ordered.format("concat(b, m)")).alias("spans"))
 
 
 def secret_report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

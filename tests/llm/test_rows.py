@@ -1,11 +1,12 @@
 """Row-wise operators against plain Python on hard rows and on a small table."""
 
 import hashlib
+import random
 import re
 
 import pytest
 
-from sparkloom.llm import chat, licenses, pii, quality, secrets, urls
+from sparkloom.llm import _spans, chat, licenses, pii, quality, secrets, urls
 
 SMALL = "/root/testdata/sf0.001"
 HARD = [
@@ -72,6 +73,75 @@ def test_redaction(spark):
     assert got == {1: ("mail [EMAIL] or [PHONE].", 5), 2: (None, 6), 3: ("clean é", 7)}
 
 
+def test_long_texts_full_of_matches(spark):
+    """Neither a deep recursion nor work that grows with the square of the matches."""
+    chain = "a (at) b" + " (dot) c" * 20_000
+    numbers = " ".join(str(10**6 + i) for i in range(40_000)) + " 1.2.3.4" + " +1 555 0100 200," * 5000
+    table = spark.createDataFrame([(1, chain), (2, numbers)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pii_report(table).collect()}
+    assert got[2].n_phone == 5000 and got[2].n_ip == 1
+    text = {r.doc_id: r.text for r in pii.redact_pii(table).collect()}
+    assert text[2].count("[PHONE]") == 5000 and text[2].count("[IP]") == 1
+
+
+def test_span_helpers(spark):
+    rng = random.Random(11)
+    cases = []
+    for k in range(60):
+        text = "".join(rng.choice("abé𝄞 ") for _ in range(rng.choice([0, 5, 40, 1500, 5000])))
+        cut = lambda n: sorted({(a, min(len(text), a + rng.randrange(1, 40))) for a in (rng.randrange(len(text)) for _ in range(n)) if a < len(text)}) if text else []  # noqa: B023, E731
+        cases.append((k, text, [("x", a, b) for a, b in cut(rng.choice([0, 3, 300]))], [("y", a, b) for a, b in cut(rng.choice([0, 3, 600]))]))
+    spans = "array<struct<kind:string,start:int,stop:int>>"
+    table = spark.createDataFrame(cases, f"id int, text string, b {spans}, m {spans}")
+    free = {r.id: [tuple(s) for s in r.m] for r in _spans.outside(table, ("id",), "b", "m").collect()}
+    changed = {r.id: r.text for r in _spans.redacted(table, ("id",), "text", "m").collect()}
+    for k, text, b, m in cases:
+        assert sorted(free[k]) == sorted(s for s in m if not any(x[1] < s[2] and s[1] < x[2] for x in b))
+        out, at = [], 0
+        for a, c in sorted(((s[1], s[2]) for s in m), key=lambda s: (s[0], -s[1])):
+            if a >= at:
+                out += [text[at:a], "[Y]"]
+            at = max(at, c)
+        assert changed[k] == "".join(out) + text[at:]
+
+
+def test_pii_spans_follow_the_classifier(spark, docs):
+    """The added spans, from the trained weights, in plain Python."""
+    found = pii.keep(pii.candidates(docs))
+    bias, weights = pii.train(found)
+    rows = {}
+    for r in found.collect():
+        valid = [(s.kind, s.start, s.stop) for s in r.c if s.valid]
+        more = [(s.kind, s.start, s.stop) for s in r.c if not s.base and bias + sum(weights[f] for f in s.features) > 1e-9 and not any(x[1] < s.stop and s.start < x[2] for x in valid)]
+        rows.setdefault(r.doc_id, []).append(sorted(valid + more, key=lambda s: (pii.KINDS.index(s[0]), s[1], s[2])))
+    got = {}
+    for r in pii.scored(found, ("doc_id",), bias, weights).collect():
+        got.setdefault(r.doc_id, []).append([tuple(s) for s in r.spans])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in rows.items()}
+    assert any(s[0] == "national_id" for s in got[14][0])
+
+
+def test_secret_spans_follow_the_models(spark, docs):
+    """The added spans, from the trained ratios, in plain Python."""
+    ratio, threshold = secrets.train(docs)
+    code = lambda c: secrets.ALPHABET.find({"-": "+", "_": "/"}.get(c, c)) + 1
+    want = {}
+    for r in docs.collect():
+        base = brute_secrets(r.text)[3]
+        more = []
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", r.text or ""):
+            k = [code(c) for c in m[0] if c != "="]
+            mean = sum(ratio[a * secrets.CLASSES + b] for a, b in zip([0, *k], k)) / max(1, len(k))
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and mean > threshold and not any(x[1] < m.end() and m.start() < x[2] for x in base):
+                more.append(("random", m.start(), m.end()))
+        every = sorted(base + more, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+        want.setdefault(r.doc_id, []).append(",".join(f"{k}:{a}:{b}" for k, a, b in every))
+    got = {}
+    for r in secrets.secret_report(docs).collect():
+        got.setdefault(r.doc_id, []).append(r.spans)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def brute_secrets(text):
     t = text or ""
     a = found(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, "assign", lambda m: len(m[2]) >= 8)
