@@ -6,6 +6,7 @@ megabytes, so that memory follows the block and not the batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,6 +101,35 @@ def segment_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+#: Segments above this many bytes get a cryptographic hash: sums of powers modulo 2^64 can be made to meet in long texts.
+LONG = 128
+
+
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = TABLE, folded: np.ndarray | None = None) -> np.ndarray:
+    """Hash of each segment; ``folded`` are the bytes that count, where these are not ``data`` itself."""
+    out = segment_hash(prefix_hash(data, table), starts, ends)
+    at = np.flatnonzero(ends - starts > LONG)
+    if len(at):
+        body = (data if folded is None else folded).tobytes()
+        out[at] = [int.from_bytes(hashlib.blake2b(body[starts[i] : ends[i]], digest_size=8).digest(), "little") for i in at]
+    return out
+
+
+def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from ``a`` and from ``b`` are the same, for each pair."""
+    out = np.ones(len(a), bool)
+    some = np.flatnonzero(size)
+    for part in np.array_split(some, max(1, int(size.sum()) // BLOCK)) if len(some) else ():
+        if not len(part):
+            continue
+        n = size[part]
+        first = np.concatenate([[0], np.cumsum(n)[:-1]])
+        step = np.arange(n.sum()) - np.repeat(first, n)
+        same = data[np.repeat(a[part], n) + step] == data[np.repeat(b[part], n) + step]
+        out[part] = np.logical_and.reduceat(same, first)
+    return out
+
+
 def gram_hash(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k values."""
     n = len(h) - k + 1

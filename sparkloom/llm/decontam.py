@@ -176,9 +176,11 @@ def decontaminate(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents that are not contaminated, with all their columns; rows of one id are told apart by their text."""
     judged = _judged(docs, benchmark, WINDOW, text, doc_id, "item_id", 20)
-    bad = judged.where("contaminated").select(F.col("id.doc_id").alias("_bad"), F.col("id.h").alias("_bad_h")).distinct()
-    same = F.col(doc_id).eqNullSafe(F.col("_bad")) & (F.xxhash64(F.col(text)) == F.col("_bad_h"))
-    return docs.join(bad, same, "left_anti")
+    bad = judged.where("contaminated").select(F.col("id.doc_id").alias("bad"), F.col("id.h").alias("bad_h")).distinct()
+    # The row travels as one struct, so that its columns may have any name.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("own"), F.xxhash64(F.col(text)).alias("own_h"))
+    clean = rows.join(bad, F.col("own").eqNullSafe(F.col("bad")) & (F.col("own_h") == F.col("bad_h")), "left_anti")
+    return clean.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 #: The same in DuckDB's SQL, by comparing all windows.

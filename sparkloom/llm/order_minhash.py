@@ -19,6 +19,7 @@ exchange with checkpoints.
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -47,6 +48,9 @@ GROWTH = 8
 _BAND = 0.224
 _FACTORS = K.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Bytes with A-Z as a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def _labelled(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,17 +84,24 @@ def _labelled(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _sequences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes (case of A-Z folded) and each text's first word."""
     starts, ends, first = K.runs(K.ALNUM[data], offsets)
-    return K.segment_hash(K.prefix_hash(data, K.FOLDED), starts, ends), first
-
-
-def _digest(h: np.ndarray, first: np.ndarray, seed: int) -> np.ndarray:
-    """One hash of each text's word sequence."""
-    powers = np.ones(len(h) + 1, np.uint64)
-    base = np.uint64((seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF | 1)
-    powers[1:] = np.multiply.accumulate(np.full(len(h), base, np.uint64))
-    at = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(h ^ base) * powers[at], dtype=np.uint64)])
-    return K.mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64))
+    return K.word_hash(data, starts, ends, K.FOLDED, LOWER[data]), first
+
+
+def _digests(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """128 bits of the SHA-256 of each text's words, joined by spaces, as two integers; of the raw text where there are no words."""
+    inside = K.ALNUM[data]
+    starts, _, first = K.runs(inside, offsets)
+    later = np.ones(len(starts), bool)
+    later[first[:-1][np.diff(first) > 0]] = False
+    gap = np.zeros(len(data), bool)
+    gap[starts[later] - 1] = True
+    kept = inside | gap
+    body = np.where(gap, np.uint8(32), LOWER[data])[kept].tobytes()
+    at = np.concatenate([[0], np.cumsum(kept)])[offsets].tolist()
+    words = (np.diff(first) > 0).tolist()
+    raw = data.tobytes()
+    out = [hashlib.sha256(b"w" + body[at[i] : at[i + 1]] if words[i] else b"r" + raw[offsets[i] : offsets[i + 1]]).digest()[:16] for i in range(len(words))]
+    return np.frombuffer(b"".join(out), np.int64).reshape(-1, 2)
 
 
 def _sketches(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -140,22 +151,19 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, data, offsets in K.small_batches(batches, "text"):
         h, first = _sequences(data, offsets)
         n = len(offsets) - 1
-        one, two = _digest(h, first, 3), _digest(h, first, 5)
+        digest = _digests(data, offsets)
         words = np.diff(first)
         shingles, bounds = _labelled(h, first)
         keys = _sketches(shingles, bounds).view(np.int64)
         lists = np.full((n,), 0, np.int32)
         lists[words > 0] = SKETCHES
-        # Texts without words are the same only if all their characters are.
-        raw = K.segment_hash(K.prefix_hash(data), offsets[:-1], offsets[1:])
-        one = np.where(words > 0, one, raw ^ np.uint64(0x5851F42D4C957F2D))
         empty = np.diff(offsets) == 0
         yield pa.RecordBatch.from_arrays(
             [
                 part.column("doc_id"),
                 part.column("t"),
-                pa.array(one.view(np.int64), mask=empty),
-                pa.array(two.view(np.int64)),
+                pa.array(digest[:, 0], mask=empty),
+                pa.array(digest[:, 1]),
                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lists)]).astype(np.int32)), pa.array(keys.reshape(-1))),
                 pa.array(np.diff(bounds).astype(np.int32)),
             ],
@@ -521,8 +529,10 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     Documents without an id or with a repeated one are told apart by their
     text; of rows that repeat both, one stays.
     """
-    classes = _grouped(docs, text, doc_id).where("representative").select(F.col("doc_id").alias("_kept"), F.col("t").alias("_kept_t")).distinct()
-    found = docs.withColumn("_t", F.xxhash64(text))
-    kept = found.join(classes, F.col(doc_id).eqNullSafe(F.col("_kept")) & (F.col("_t") == F.col("_kept_t")), "left_semi")
-    order = Window.partitionBy(doc_id, "_t").orderBy(F.col(text).asc_nulls_last())
-    return kept.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn", "_t")
+    classes = _grouped(docs, text, doc_id).where("representative").select(F.col("doc_id").alias("kept"), F.col("t").alias("kept_t")).distinct()
+    # The row travels as one struct, so that its columns may have any name.
+    found = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("t"))
+    kept = found.join(classes, F.col("id").eqNullSafe(F.col("kept")) & (F.col("t") == F.col("kept_t")), "left_semi")
+    order = Window.partitionBy("id", "t").orderBy(F.col("text").asc_nulls_last())
+    first = kept.withColumn("rn", F.row_number().over(order)).where("rn = 1")
+    return first.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

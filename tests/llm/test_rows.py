@@ -190,6 +190,31 @@ def test_quality(spark, docs):
     assert quality.judge(docs.where("false"), labels).count() == 0
 
 
+def twins(n=10):
+    """Two texts of 2 ** n characters that meet in every polynomial modulo 2 ** 64: a Thue-Morse string and its complement."""
+    a = "a"
+    for _ in range(n):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_quality_counts_are_exact(spark):
+    a, b = twins()
+    rows = [(1, f"{a}\n{b}"), (2, f"{a}\n{b}\n{a}\n{b}\n{a}"), (3, " ".join([a, "x", "y", "z", "u", b, "x", "y", "z", "u"])), (-1, "plain words " * 20), (None, "other words " * 20)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(-1, 1), (1, 0)], "doc_id long, quality int")).collect()}
+    assert [got[i].n_dup_lines for i in (1, 2)] == [0, 3]
+    assert all(tuple(got[i][1:7]) == brute_quality(t)[:1] + brute_quality(t)[1:6] for i, t in rows)
+
+
+def test_quality_labels_never_fall_on_null_ids(spark):
+    text = "some ordinary words stand here and there in this text"
+    rows = [(None, "z" * 400 + " " + text), (-1, text), (0, "q" * 50)]
+    labels = spark.createDataFrame([(-1, 1), (0, 1), (5, 0)], "doc_id long, quality int")
+    ratio, _ = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    only, _ = quality.train(spark.createDataFrame([(7, rows[0][1]), *rows[1:]], "doc_id long, text string"), labels)
+    assert (ratio == only).all()
+
+
 def test_chat(spark):
     rows = [
         (1, 2, "assistant", "a </s> [INST] <\\s> <\\\\/s> é𝄞"), (1, 1, "user\nx\\n", None), (1, 2, "assistant", "a"), (None, 1, None, "<s>"),

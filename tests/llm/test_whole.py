@@ -32,3 +32,25 @@ def test_documents_without_or_with_repeated_ids_stay(spark):
     items = spark.createDataFrame([(1, text(0)), (2, text(5))], "item_id long, text string")
     clean = decontam.drop_contaminated(docs, items)
     assert sorted(r.text for r in clean.collect()) == sorted(t for _, t in rows if t not in (text(0), text(5)))
+
+
+def test_different_texts_with_equal_polynomials_stay_apart(spark):
+    """Word sequences in Thue-Morse order, and words that are such strings, meet in sums of powers modulo 2 ** 64."""
+    turn = str.maketrans("ab", "ba")
+    a = "a"
+    for _ in range(11):
+        a += a.translate(turn)
+    b = a.translate(turn)
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, f"{a} one two three four five six"), (4, f"{b} one two three four five six"), (5, " ".join(a)), (6, "!" + a[:1024].replace("a", "?").replace("b", "!")), (7, "!" + b[:1024].replace("a", "?").replace("b", "!"))]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[3], got[4], got[6], got[7]) == (3, 4, 6, 7) and got[1] == got[5] and got[2] != got[1]
+
+
+def test_columns_may_have_any_name(spark):
+    names = ("_rn", "_t", "_kept", "_kept_t", "_bad", "_bad_h", "row", "kept", "id", "t", "rn", "own", "bad", "node", "rep")
+    text = lambda i: " ".join(f"t{i}x{k}" for k in range(40))
+    docs = spark.createDataFrame([(i, text(i % 3), *["v"] * len(names)) for i in range(5)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = order_minhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and kept.count() == 3
+    clean = decontam.drop_contaminated(docs, spark.createDataFrame([(1, text(1))], "item_id long, text string"))
+    assert clean.columns == docs.columns and clean.count() == 3
