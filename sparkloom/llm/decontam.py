@@ -1,15 +1,18 @@
 """Benchmark decontamination by winnowing.
 
-A run of ``k`` words is hashed at each position and the least hash of each
-window of ``w`` positions is kept. With ``k + w - 1`` equal to the shortest
-benchmark window (13 words unless an item is shorter), any shared span of that
-length contains a kept hash on both sides, so joining the kept hashes misses
-nothing. Each hit is then extended: all windows around the shared run are
-compared word by word with the benchmark's windows.
-
-The document side is never grouped by hash. The benchmark side is broadcast
-only where its counted fingerprints stay under a fixed bound; otherwise both
-sides are shuffled, the benchmark side having one row for each fingerprint.
+A run of ``k`` words is hashed at each position, and the positions are kept
+that hold the least hash of some window of ``w`` positions. With ``k + w - 1``
+equal to the length of a benchmark window (13 words, or all words of a shorter
+item), any shared span of that length contains a kept hash on both sides, so
+joining the kept hashes misses nothing. Items are winnowed by their own length,
+so that a short item leaves the others as they are. Each hit is then extended:
+all windows around the shared run are compared word by word with the
+benchmark's windows.
+
+Only (document, hash, position) rows meet the benchmark's hashes; words are
+read again for the documents that are hit, as slices. The benchmark side is
+broadcast only where its counted rows stay under a fixed bound; otherwise both
+sides are shuffled, the benchmark side having one row for each hash.
 """
 
 from __future__ import annotations
@@ -19,116 +22,104 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm._base import keep, lower_ascii
 
-#: Lower-cased words: letters, digits and everything outside ASCII.
-ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, which are letters, digits and everything outside ASCII.
+ITEM_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 GRAM = 5
-#: Most fingerprints (8 bytes each, with overhead under 100 MB) that are broadcast.
+#: Most rows of the benchmark side (with overhead under 100 MB) that are broadcast.
 BROADCAST_ROWS = 1_000_000
-#: Positions take the low bits of a packed fingerprint.
-POSITION_BITS = 24
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(ITEM_WORD), F.lit(0))
-
-
-def _packed_grams(words: str, k: int) -> str:
-    """Hash of each run of k words over its position, in one long: order is by hash, then position."""
-    mask = (1 << POSITION_BITS) - 1
-    return (
-        f"transform(sequence(1, size({words}) - {k} + 1), "
-        f"i -> (xxhash64(slice({words}, i, {k})) & {~mask}L) | cast(i as bigint))"
-    )
-
-
-def fingerprints(words: str, k: int, w: int) -> Column:
-    """Packed winnowing fingerprints; empty where the text has fewer than ``k + w - 1`` words."""
-    grams = _packed_grams(words, k)
-    least = (
-        grams
-        if w == 1
-        else f"aggregate(array({grams}), cast(array() as array<bigint>), (acc, g) -> "
-        f"array_distinct(transform(sequence(1, size(g) - {w} + 1), i -> array_min(slice(g, i, {w})))))"
-    )
-    return F.expr(f"CASE WHEN size({words}) >= {k + w - 1} THEN {least} ELSE cast(array() as array<bigint>) END")
-
-
-def contaminated_windows(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Rows (doc_id, start, len, window) for each benchmark window found in a document, each once.
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), ITEM_GAP), "")
+
+
+def _doubling(w: int) -> str:
+    """Shifts after which a running minimum or maximum spans ``w`` places."""
+    steps, width = [], 1
+    while 2 * width <= w:
+        steps.append(width)
+        width *= 2
+    return "array(" + ", ".join(str(k) for k in steps + ([w - width] if w > width else [])) + ")"
+
+
+def fingerprints(rows: DataFrame, lengths: list[int], gram: int = GRAM) -> DataFrame:
+    """(id, len, fp, at) of rows (id, words): the kept hashes for windows of each length; ``at`` counts words from 1."""
+    made = rows
+    for k in sorted({min(gram, n) for n in lengths}):
+        run = ", ".join(["x", *[f"words[i + {j}]" for j in range(1, k)]])
+        grams = f"CASE WHEN size(words) >= {k} THEN transform(slice(words, 1, size(words) - {k - 1}), (x, i) -> xxhash64({run})) ELSE cast(array() as array<bigint>) END"
+        made = made.withColumn(f"_g{k}", F.expr(grams))
+    for n in lengths:
+        k = min(gram, n)
+        w = n - k + 1
+        g, low, top = f"_g{k}", f"_low{n}", f"_top{n}"
+        if w == 1:
+            kept = f"transform({g}, (x, i) -> named_struct('len', {n}, 'fp', x, 'at', i + 1))"
+        else:
+            none = "cast(array() as array<bigint>)"
+            least = f"slice(aggregate({_doubling(w)}, {g}, (a, k) -> zip_with(a, slice(a, k + 1, size(a) - k), (x, y) -> least(x, y))), 1, size({g}) - {w - 1})"
+            made = made.withColumn(low, F.expr(f"CASE WHEN size({g}) >= {w} THEN {least} ELSE {none} END"))
+            # The largest of the minima of all windows around a position: the position's own hash where it is kept.
+            most = f"aggregate({_doubling(w)}, {low}, (a, k) -> zip_with(a, concat(array_repeat(cast(null as bigint), k), a), (x, y) -> greatest(x, y)))"
+            made = made.withColumn(top, F.expr(f"CASE WHEN size({low}) > 0 THEN {most} ELSE {none} END"))
+            own = f"filter(transform({top}, (x, i) -> named_struct('len', {n}, 'fp', {g}[i], 'at', IF({g}[i] = x, i + 1, 0))), s -> s.at > 0)"
+            kept = own
+        made = made.withColumn(f"_kept{n}", F.expr(kept))
+    return made.select("id", F.expr("inline(concat(" + ", ".join(f"_kept{n}" for n in lengths) + "))"))
+
+
+def _windows(rows: DataFrame) -> DataFrame:
+    """(item, len, window) of the items' windows, each once."""
+    each = F.expr("transform(sequence(1, size(words) - len + 1), i -> concat_ws(' ', slice(words, i, len)))")
+    return rows.select(F.col("id").alias("item"), "len", F.explode(each).alias("window")).distinct()
+
+
+def contaminated_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, start, len, window) for each benchmark window found in a document, each once; and the items' windows (item, len, window).
 
     ``docs`` and ``items`` have columns (id, words). Start counts words from 1.
     """
-    sized = items.where(F.size("words") > 0).withColumn("len", F.least(F.size("words"), F.lit(window)))
-    found = sized.agg(F.min("len").alias("least"), F.max("len").alias("most")).first()
-    shortest = found["least"] or window
-    k = min(gram, shortest)
-    w = shortest - k + 1
-    lengths = [r["len"] for r in sized.select("len").distinct().collect()] or [window]  # at most ``window`` of them
-
-    prints = keep(
-        sized.select(F.explode(fingerprints("words", k, w)).alias("p"))
-        .select(F.shiftright("p", POSITION_BITS).alias("fp"))
-        .distinct()
-    )
-    windows = (
-        sized.select("id", "words", "len", F.explode(F.expr("sequence(1, size(words) - len + 1)")).alias("i"))
-        .select("len", F.expr("concat_ws(' ', slice(words, i, len))").alias("window"))
-        .distinct()
-    )
-    # Both tables come from the benchmark; their size is counted before either is broadcast.
-    windows = keep(windows)
-    few = windows.count() <= broadcast_rows and prints.count() <= broadcast_rows
+    sized = keep(items.where(F.size("words") > 0).withColumn("len", F.least(F.size("words"), F.lit(window))))
+    lengths = sorted(r["len"] for r in sized.select("len").distinct().collect()) or [window]  # at most ``window`` of them
+    marks = []
+    for n in lengths:
+        marks.append(fingerprints(sized.where(F.col("len") == n).select("id", "words"), [n], gram).select("len", "fp"))
+    prints = marks[0]
+    for more in marks[1:]:
+        prints = prints.unionAll(more)
+    prints = keep(prints.distinct())
+    in_items = keep(_windows(sized))
+    # All of these come from the benchmark; their size is counted before any is broadcast.
+    few = in_items.count() <= broadcast_rows and prints.count() <= broadcast_rows
     near = F.broadcast if few else (lambda df: df)
 
-    reach = max(lengths)
-    hits = (
-        docs.select("id", "words", F.explode(fingerprints("words", k, w)).alias("p"))
-        .select("id", "words", F.shiftright("p", POSITION_BITS).alias("fp"), F.expr(f"cast(p & {(1 << POSITION_BITS) - 1}L as int)").alias("at"))
-        .join(near(prints), "fp", "left_semi")
-        # Everything that a window with this run of words can hold.
-        .select("id", "at", F.expr(f"greatest(1, at + {k} - {reach})").alias("from"), "words")
-        .select("id", "at", "from", F.expr(f"slice(words, from, at - from + {reach})").alias("words"))
-    )
-    spans = " ".join(
-        ["concat("]
-        + [
-            ", ".join(
-                f"CASE WHEN size(words) >= {n} THEN transform(filter(sequence(1, size(words) - {n} + 1), "
-                f"i -> from + i - 1 <= at and from + i - 1 + {n} >= at + {k}), "
-                f"i -> named_struct('start', from + i - 1, 'len', {n}, 'window', concat_ws(' ', slice(words, i, {n})))) "
-                f"ELSE cast(array() as array<struct<start:int,len:int,window:string>>) END"
-                for n in lengths
-            )
-        ]
-        + [")"]
+    hits = keep(fingerprints(docs, lengths, gram).join(near(prints), ["len", "fp"], "left_semi").select("id", "len", "at").distinct())
+    places = hits.groupBy("id").agg(F.collect_list(F.struct("len", "at")).alias("hits"))
+    places = F.broadcast(places) if hits.count() <= broadcast_rows else places
+    # Every window that holds a hit's run of words, each once.
+    around = f"transform(sequence(greatest(1, h.at + least({gram}, h.len) - h.len), least(h.at, size(words) - h.len + 1)), i -> named_struct('start', i, 'len', h.len))"
+    found = docs.join(places.withColumnRenamed("id", "hit_id"), F.col("id").eqNullSafe(F.col("hit_id"))).select(
+        "id", "words", F.expr(f"array_distinct(flatten(transform(hits, h -> {around})))").alias("at")
     )
-    near_windows = near(windows)
-    return hits.select("id", F.inline(F.expr(spans))).join(near_windows, ["len", "window"], "left_semi").distinct()
+    cut = found.select("id", F.inline(F.expr("transform(at, x -> named_struct('start', x.start, 'len', x.len, 'window', concat_ws(' ', slice(words, x.start, x.len))))")))
+    known = in_items.select("len", "window").distinct()
+    return keep(cut.join(near(known), ["len", "window"], "left_semi").select("id", "start", "len", "window").distinct()), near(in_items)
 
 
-def _judged(docs: DataFrame, benchmark: DataFrame, window: int, text: str, doc_id: str, item_id: str, share: int) -> DataFrame:
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int, text: str, doc_id: str, item_id: str, share: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The columns of ``decontaminate``, with ``id``, a struct of doc_id and text digest, in place of doc_id."""
     # Rows are named by their id and text, so that repeated ids cannot mix.
     name = F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"))
-    base = docs.select(name.alias("id"), F.col(text).alias("t"))
-    with_words = base.select("id", words_of(F.col("t")).alias("words"))
+    with_words = docs.select(name.alias("id"), words_of(F.col(text)).alias("words"))
     items = benchmark.select(F.col(item_id).alias("id"), words_of(F.col(text)).alias("words"))
 
-    spans = keep(contaminated_windows(with_words, items, window))
+    spans, in_items = contaminated_windows(with_words, items, window, GRAM, broadcast_rows)
     # Words covered: positions in order, each span counting what lies beyond the last end.
     covered = "aggregate(sort_array(collect_set(struct(start, start + len as stop))), named_struct('n', 0, 'end', 0), " \
         "(acc, s) -> named_struct('n', acc.n + greatest(0, s.stop - greatest(s.start, acc.end)), 'end', greatest(acc.end, s.stop)), acc -> cast(acc.n as bigint))"
     n_hit = spans.groupBy("id").agg(F.expr(covered).alias("n_hit"))
 
-    sized = items.where(F.size("words") > 0).withColumn("len", F.least(F.size("words"), F.lit(window)))
-    in_items = (
-        sized.select(F.col("id").alias("item"), "words", "len", F.explode(F.expr("sequence(1, size(words) - len + 1)")).alias("i"))
-        .select("item", "len", F.expr("concat_ws(' ', slice(words, i, len))").alias("window"))
-        .distinct()
-    )
     digest = F.sha2(F.array_join(F.sort_array(F.collect_set(F.col("item").cast("string"))), ","), 256)
     per_items = (
         spans.select("id", "len", "window").distinct().join(in_items, ["len", "window"])
@@ -136,8 +127,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int, text: str, doc_i
         .agg(F.count_distinct("item").alias("n_items"), digest.alias("items_sha256"))
     )
     found = n_hit.join(per_items, "id", "left").withColumnRenamed("id", "found_id")
-    n_words = F.regexp_count(lower_ascii(F.coalesce(F.col("t"), F.lit(""))), F.lit(ITEM_WORD)).cast("long")
-    counted = base.select("id", n_words.alias("n_words"))
+    counted = with_words.select("id", F.size("words").cast("long").alias("n_words"))
     n = F.coalesce("n_hit", F.lit(0)).cast("long")
     return counted.join(found, counted.id.eqNullSafe(found.found_id), "left").select(
         "id",
@@ -157,6 +147,7 @@ def decontaminate(
     doc_id: str = "doc_id",
     item_id: str = "item_id",
     share: int = 20,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """One row for each document id: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -170,7 +161,7 @@ def decontaminate(
     id like any other. An empty benchmark hits nothing. Only the named columns
     are read, so that others may have any name.
     """
-    return _judged(docs, benchmark, window, text, doc_id, item_id, share).select("id.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return _judged(docs, benchmark, window, text, doc_id, item_id, share, broadcast_rows).select("id.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -156,10 +156,35 @@ def test_decontamination_of_hard_rows(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     got = sorted((r.doc_id or -1, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontam.decontaminate(d, b).collect())
     assert got == [(-1, 2, 1, 0, True), (1, 40, 30, 2, True), (2, 5, 2, 1, True), (3, 0, 0, 0, False), (4, 0, 0, 0, False), (5, 12, 0, 0, False), (6, 1, 1, 0, True), (6, 1, 1, 0, True), (6, 313, 13, 1, False)]
+    shuffled = sorted((r.doc_id or -1, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontam.decontaminate(d, b, broadcast_rows=0).collect())
+    assert shuffled == got
     assert not any(r.n_hit for r in decontam.decontaminate(d, b.where("false")).collect())
     assert decontam.decontaminate(d.where("false"), b).count() == 0
 
 
+def test_kept_hashes_guarantee_every_shared_window(spark):
+    """Brute-force winnowing, and a kept hash inside every window of each length."""
+    rng = random.Random(9)
+    rows = [(i, [f"w{rng.randrange(4)}" for _ in range(n)]) for i, n in enumerate((0, 1, 4, 5, 12, 13, 14, 60, 200))]
+    table = spark.createDataFrame(rows, "id long, words array<string>")
+    got = defaultdict(set)
+    hashes = {}
+    for r in decontam.fingerprints(table, [1, 3, 7, 13]).collect():
+        got[r.id, r.len].add(r.at)
+    for r in decontam.fingerprints(table, [5]).collect():
+        hashes[r.id, r.at] = r.fp
+    for i, words in rows:
+        for n in (1, 3, 7, 13):
+            k = min(5, n)
+            w = n - k + 1
+            runs = len(words) - k + 1
+            if k == 5:
+                g = [hashes[i, at] for at in range(1, runs + 1)]
+                want = {p + 1 for s in range(runs - w + 1) for p in range(s, s + w) if g[p] == min(g[s : s + w])}
+                assert got[i, n] == want
+            assert all(got[i, n] & set(range(s, s + w)) for s in range(1, runs - w + 2))
+
+
 def test_mixing(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "text", "CASE WHEN doc_id % 50 = 0 THEN null ELSE source END AS source")
     rows = mixing.mix_sources(docs).collect()
