@@ -205,6 +205,47 @@ def test_mixing(spark):
     assert mixing.mix_sources(odd.where("false")).count() == 0
 
 
-def test_water_filling():
-    assert mixing.water_fill([10, 10, 80], [5, 2, 1]) == [30.0, 30.0, 40.0]
-    assert mixing.water_fill([0, 5], [5, 2]) == [0.0, 5.0]
+def fill(sizes, weights, cap=3):
+    """Reference water filling by repeated sharing."""
+    total, fixed = sum(sizes), {}
+    while True:
+        free = [i for i in range(len(sizes)) if i not in fixed]
+        left, weight = total - sum(fixed.values()), sum(weights[i] for i in free)
+        above = [i for i in free if left * weights[i] / weight > cap * sizes[i]]
+        if not above:
+            return [fixed.get(i, left * weights[i] / weight) for i in range(len(sizes))]
+        fixed |= {i: cap * sizes[i] for i in above}
+
+
+def test_water_filling(spark):
+    for sizes in ([10, 10, 80], [0, 5], [1, 2, 3, 400, 5, 6], [7], [1000, 1, 1, 1, 1]):
+        weights = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
+        rows = spark.createDataFrame([(i, s, float(w)) for i, (s, w) in enumerate(zip(sizes, weights))], "sid long, size long, weight double")
+        got = {r.sid: r.target for r in mixing.water_fill(rows).collect()}
+        assert [got[i] for i in range(len(sizes))] == pytest.approx(fill(sizes, weights))
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_mixing_sizes_and_targets(spark, monkeypatch, broadcast):
+    import re
+
+    if not broadcast:
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    rng = random.Random(4)
+    names = ["b", "a", None, "Z", "é", "𝄞", "\uffff", "", "zz"]
+    rows = [(i, rng.choice([" a\tb\n", "x " * rng.randrange(300), "", None, "\x0bé\x1cq r "]), names[min(int(rng.expovariate(0.6)), 8)]) for i in range(400)] + [(7, "one id again", "a")] * 150
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "text AS sid", "source AS k", "1 AS size", "2 AS cls")
+    got = mixing.mix_sources(table).collect()
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    total = defaultdict(int)
+    for _, t, s in rows:
+        total[s] += size(t)
+    order = sorted(total, key=lambda s: (s is None, s or ""))
+    target = dict(zip(order, fill([total[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))])))
+    assert sorted((r.doc_id, r.source or "-", r.size) for r in got) == sorted((i, s or "-", size(t)) for i, t, s in rows)
+    taken = defaultdict(int)
+    for r in got:
+        assert r.source_size == total[r.source] and r.target == pytest.approx(target[r.source]) and r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+    for s in order:
+        assert abs(taken[s] - target[s]) <= max(310, 0.02 * target[s]), s
