@@ -59,6 +59,14 @@ def rows_of(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataF
     return found if rows else found.where(F.lit(False))
 
 
+def settled(df: DataFrame, most: int = 1000) -> DataFrame:
+    """Cut the lineage of a table that is mostly tiny: as literal rows while it has at most ``most``, else as a checkpoint."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        return keep(df)
+    return rows_of(df.sparkSession, rows, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema))
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; every other character stays as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

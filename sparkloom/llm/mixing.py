@@ -9,7 +9,7 @@ ordered by ``hash / fraction`` and taken up to the remaining words, from the
 longest size class down to the shortest so that the last corrections are small.
 
 All sums are of integers, so that reruns and other partitionings agree. Sources
-are rows of a table throughout, never of the driver, which only sees counts.
+are rows of a table throughout; while that table is tiny its rows are literals.
 """
 
 from __future__ import annotations
@@ -19,14 +19,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm._base import GAP, keep
+from sparkloom.llm._base import GAP, keep, settled
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 #: Fixed-point scale of the distributed sums.
 SCALE = 1024
 #: Lower bounds of the size classes that are rounded in turn, longest first.
-CLASSES = (4096, 1024, 256, 64, 0)
+CLASSES = (1024, 64, 0)
 #: Most sources whose table is broadcast; above it the joins are shuffled.
 BROADCAST_SOURCES = 100_000
 
@@ -34,7 +34,7 @@ BROADCAST_SOURCES = 100_000
 def numbered(sources: DataFrame) -> DataFrame:
     """Sources in order of their code points, null last, with a number ``sid`` from 0."""
     order = F.col("source").asc_nulls_last()
-    placed = keep(sources.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = settled(sources.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
     before, offset = 0, []
     for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():  # one row for each partition
@@ -76,7 +76,7 @@ def _solve(hist: DataFrame, sources: DataFrame, cap: float, steps: int, near: Ca
         F.when(full, float("inf")).when(none, float("-inf")).otherwise(0.0).alias("lam"),
         F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), ((size == 0) | full | none).alias("done"),
     )
-    state = keep(state)
+    state = settled(state)
     for _ in range(steps):
         if not state.where("NOT done").limit(1).count():
             break
@@ -100,7 +100,7 @@ def _solve(hist: DataFrame, sources: DataFrame, cap: float, steps: int, near: Ca
         moved = moved.select(
             "sid", "size", "mean", "target", F.when(met, lam).when(closed, inner).otherwise(wide).alias("lam"), "lo", "hi", F.coalesce(met | tight, F.lit(False)).alias("done")
         )
-        state = keep(state.where("done").unionByName(moved))
+        state = settled(state.where("done").unionByName(moved))
     return sources.join(state.select("sid", "lam"), "sid")
 
 
@@ -124,17 +124,17 @@ def _straddle(rows: DataFrame, need: DataFrame, bin_: Column, near: Callable) ->
 def _round(rows: DataFrame, near: Callable) -> DataFrame:
     """(sid, cls, mkey, mid): the last document taken of each source and size class."""
     sums = rows.where("part > 0").groupBy("cls", "sid").agg((F.sum((F.col("size") * F.col("part") * SCALE).cast("long")) / SCALE).alias("want"), F.sum("size").alias("s"))
-    sums = keep(sums)
+    sums = settled(sums)
     carry, marks = None, None
     for c in range(len(CLASSES)):
         part = rows.where((F.col("cls") == c) & (F.col("part") > 0))
         own = sums.where(F.col("cls") == c).select("sid", "want", "s")
         own = own.withColumn("goal", F.col("want")) if carry is None else own.join(near(carry), "sid", "left").withColumn("goal", F.col("want") + F.coalesce("carry", F.lit(0.0)))
-        own = keep(own.select("sid", "s", "goal"))
-        first = keep(_straddle(part, own.select("sid", F.col("goal").alias("need")), F.shiftright("key", 24), near))
+        own = settled(own.select("sid", "s", "goal"))
+        first = settled(_straddle(part, own.select("sid", F.col("goal").alias("need")), F.shiftright("key", 24), near))
         at = first.select("sid", F.col("bin").alias("b1"), (F.col("need") - F.col("below")).alias("need"))
         inner = part.join(near(at.select("sid", "b1")), "sid").where(F.shiftright("key", 24) == F.col("b1"))
-        second = keep(_straddle(inner, at.select("sid", "need"), F.shiftright("key", 12), near))
+        second = settled(_straddle(inner, at.select("sid", "need"), F.shiftright("key", 12), near))
         at = second.select("sid", F.col("bin").alias("b2"), (F.col("need") - F.col("below")).alias("left"))
         # Rows that repeat an id and a size are one entry of the order.
         tail = part.join(near(at), "sid").where(F.shiftright("key", 12) == F.col("b2")).groupBy("sid", "key", "id", "left").agg(F.sum("size").alias("same"))
@@ -146,7 +146,7 @@ def _round(rows: DataFrame, near: Callable) -> DataFrame:
         )
         below = F.col("below1") + F.col("below2")
         case = lambda no, whole, exact, under: F.when(F.col("goal") <= 0, no).when(F.col("below1").isNull(), whole).when(F.col("m").isNotNull(), exact).otherwise(under)
-        found = keep(found.select(
+        found = settled(found.select(
             "sid", F.lit(c).alias("cls"), (F.col("goal") - case(F.lit(0), F.col("s"), below + F.col("upto"), below)).alias("carry"),
             case(F.lit(-1), F.lit(1 << 62), F.col("m.key"), F.shiftleft("b2", 12) - 1).cast("long").alias("mkey"), case(F.lit(0), F.lit(0), F.col("m.id"), F.lit((1 << 63) - 1)).cast("long").alias("mid"),
         ))
@@ -154,7 +154,7 @@ def _round(rows: DataFrame, near: Callable) -> DataFrame:
         now = found.select("sid", "carry")
         carry = now if carry is None else now.unionByName(carry.join(near(now.select("sid")), "sid", "left_anti"))
         marks = found.drop("carry") if marks is None else marks.unionByName(found.drop("carry"))
-    return keep(marks)
+    return settled(marks)
 
 
 def mix_sources(
@@ -188,10 +188,10 @@ def mix_sources(
     sources = sources.withColumn("weight", F.get(given, (F.col("sid") % len(weights)).cast("int"))).withColumn("mean", F.when(F.col("size") > 0, F.col("size") / F.col("docs")).otherwise(1.0))
     few = sources.count() <= BROADCAST_SOURCES
     near = F.broadcast if few else (lambda df: df)
-    sources = keep(water_fill(sources, cap))
+    sources = settled(water_fill(sources, cap))
     ids = sources.select("sid", F.col("source").alias("k"))
     own = hist.join(near(ids), hist.source.eqNullSafe(ids.k)).select("sid", "size", "n")
-    solved = keep(_solve(own, sources, cap, steps, near)).select("sid", F.col("source").alias("k"), F.col("size").alias("source_size"), "target", "lam", "mean")
+    solved = settled(_solve(own, sources, cap, steps, near)).select("sid", F.col("source").alias("k"), F.col("size").alias("source_size"), "target", "lam", "mean")
     unit = (F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-(1 << 62))), F.lit(seed)), 12) + 1) / float(1 << 52)
     cls = F.lit(len(CLASSES) - 1)
     for c in reversed(range(len(CLASSES) - 1)):

@@ -253,8 +253,22 @@ def test_url_models_tell_held_out_urls_apart(spark):
 
 
 def test_licenses(spark):
-    mit = licenses.KNOWN[-2][1]
+    mit = next(body for name, body in licenses.KNOWN if name == "MIT" and len(body) > 500)
     rows = [(1, mit.replace("<year> <holder>", "2020 Someone").upper()), (2, None), (3, ""), (4, "x\nlicensed under the apache licence version 2.0\n"), (4, "y"), (None, "Released under the MIT licence!")]
     got = sorted(((r.doc_id or -1), r.license, r.n_notices, r.notices) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert [g for g in got if g[0] != 1] == [(-1, "MIT", 1, "MIT"), (2, None, 0, ""), (3, None, 0, ""), (4, None, 0, ""), (4, None, 1, "Apache-2.0")]
     assert next(g for g in got if g[0] == 1)[1] == "MIT"
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    clash = table.selectExpr("*", "text AS license", "1 AS id", "2 AS d", "3 AS n", "4 AS found_id", "5 AS t", "6 AS form")
+    assert sorted(map(str, licenses.scan_licenses(clash).collect())) == sorted(map(str, licenses.scan_licenses(table).collect()))
+    assert licenses.scan_licenses(table.where("false")).count() == 0
+    assert all(r.license is None and r.n_notices == 0 for r in licenses.scan_licenses(table, known=[]).collect())
+    twice = licenses.scan_licenses(table.unionAll(table)).where("doc_id IS NULL").collect()
+    assert [(r.n_notices, r.notices) for r in twice] == [(1, "MIT")] * 2
+
+
+def test_every_known_text_is_found_whole(spark):
+    """Whatever its case, line breaks, marks and copyright line."""
+    rows = [(i, body.replace("<year>", "1999").replace("<holder>", "Some Body").replace(",", " ;").replace(" the ", "\nthe ").swapcase()) for i, (_, body) in enumerate(licenses.KNOWN)]
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(licenses.KNOWN)}
