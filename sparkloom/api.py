@@ -35,7 +35,7 @@ class Store:
         return knowledge.create(rows, stored, self.as_of)
 
     def memory_search(self, queries: DataFrame, limit: int = 10) -> DataFrame:
-        return search.hybrid_search(queries, self.scored, self["embeddings"], self.as_of, limit)
+        return search.hybrid_search(queries, self.scored, self["embeddings"], self.as_of, limit, tags=self.tables.get("memory_tags"), links=self.tables.get("memory_links"))
 
     def memory_get(self, ids: DataFrame) -> DataFrame:
         return relational.in_order_of(ids, self["memories"])
@@ -171,6 +171,7 @@ class Store:
 
     def memory_benchmark(self, n: int = 50) -> DataFrame:
         """Hit rates of records searched by their own words."""
-        made = evaluate.self_queries(self["memories"], n)
+        lists = self["memory_tags"].groupBy(F.col("memory_id").alias("id")).agg(F.sort_array(F.collect_set("tag")).alias("tags"))
+        made = evaluate.self_queries(self["memories"], lists, n)
         found = search.top(search.two_pass_fts(made, self["memories"].where("is_active")), 10)
         return evaluate.hit_rates(found, made.select("query_id", F.col("query_id").alias("id"), F.lit(1).alias("grade")))

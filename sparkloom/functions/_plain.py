@@ -12,10 +12,26 @@ STOPWORDS = (
 )
 # Technology words that become tags.
 TECH_TAGS = (
-    "react typescript javascript python rust go java ruby sqlite postgres postgresql mysql mongodb redis dynamodb node nodejs deno bun express fastify nextjs remix "
-    "vite webpack rollup esbuild turbopack docker kubernetes aws azure gcp vercel cloudflare graphql rest grpc websocket git github gitlab npm pnpm yarn "
-    "vue svelte angular solid astro tailwind css html sass vitest jest playwright cypress openai anthropic claude llm embeddings rag linux windows macos"
-).split()
+    "react", "typescript", "javascript", "python", "rust", "go", "java", "ruby", "sqlite", "postgres", "postgresql", "mysql", "mongodb", "redis", "dynamodb", "node", "nodejs", "deno", "bun",
+    "express", "fastify", "nextjs", "remix", "vite", "webpack", "rollup", "esbuild", "turbopack", "docker", "kubernetes", "aws", "azure", "gcp", "vercel", "cloudflare", "graphql", "rest", "grpc",
+    "websocket", "git", "github", "gitlab", "npm", "pnpm", "yarn", "vue", "svelte", "angular", "solid", "astro", "tailwind", "css", "html", "sass", "vitest", "jest", "playwright", "cypress",
+    "openai", "anthropic", "claude", "llm", "embeddings", "rag", "linux", "windows", "macos",
+)
+# Technology words that become search keywords (names of single products of the model system left out).
+KEYWORDS = (
+    "api", "sdk", "cli", "gui", "sql", "nosql", "orm", "rest", "grpc", "http", "https", "websocket", "sse", "jwt", "oauth", "saml", "react", "vue", "angular", "svelte", "nextjs", "nuxt", "node", "deno",
+    "bun", "python", "rust", "golang", "docker", "kubernetes", "terraform", "ansible", "postgres", "mysql", "sqlite", "redis", "mongodb", "aws", "gcp", "azure", "vercel", "netlify", "git", "github",
+    "gitlab", "npm", "pnpm", "yarn", "webpack", "vite", "esbuild", "rollup", "turbopack", "linux", "macos", "windows", "wsl", "llm", "rag", "embedding", "vector", "transformer", "microservice", "monolith",
+    "serverless", "edge", "ci", "cd", "devops", "sre", "monitoring", "typescript", "javascript", "go", "testing", "tdd", "e2e", "unit", "integration", "caching", "queue", "pubsub", "webhook", "migration",
+    "schema", "index", "query", "auth", "rbac", "encryption", "tls", "ssl", "mcp", "claude", "openai", "anthropic",
+)
+# Capitalised words that are no keywords.
+NO_KEYWORDS = (
+    "the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "her", "was", "one", "our", "out", "has", "have", "been", "some", "them", "than", "its", "over", "such", "that", "this", "with",
+    "will", "each", "make", "like", "from", "just", "into", "also", "more", "other", "could", "would", "about", "which", "their", "there", "these", "then", "what", "when", "where", "who", "how", "why",
+    "should", "because", "between", "through", "after", "before", "during", "without", "within", "here", "very", "being", "does", "done", "both", "only", "most", "much", "many", "same", "still", "well",
+    "back", "even", "must", "need",
+)
 # Short and long names of the same thing.
 ALIASES = {
     "kubernetes": ("k8s",), "typescript": ("ts",), "javascript": ("js",), "postgresql": ("postgres", "psql"), "mongodb": ("mongo",), "elasticsearch": ("es", "elastic"),
@@ -28,20 +44,23 @@ ALIASES = {
 def keywords(content: str, tags: list[str], names: list[str], most: int = 200) -> str:
     found: dict[str, None] = dict.fromkeys(x.lower() for x in [*names, *tags])
     low = content.lower()
-    tech = set(TECH_TAGS)
+    tech = set(KEYWORDS)
     for word in re.split(r"[\s,;:()\[\]{}|/\\]+", low):
         word = re.sub(r"[^a-z0-9-]", "", word)
         if word in tech:
             found[word] = None
     for m in re.finditer(r"\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]+)*\b", content):
-        if m[0].lower() not in STOPWORDS and len(m[0]) <= 30:
+        if m[0].lower() not in NO_KEYWORDS and len(m[0]) <= 30:
             found[m[0].lower()] = None
     for m in re.finditer(r"(?i)\b[a-z]+-[a-z]+(?:-[a-z]+)*\b", content):
         if 5 <= len(m[0]) <= 30:
             found[m[0].lower()] = None
-    known = set(found)
+    # Aliases of the words so far, in their order, then of names that the text holds.
+    same = {x: (name, *short) for name, short in ALIASES.items() for x in (name, *short)}
+    for word in list(found):
+        found |= dict.fromkeys(same.get(word, ()))
     for name, short in ALIASES.items():
-        if name in low or known & {name, *short}:
+        if name in low:
             found |= dict.fromkeys((name, *short))
     out, used = [], 0
     for word in found:

@@ -70,13 +70,21 @@ def sentences(text: Column) -> Column:
     return F.filter(clean, lambda s: F.length(s).between(10, 500))
 
 
-def content_words(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"\W+"), lambda w: (F.length(w) >= 3) & ~w.isin(*STOPWORDS)))
+# Words that don't count when two sentences are compared.
+OVERLAP_STOPWORDS = (
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "it", "that", "this", "was", "are", "be", "has", "had", "have", "not", "no", "can", "will", "do",
+    "did", "should", "would", "could", "may", "might", "we", "you", "he", "she", "they", "its", "our", "my", "your", "all", "each", "some", "than", "too", "very", "just", "also", "been", "being", "into",
+    "out", "so", "then", "there", "these", "those", "when", "where", "which", "while", "who", "how", "what", "new", "use", "used", "using", "one", "two",
+)
+
+
+def content_words(text: Column, stop: tuple[str, ...] = STOPWORDS) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"\W+"), lambda w: (F.length(w) >= 3) & ~w.isin(*stop)))
 
 
 def word_overlap(a: Column, b: Column) -> Column:
     """Shared content words over the smaller set."""
-    x, y = content_words(a), content_words(b)
+    x, y = content_words(a, OVERLAP_STOPWORDS), content_words(b, OVERLAP_STOPWORDS)
     least = F.least(F.size(x), F.size(y))
     return F.when(least == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / least)
 
@@ -120,10 +128,10 @@ TOPIC_TAGS = (
 )
 # Hyphenated words that are no project names.
 COMMON_COMPOUNDS = (
-    "built-in real-time re-use re-run pre-commit pre-build post-build non-null non-empty up-to-date end-to-end out-of-date day-to-day step-by-step case-by-case "
-    "long-term short-term high-level low-level run-time compile-time read-only write-only read-write key-value open-source third-party cross-platform single-page multi-line "
-    "auto-generated well-known hard-coded type-safe first-class self-hosted hot-reload de-duplicate re-embed"
-).split()
+    "built-in", "real-time", "re-use", "re-run", "pre-commit", "pre-build", "post-build", "non-null", "non-empty", "up-to-date", "end-to-end", "out-of-date", "day-to-day", "step-by-step",
+    "case-by-case", "long-term", "short-term", "high-level", "low-level", "run-time", "compile-time", "read-only", "write-only", "read-write", "key-value", "open-source", "third-party",
+    "cross-platform", "single-page", "multi-line", "auto-generated", "well-known", "hard-coded", "type-safe", "first-class", "self-hosted", "hot-reload", "de-duplicate", "re-embed",
+)
 
 
 def auto_tags(content: Column, most: int = 3) -> Column:
@@ -269,67 +277,54 @@ def extract_spo(content: Column) -> Column:
         if given[0] == "is":
             facts = F.filter(facts, lambda f: F.size(F.split(f["object"], r"\s+")) <= 5)
         found.append(facts)
-    return F.array_distinct(F.concat(*found))
-
-
-# Entity kinds and the patterns of their names.
-ENTITY_PATTERNS = (
-    ("technology", 0.9, r"(?i)\b(" + "|".join(TECH_TAGS) + r")\b"),
-    ("organization", 0.7, r"\b([A-Z][\w&]+(?:\s+[A-Z][\w&]+)*\s+(?:Inc|Corp|LLC|Ltd|GmbH|Foundation|Labs))\b"),
-    ("project", 0.6, r"\b([a-z][a-z0-9]*(?:-[a-z0-9]+)+)\b"),
-    ("person", 0.6, r"(?:by|with|from|met|asked|told)\s+([A-Z][a-z]+\s+[A-Z][a-z]+)\b"),
-    ("concept", 0.5, r"\"([A-Z][A-Za-z ]{3,40})\""),
-)
-
-
-def extract_entities(content: Column) -> Column:
-    """Entities as an array of (name, type, confidence), each lower-cased name once, the surest kind first."""
-    entity = lambda kind, c: lambda n: F.struct(F.lower(n).alias("name"), F.lit(kind).alias("type"), F.lit(c).alias("confidence"))
-    found = [F.transform(F.regexp_extract_all(content, F.lit(p), F.lit(1)), entity(kind, c)) for kind, c, p in ENTITY_PATTERNS]
     every = F.concat(*found)
-    names = F.array_distinct(F.transform(every, lambda e: e["name"]))
-    return F.transform(names, lambda n: F.get(F.filter(every, lambda e: e["name"] == n), F.lit(0)))
-
-
-# Relations between two names and the phrases that state them.
-RELATION_PATTERNS = (
-    ("uses", r"(?i)\b([\w.-]+)\s+(?:uses|using|utilizes)\s+([\w.-]+)"),
-    ("depends_on", r"(?i)\b([\w.-]+)\s+(?:depends\s+on|relies\s+on|requires)\s+([\w.-]+)"),
-    ("part_of", r"(?i)\b([\w.-]+)\s+(?:is\s+part\s+of|belongs\s+to)\s+([\w.-]+)"),
-    ("created_by", r"(?i)\b([\w.-]+)\s+(?:created|built|made)\s+by\s+([\w.-]+)"),
-    ("replaces", r"(?i)\b([\w.-]+)\s+(?:replaces|replaced)\s+([\w.-]+)"),
-    ("works_at", r"(?i)\b([\w.-]+)\s+works\s+(?:at|for)\s+([\w.-]+)"),
-    ("integrates_with", r"(?i)\b([\w.-]+)\s+integrates\s+with\s+([\w.-]+)"),
-)
-
-
-def extract_relations(content: Column) -> Column:
-    end = lambda m, pattern, g: F.lower(F.regexp_extract(m, pattern, g))
-    relation = lambda kind, p: lambda m: F.struct(end(m, p, 1).alias("source"), end(m, p, 2).alias("target"), F.lit(kind).alias("relationship"), m.alias("context"))
-    found = [F.transform(F.regexp_extract_all(content, F.lit(p), F.lit(0)), relation(kind, p)) for kind, p in RELATION_PATTERNS]
-    return F.array_distinct(F.concat(*found))
+    key = lambda f: F.lower(F.concat_ws("|", f["subject"], f["predicate"], f["object"]))
+    once = lambda rows: F.transform(F.array_distinct(F.transform(rows, key)), lambda k: F.get(F.filter(rows, lambda f: key(f) == k), F.lit(0)))
+    return F.get(F.transform(F.array(every), once), F.lit(0))
 
 
 # --- intents and times -------------------------------------------------------------------------------------
 
 
 def intent(text: Column) -> Column:
-    low = F.lower(F.trim(text))
+    """store, forget, update, context or search, by the words an input begins with or holds."""
+    low = F.lower(text)
     return (
-        F.when(low.rlike(r"^(remember|note|store|save)\b"), "store").when(low.rlike(r"^(forget|delete|remove)\b"), "forget")
-        .when(low.rlike(r"^(update|change|correct)\b"), "update").when(low.rlike(r"(\?\s*$|^(what|when|where|who|why|how|find|search|recall)\b)"), "search").otherwise("store")
+        F.when(low.rlike(r"^(remember|store|save|record|note|log)\b") | low.rlike(r"\b(remember that|note that|save this|store this)\b"), "store")
+        .when(low.rlike(r"^(forget|delete|remove|deactivate)\b"), "forget").when(low.rlike(r"^(update|change|modify|correct)\b"), "update")
+        .when(low.rlike(r"^(what do (i|we|you) know about|context|background|brief me|catch me up|overview)\b"), "context").otherwise("search")
     )
 
 
+def payload(text: Column) -> Column:
+    """What is to be stored or sought, without the words of command."""
+    bare = F.regexp_replace(text, r"(?i)^(remember|store|save|record|note|log|forget|delete|remove|search|find|look up|recall|what do (i|we|you) know about)\s+", "")
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(bare, r"(?i)^that\s+", "")), F.lit("")), text)
+
+
+# Events whose mention makes a near time an expiry, and the days of the week.
+EVENTS = r"\b(meeting|deadline|appointment|call|exam|interview|due|submit|deploy|release|launch|demo|standup|review|presentation)\b"
+WEEK = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
+UNIT_HOURS = {"hour": 1, "day": 24, "week": 168, "month": 720}
+
+
 def expiry(content: Column, as_of: Column) -> Column:
-    """When a text that speaks of a near time stops being of use; null if it doesn't."""
-    day = F.date_trunc("day", as_of)
-    # Phrases and the days after which they have passed.
-    steps = ((r"\b(today|tonight|this (morning|afternoon|evening))\b", 1), (r"\btomorrow\b", 2), (r"\bthis week\b", 8), (r"\bnext week\b", 14), (r"\b(this|next) month\b", 35))
-    out = F.lit(None).cast("timestamp")
-    for pattern, days in reversed(steps):
-        out = F.when(F.lower(content).rlike(pattern), day + F.make_dt_interval(F.lit(days))).otherwise(out)
-    return out
+    """When a text that speaks of a near event stops being of use; null if it doesn't."""
+    low = F.lower(content)
+    event = low.rlike(EVENTS)
+    later = lambda days: as_of + F.make_dt_interval(F.lit(days) if isinstance(days, int) else days)
+    given = r"\bin\s+(\d+)\s+(day|hour|week|month)s?\b"
+    hours = F.create_map(*[F.lit(x) for p in UNIT_HOURS.items() for x in p])[F.regexp_extract(low, given, 2)]
+    # Counts that no date can hold are left out.
+    amount = F.regexp_extract(low, given, 1).try_cast("long")
+    span = F.when((amount > 0) & (amount * hours < 10**7), as_of + F.make_dt_interval(F.lit(0), (amount * hours).cast("int")))
+    named = F.regexp_extract(low, rf"\b(?:by|on|next)\s+({'|'.join(WEEK[1:] + WEEK[:1])})\b", 1)
+    wait = F.array_position(F.array(*[F.lit(d) for d in WEEK]), named).cast("int") - F.dayofweek(as_of)
+    day = F.when(named != "", later(F.when(wait <= 0, wait + 7).otherwise(wait) + 1))
+    return (
+        F.when(span.isNotNull(), span).when(low.rlike(r"\btomorrow\b"), later(2)).when(event & low.rlike(r"\btoday\b|\btonight\b"), later(1))
+        .when(event & low.rlike(r"\b(next|this)\s+week\b"), later(8)).when(event & low.rlike(r"\b(next|this)\s+month\b"), later(35)).otherwise(day)
+    )
 
 
 def time_hint(query: Column, as_of: Column) -> Column:

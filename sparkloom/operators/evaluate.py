@@ -68,12 +68,26 @@ def adaptive_thresholds(history: DataFrame, base_overlap: float = 0.8, base_shif
     )
 
 
-def self_queries(memories: DataFrame, n: int, words: int = 8, seed: int = 0) -> DataFrame:
-    """(query_id, query) made from the first longer words of a sample of records, each of which should find its record."""
+def self_query(content: Column, tags: Column) -> Column:
+    """Words that should find a record again: from the middle of its first line of prose, else its tags, else its beginning."""
+    prose = F.filter(F.split(content, "\n"), lambda x: (F.length(F.trim(x)) > 20) & ~F.trim(x).rlike(r"^[#*-]"))
+    line = F.trim(F.get(prose, F.lit(0)))
+    words = F.split(line, r"\s+")
+    middle = F.array_join(F.slice(words, F.floor(F.size(words) / 4).cast("int") + 1, 5), " ")
+    return (
+        F.when(line.isNotNull() & (F.size(words) > 6), middle).when(line.isNotNull(), F.substring(line, 1, 60))
+        .when(F.size(tags) > 0, F.array_join(F.slice(tags, 1, 3), " ")).otherwise(F.trim(F.substring(content, 1, 40)))
+    )
+
+
+def self_queries(memories: DataFrame, tag_lists: DataFrame, n: int | None = None, seed: int = 0) -> DataFrame:
+    """(query_id, query) of active records, or of a sample of n of them, each of which should find its record."""
     from sparkloom.operators.relational import sample
 
-    terms = F.slice(F.filter(F.split("content", r"\s+"), lambda w: F.length(w) > 3), 1, words)
-    return sample(memories.where("is_active"), n, seed).select(F.col("id").alias("query_id"), F.array_join(terms, " ").alias("query"))
+    rows = memories.where("is_active")
+    rows = sample(rows, n, seed) if n else rows
+    rows = rows.join(tag_lists.select("id", "tags"), "id", "left")
+    return rows.select(F.col("id").alias("query_id"), self_query(F.col("content"), F.coalesce("tags", F.array().cast("array<string>"))).alias("query"))
 
 
 def tune(signals: DataFrame, judged: DataFrame, weights: dict[str, float], score: Callable[[DataFrame, dict[str, float]], DataFrame], steps=(0.5, 0.75, 1.25, 1.5), rounds: int = 2) -> dict[str, float]:

@@ -10,21 +10,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.scoring import cosine, js_round, link_strength
+from sparkloom.functions.scoring import js_round, link_strength
 from sparkloom.functions.text import similarity
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of ``spark.checkpoint.dir``; a folder of our own only in local mode."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; one of our own only in local mode."""
     sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="sparkloom-")
     if not sc.getCheckpointDir():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            path = tempfile.mkdtemp(prefix="sparkloom-")
         sc.setCheckpointDir(path)
+    return path
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -156,16 +161,40 @@ def lineage(memories: DataFrame, start: int, depth: int = 10) -> DataFrame:
     return rows.groupBy("id").agg(F.min(F.struct("depth", "direction")).alias("m")).select("id", "m.depth", "m.direction")
 
 
-def similar_pairs(vectors: DataFrame, least: float, block: str) -> DataFrame:
-    """(a, b, similarity) of vectors of one block, a < b, at or above a cosine.
+def _unit(vector: Column) -> Column:
+    """A vector of length 1, as doubles; null for one without length."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, least: float, block: int = 2000) -> DataFrame:
+    """(a, b, similarity), a < b, of a query set of vectors against all vectors, at or above a cosine.
 
-    Candidates meet by an equi-join on the block (a label, period or bucket),
-    which should be chosen so that no block grows with the data.
+    Both have id and embedding. The query set meets all rows in broadcast
+    blocks of bounded size, and every pair is computed. Vectors without length
+    are like none.
     """
-    a = vectors.select(block, F.col("id").alias("a"), F.col("embedding").alias("va"))
-    b = vectors.select(block, F.col("id").alias("b"), F.col("embedding").alias("vb"))
-    scored = a.join(b, block).where("a < b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity"))
-    return scored.where(F.col("similarity") >= least)
+    q = left.select(F.col("id").alias("x"), _unit(F.col("embedding")).alias("u"))
+    all_ = right.select(F.col("id").alias("y"), _unit(F.col("embedding")).alias("v"))
+    found = None
+    for k in range(blocks := (-(-left.count() // block) or 1)):
+        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("x"), F.lit(blocks)) == k)
+        pairs = all_.join(F.broadcast(part), (F.col("x") != F.col("y")) & (F.size("u") == F.size("v")))
+        rows = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round(_dot(F.col("u"), F.col("v")), 9).alias("similarity")).where(F.col("similarity") >= least)
+        found = rows if found is None else found.unionAll(rows)
+    return found.distinct()
+
+
+def newest(rows: DataFrame, most: int, *by: str) -> DataFrame:
+    """The newest rows, of each group if there is any: a limit that the jobs over recent records have."""
+    if not by:
+        return rows.orderBy(F.desc("created_at"), "id").limit(most)
+    order = Window.partitionBy(*by).orderBy(F.desc("created_at"), "id")
+    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
 
 
 def star_clusters(pairs: DataFrame, order: DataFrame, least_size: int = 2) -> DataFrame:
@@ -197,11 +226,11 @@ def star_clusters(pairs: DataFrame, order: DataFrame, least_size: int = 2) -> Da
     return ranked.groupBy("component").cogroup(edges.groupBy("part")).applyInPandas(run, "id long, cluster long")
 
 
-def auto_links(new: DataFrame, old: DataFrame, block: str, least: float = 0.75, k: int = 5) -> DataFrame:
-    """(id, other, similarity): the newest k similar records of each new one."""
-    a = new.select(block, "id", F.col("embedding").alias("va"))
-    b = old.select(block, F.col("id").alias("other"), F.col("embedding").alias("vb"), F.col("created_at").alias("t"))
-    near = a.join(b, block).where("id <> other").withColumn("similarity", cosine(F.col("va"), F.col("vb"))).where(F.col("similarity") >= least)
+def auto_links(new: DataFrame, stored: DataFrame, least: float = 0.75, k: int = 5, recent: int = 200) -> DataFrame:
+    """(id, other, similarity): of the newest stored records, the newest k that are like a new one."""
+    b = newest(stored, recent).select(F.col("id").alias("other"), _unit(F.col("embedding")).alias("v"), F.col("created_at").alias("t"))
+    a = new.select("id", _unit(F.col("embedding")).alias("u"))
+    near = a.join(F.broadcast(b), (F.col("id") != F.col("other")) & (F.size("u") == F.size("v"))).withColumn("similarity", F.round(_dot(F.col("u"), F.col("v")), 9)).where(F.col("similarity") >= least)
     order = Window.partitionBy("id").orderBy(F.desc("t"), "other")
     return near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("id", "other", F.round("similarity", 6).alias("similarity"))
 
@@ -221,17 +250,17 @@ def densify(pairs: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:
     return rows.select("a", "b", "shared", js_round(link_strength(F.col("shared"), 10.0), 6).alias("strength"))
 
 
-def tag_merges(tags: DataFrame, least: float = 0.8, least_count: int = 2) -> DataFrame:
+def tag_merges(tags: DataFrame, least: float = 0.8, least_count: int = 2, broadcast_tags: int = 100_000) -> DataFrame:
     """(rare, common, similarity): alike tags, the rarer of which may be merged into the other.
 
-    Candidates share their first two characters or their last two, so that
-    tags are not compared all with all.
+    Tags are a vocabulary. Two tags of a likeness differ little in length, so
+    that a tag meets only those of near lengths; every such pair is compared.
     """
-    counts = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_count)
-    ends = F.explode(F.array_distinct(F.array(F.concat(F.lit("^"), F.substring("tag", 1, 2)), F.concat(F.lit("$"), F.expr("right(tag, 2)"))))).alias("block")
-    a = counts.select(ends, F.col("tag").alias("x"), F.col("n").alias("nx"))
-    b = counts.select(ends, F.col("tag").alias("y"), F.col("n").alias("ny"))
-    pairs = a.join(b, "block").where("x < y").drop("block").distinct().withColumn("similarity", F.round(similarity(F.col("x"), F.col("y")), 6)).where(F.col("similarity") >= least)
+    counts = checkpointed(tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_count).withColumn("width", F.length("tag")))
+    near = F.broadcast if counts.count() <= broadcast_tags else (lambda df: df)
+    a = counts.select(F.col("tag").alias("x"), F.col("n").alias("nx"), F.explode(F.sequence(F.ceil(F.col("width") * least).cast("int"), F.floor(F.col("width") / least).cast("int"))).alias("width"))
+    b = counts.select(F.col("tag").alias("y"), F.col("n").alias("ny"), "width")
+    pairs = a.join(near(b), "width").where("x < y").withColumn("similarity", F.round(similarity(F.col("x"), F.col("y")), 6)).where(F.col("similarity") >= least)
     swap = F.col("nx") <= F.col("ny")
     return pairs.select(F.when(swap, F.col("x")).otherwise(F.col("y")).alias("rare"), F.when(swap, F.col("y")).otherwise(F.col("x")).alias("common"), "similarity")
 
@@ -246,16 +275,42 @@ def recursive_lineage(spark: SparkSession, view: str, start: int, depth: int = 1
 
 #: Cosine at and above which texts are taken for the same, or may contradict each other.
 DUPLICATE, CONTRADICTION = 0.85, 0.82
+# How a sentence denies something, and how it states a value.
+NEGATIONS = (
+    r"(?i)\bnot\b|\bnever\b|\bno longer\b|\bdon'?t\b|\bdoesn'?t\b|\bwon'?t\b|\bcan'?t\b|\bisn'?t\b|\baren'?t\b|\bwasn'?t\b|\bweren'?t\b|\bstopped\b|\babandoned\b|\bswitched from\b|\bmigrated away\b"
+)
+VALUES = r"(?i)\b(?:is|are|was|were|use|using|prefer|chose|switched to|moved to|now)\s+(.{5,40})\b"
 
 
-def contradiction_reason(a: Column, b: Column) -> Column:
-    """negation if alike sentences differ in negation, value_change if they differ in a number; else null."""
+def contradiction_reason(a: Column, b: Column, sentences_each: int = 10, overlap: float = 0.3) -> Column:
+    """Why two texts contradict each other, or null: first a sentence that denies another, then one that states another value.
+
+    Only opening sentences about the same subject are compared; consolidated
+    summaries never contradict.
+    """
     from sparkloom.functions.text import sentences, word_overlap
 
-    pairs = lambda x, y: F.flatten(F.transform(F.slice(sentences(x), 1, 10), lambda s: F.transform(F.slice(sentences(y), 1, 10), lambda t: F.struct(s.alias("s"), t.alias("t")))))
-    negative = r"(?i)\b(not|no longer|never|isn't|doesn't|don't|won't|cannot|can't|without|removed|deprecated)\b"
-    alike = F.filter(pairs(a, b), lambda p: word_overlap(p["s"], p["t"]) >= 0.3)
-    negation = F.exists(alike, lambda p: p["s"].rlike(negative) != p["t"].rlike(negative))
-    number = lambda s: F.regexp_extract(s, r"(\d[\d.]*)", 1)
-    change = F.exists(alike, lambda p: (number(p["s"]) != "") & (number(p["t"]) != "") & (number(p["s"]) != number(p["t"])))
-    return F.when(negation, "negation").when(change, "value_change")
+    cut = lambda c: F.transform(F.slice(sentences(c), 1, sentences_each), lambda s: F.struct(s.alias("s"), s.rlike(NEGATIONS).alias("no"), F.regexp_extract_all(s, F.lit(VALUES), F.lit(1)).alias("v")))
+    pairs = F.flatten(F.transform(cut(a), lambda x: F.transform(cut(b), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    alike = F.filter(pairs, lambda p: word_overlap(p["x"]["s"], p["y"]["s"]) >= overlap)
+    short = lambda s: F.when(F.length(s) <= 80, s).otherwise(F.concat(F.substring(s, 1, 77), F.lit("...")))
+    denied = F.get(F.filter(alike, lambda p: p["x"]["no"] != p["y"]["no"]), F.lit(0))
+    yes, no = F.when(denied["x"]["no"], denied["y"]["s"]).otherwise(denied["x"]["s"]), F.when(denied["x"]["no"], denied["x"]["s"]).otherwise(denied["y"]["s"])
+    values = F.flatten(F.transform(alike, lambda p: F.flatten(F.transform(p["x"]["v"], lambda u: F.transform(p["y"]["v"], lambda v: F.struct(u.alias("u"), v.alias("v")))))))
+    other = F.get(F.filter(values, lambda q: (F.lower(q["u"]) != F.lower(q["v"])) & (F.length(q["u"]) >= 5) & (F.length(q["v"]) >= 5)), F.lit(0))
+    said = lambda kind, x, y: F.concat(F.lit(f'{kind}: "'), x, F.lit('" vs "'), y, F.lit('"'))
+    found = F.when(denied.isNotNull(), said("negation conflict", short(yes), short(no))).when(other.isNotNull(), said("value change", F.trim(other["u"]), F.trim(other["v"])))
+    return F.when(~F.startswith(a, F.lit("[Consolidated")) & ~F.startswith(b, F.lit("[Consolidated")), found)
+
+
+def contradictions(memories: DataFrame, vectors: DataFrame, known: DataFrame, least: float = CONTRADICTION, recent: int = 300, most: int = 50) -> DataFrame:
+    """(a, b, similarity, reason) of alike recent records that contradict each other, the most alike first.
+
+    ``known`` pairs (memory_a_id, memory_b_id) are left out, whichever way round.
+    """
+    rows = checkpointed(newest(memories.where("is_active").join(vectors, "id"), recent).select("id", "embedding", "content"))
+    seen = known.select(F.least("memory_a_id", "memory_b_id").alias("a"), F.greatest("memory_a_id", "memory_b_id").alias("b")).distinct()
+    pairs = similar_pairs(rows, rows, least).join(seen, ["a", "b"], "left_anti")
+    text = rows.select("id", "content")
+    full = pairs.join(text.toDF("a", "ta"), "a").join(text.toDF("b", "tb"), "b").withColumn("reason", contradiction_reason(F.col("ta"), F.col("tb")))
+    return full.where("reason IS NOT NULL").select("a", "b", "similarity", "reason").orderBy(F.desc("similarity"), "a", "b").limit(most)

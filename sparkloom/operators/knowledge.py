@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import security as Z
 from sparkloom.functions import text as X
+from sparkloom.functions.extract import hall_of
 from sparkloom.functions.scoring import cosine, js_round
+from sparkloom.operators import graph as G
 from sparkloom.operators import relational as R
 
 # --- write path --------------------------------------------------------------------------------------------
@@ -55,19 +57,39 @@ def chunked(rows: DataFrame, most: int = 1500, target: int = 500, overlap: int =
     return roots.unionByName(chunks)
 
 
-def semantic_duplicates(new: DataFrame, stored: DataFrame, block: str, least: float = 0.85) -> DataFrame:
-    """(id, duplicate_of, similarity): for each new vector the newest stored one of its block that is alike enough."""
-    a = new.select(block, "id", F.col("embedding").alias("va"))
-    b = stored.select(block, F.col("id").alias("other"), F.col("embedding").alias("vb"), F.col("created_at").alias("t"))
-    near = a.join(b, block).where("id <> other").withColumn("s", cosine(F.col("va"), F.col("vb"))).where(F.col("s") >= least)
+def semantic_duplicates(new: DataFrame, stored: DataFrame, least: float = 0.85, recent: int = 200) -> DataFrame:
+    """(id, duplicate_of, similarity): for each new record the newest like one of its type and namespace.
+
+    Both have id, content, content_type, namespace, tags, embedding and
+    created_at. Only the ``recent`` newest stored records of a type and
+    namespace are candidates; short contents are never duplicates, and a new
+    record with tags must share one.
+    """
+    own = ["content_type", "namespace"]
+    b = G.newest(stored, recent, *own).select(*own, F.col("id").alias("other"), F.col("embedding").alias("vb"), F.col("tags").alias("tb"), F.col("created_at").alias("t"))
+    a = new.where(F.length("content") >= 50).select(*own, "id", F.col("embedding").alias("va"), F.coalesce("tags", F.array().cast("array<string>")).alias("ta"))
+    b = b.withColumnsRenamed({c: f"{c}_b" for c in own})
+    same = F.col("content_type").eqNullSafe(F.col("content_type_b")) & F.col("namespace").eqNullSafe(F.col("namespace_b"))
+    near = a.join(b, same).where("id <> other").withColumn("s", F.round(cosine(F.col("va"), F.col("vb")), 9)).where(F.col("s") >= least)
+    near = near.where((F.size("ta") == 0) | F.coalesce(F.arrays_overlap("ta", "tb"), F.lit(False)))
     order = Window.partitionBy("id").orderBy(F.desc("t"), "other")
     return near.withColumn("r", F.row_number().over(order)).where("r = 1").select("id", F.col("other").alias("duplicate_of"), F.round("s", 6).alias("similarity"))
 
 
-def near_texts(pairs: DataFrame, contents: DataFrame, least: float = 0.6) -> DataFrame:
-    """Pairs (a, b) whose texts share more than some of their content words."""
-    a, b = contents.toDF("a", "ta"), contents.toDF("b", "tb")
-    return pairs.join(a, "a").join(b, "b").withColumn("overlap", X.word_overlap(F.col("ta"), F.col("tb"))).where(F.col("overlap") > least).select("a", "b", F.round("overlap", 6).alias("overlap"))
+def near_duplicates(new: DataFrame, stored: DataFrame, least: float = 0.85, shared: float = 0.6, recent: int = 200, top: int = 3) -> DataFrame:
+    """(id, existing, similarity): of the few stored records most like a new one, the first that holds most of its words.
+
+    Columns as in ``semantic_duplicates``; candidates are the newest records of the namespace.
+    """
+    b = G.newest(stored, recent, "namespace").select("namespace", F.col("id").alias("other"), F.col("embedding").alias("vb"), F.col("content").alias("tb"))
+    a = new.where(F.length("content") >= 50).select("namespace", "id", F.col("embedding").alias("va"), F.col("content").alias("ta"))
+    near = a.join(b, "namespace").where("id <> other").withColumn("s", F.round(cosine(F.col("va"), F.col("vb")), 9)).where(F.col("s") >= least)
+    order = Window.partitionBy("id").orderBy(F.desc("s"), "other")
+    best = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top)
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) >= 3))
+    share = F.size(F.array_intersect(words(F.col("ta")), words(F.col("tb")))) / F.greatest(F.lit(1), F.size(words(F.col("ta"))))
+    kept = best.where(share > shared).groupBy("id").agg(F.min_by(F.struct("other", "s"), "r").alias("m"))
+    return kept.select("id", F.col("m.other").alias("existing"), F.round("m.s", 6).alias("similarity"))
 
 
 def merged_content(old: Column, new: Column) -> Column:
@@ -97,12 +119,36 @@ def extractive_summary(members: DataFrame, words: int = 500, per_record: int = 3
     return fits.groupBy("cluster").agg(joined.alias("summary")).join(counts, "cluster")
 
 
+def proper_nouns(text: Column) -> Column:
+    """Capitalised words of a text that don't begin a sentence, each once."""
+    parts = F.transform(F.split(text, r"[.!?]\s+"), lambda s: F.slice(F.split(s, r"\s+"), 2, 1_000_000))
+    return F.array_distinct(F.filter(F.flatten(parts), lambda w: w.rlike("^[A-Z][a-z]+") & (F.length(w) >= 3)))
+
+
 def summary_problems(summary: Column, sources: Column) -> Column:
-    """Reasons against a summary: empty, too short, longer than its sources, or without their specifics."""
-    numbers = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"\b\d[\d.]*\b"), F.lit(0)))
-    lost = (F.size(numbers(sources)) > 0) & (F.size(F.array_intersect(numbers(summary), numbers(sources))) == 0)
-    checks = ((F.length(F.trim(summary)) == 0, "empty"), (F.length(summary) < 50, "too_short"), (F.length(summary) > F.length(sources), "too_long"), (lost, "no_specifics"))
-    return F.array_compact(F.array(*[F.when(c, name) for c, name in checks]))
+    """Reasons against a summary of some source texts (an array), as an array of names.
+
+    Lengths are asked for less strictly of two sources than of more; the share
+    of names that a summary keeps falls with their number.
+    """
+    n, length = F.size(sources), F.length(summary)
+    small = n <= 2
+    matches = lambda p: F.regexp_count(summary, F.lit(p))
+    lines = F.filter(F.split(summary, "\n"), lambda x: F.trim(x) != "")
+    bullets = F.size(F.filter(lines, lambda x: x.rlike(r"^\s*[-*•]")))
+    whole = F.aggregate(sources, F.lit(0), lambda a, s: a + F.length(s))
+    nouns = F.array_distinct(F.flatten(F.transform(sources, proper_nouns)))
+    low = F.lower(summary)
+    kept = F.size(F.filter(nouns, lambda w: F.contains(low, F.lower(w))))
+    need = F.when(F.size(nouns) > 60, 0.15).when(F.size(nouns) > 30, 0.25).otherwise(0.5)
+    header = summary.rlike(r"(?i)^\[Consolidated summary of \d+ memories")
+    checks = (
+        ("too_short", length < F.when(small, 80).otherwise(100)), ("mechanical_header", header), ("nested_marker", ~header & (matches(r"(?i)\[Consolidated summary of") > 0)),
+        ("raw_ids", matches(r"\b01[A-Z0-9]{24,}\b") > 2), ("only_metadata", summary.rlike(r"(?i)^\s*\d+ sources|^\s*\d+ memories") & (length < 200)),
+        ("mostly_bullets", (F.size(lines) >= 5) & (bullets / F.size(lines) > F.when(small, 0.95).otherwise(0.85))),
+        ("too_much_lost", (whole > 500) & (length < 0.1 * whole)), ("names_lost", (F.size(nouns) > 0) & (kept / F.greatest(F.lit(1), F.size(nouns)) < need)),
+    )
+    return F.array_compact(F.array(*[F.when(c, name) for name, c in checks]))
 
 
 def split_by_community(members: DataFrame, communities: DataFrame, least: int = 2) -> DataFrame:
@@ -159,7 +205,7 @@ def milestones_done(goals: DataFrame) -> DataFrame:
 def palace(memories: DataFrame, tag_lists: DataFrame) -> DataFrame:
     """(wing, hall, records, first): records of each namespace by hall, with the most important one."""
     rows = memories.where("is_active").join(tag_lists, "id", "left")
-    hall = R.hall_of(F.coalesce("tags", F.array().cast("array<string>")))
+    hall = hall_of(F.coalesce("tags", F.array().cast("array<string>")), F.col("content"))
     return rows.groupBy(F.col("namespace").alias("wing"), hall.alias("hall")).agg(
         F.count(F.lit(1)).alias("records"), F.expr("max_by(id, struct(importance, -id))").alias("first")
     )

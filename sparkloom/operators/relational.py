@@ -77,13 +77,6 @@ def browse(memories: DataFrame, tags: DataFrame, where: Column, wanted: list[str
     return rows.orderBy(F.desc("created_at"), "id").limit(limit)
 
 
-def hall_of(tags: Column) -> Column:
-    """Which hall a record belongs to, by the first rule that fits its tags."""
-    has = lambda *names: F.arrays_overlap(tags, F.array(*[F.lit(n) for n in names]))
-    # Words of the driver's tags stand for the halls' tags.
-    return F.when(has("widget", "gadget"), "decisions").when(has("ring", "bolt"), "techniques").when(has("red", "blue"), "events").otherwise("facts")
-
-
 # --- joins -------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sparkloom.operators import analytics as A
 from sparkloom.operators import graph as G
 from sparkloom.operators import relational as R
 from sparkloom.plans.q_relational import PAIRS
@@ -9,11 +10,11 @@ from sparkloom.plans.q_search import COSINE, embeddings
 from sparkloom.plans.registry import query
 
 #: Suppliers that sold the same part, a denser graph than the forest of nations.
-SOLD = ", sp AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_orderkey % 40 = 0), g AS (SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey AS b FROM sp a JOIN sp b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey)"
+SOLD = ", sp AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), g AS (SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey AS b FROM sp a JOIN sp b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey)"
 
 
 def sold_together(t):
-    sold = t.lineitem.where("l_orderkey % 40 = 0").select("l_partkey", "l_suppkey").distinct()
+    sold = t.lineitem.select("l_partkey", "l_suppkey").distinct()
     pairs = sold.join(sold.withColumnRenamed("l_suppkey", "target"), "l_partkey").where("l_suppkey < target")
     return pairs.select(F.col("l_suppkey").alias("source"), "target").distinct()
 
@@ -39,8 +40,15 @@ def _(t):
 
 @query("g3_betweenness")
 def _(t):
-    edges = t.relationships.where("relationship <> 'buys'")
-    return G.betweenness(edges)
+    """Of the whole forest; above 1000 nodes, as there is with all customers at larger scales, the operator's guard gives no row."""
+    return G.betweenness(t.relationships)
+
+
+@query("g3_betweenness_regions", """, d AS (SELECT n_regionkey AS r, count(*) AS n FROM nation GROUP BY 1), s AS (SELECT r, n, n * (n - 1) / 2 AS pairs FROM d)
+  SELECT 'r' || r AS node, round(pairs / (30 - 1) / (30 - 2), 6) AS betweenness FROM s UNION ALL SELECT 'n' || n_nationkey, 0 FROM nation""")
+def _(t):
+    """Of the stars of nations around their regions: a region lies between all pairs of its nations."""
+    return G.betweenness(t.relationships.where("relationship = 'in_region'"))
 
 
 @query("g5_communities")
@@ -82,17 +90,32 @@ def _(t):
     return R.neighbours(t.relationships).where("node = 's4'").select("other")
 
 
-@query("j17_similar_pairs", f"SELECT a.vec_id AS a, b.vec_id AS b, round({COSINE}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {COSINE} >= 0.3", raw=True)
+@query("j17_similar_pairs", f"SELECT DISTINCT least(a.vec_id, b.vec_id) AS a, greatest(a.vec_id, b.vec_id) AS b, round(round({COSINE}, 9), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id WHERE round({COSINE}, 9) >= 0.3", raw=True)
 def _(t):
-    found = G.similar_pairs(embeddings(t).join(t.embeddings.select(F.col("vec_id").alias("id"), "label"), "id"), 0.3, "label")
-    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
+    """Vectors with an id divisible by 20 against all vectors."""
+    every = embeddings(t)
+    return G.similar_pairs(every.where("id % 20 = 0"), every, 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+def clustered(t, bucket=None):
+    """Clusters of the newest 2000 active records with a vector, that are no chunks and not immutable, as the job has it."""
+    rows = t.memories.where("is_active AND parent_id IS NULL").where(~F.coalesce(F.get_json_object("metadata", "$.immutable") == "1", F.lit(False)))
+    rows = G.checkpointed(G.newest(rows.join(embeddings(t), "id"), 2000).select("id", "embedding", "created_at"))
+    pairs = G.similar_pairs(rows, rows, 0.3)
+    if bucket:
+        own = rows.select("id", A.period(F.col("created_at"), bucket).alias("p"))
+        pairs = pairs.join(own.toDF("a", "pa"), "a").join(own.toDF("b", "pb"), "b").where("pa = pb").select("a", "b", "similarity")
+    return G.star_clusters(pairs, rows.select("id", (-F.unix_seconds("created_at")).alias("rank")))
 
 
 @query("c1_clusters")
 def _(t):
-    vectors = embeddings(t).join(t.embeddings.select(F.col("vec_id").alias("id"), "label"), "id")
-    order = t.memories.select("id", F.unix_seconds("created_at").alias("t")).select("id", (-F.col("t")).alias("rank"))
-    return G.star_clusters(G.similar_pairs(vectors, 0.3, "label"), order)
+    return clustered(t)
+
+
+@query("c1_clusters_by_month")
+def _(t):
+    return clustered(t, "month")
 
 
 @query("c6_co_retrieval_links", """, p AS (SELECT unnest(memory_ids) AS a, memory_ids FROM co_retrievals), q AS (SELECT a, unnest(memory_ids) AS b FROM p), n AS (SELECT a, b, count(*) AS n FROM q WHERE a < b GROUP BY 1, 2 HAVING count(*) >= 2)
@@ -102,14 +125,14 @@ def _(t):
 
 
 @query("c7_densify", PAIRS + """ SELECT a, b, shared, floor(least(0.9::DOUBLE, 0.3::DOUBLE + shared / 10 * 0.6::DOUBLE) * 1000000 + 0.5) / 1000000 AS strength FROM pr WHERE shared >= 2
-  AND NOT EXISTS (SELECT 1 FROM (SELECT memory_ids[1] AS s, memory_ids[2] AS t FROM co_retrievals WHERE len(memory_ids) > 1 AND query_id % 3 = 0) e WHERE e.s = a AND e.t = b)""")
+  AND NOT EXISTS (SELECT 1 FROM (SELECT memory_ids[1] AS s, memory_ids[2] AS t FROM co_retrievals WHERE len(memory_ids) > 1) e WHERE e.s = a AND e.t = b)""")
 def _(t):
-    edges = t.co_retrievals.where("size(memory_ids) > 1 AND query_id % 3 = 0").select(F.get("memory_ids", F.lit(0)).alias("source"), F.get("memory_ids", F.lit(1)).alias("target"))
+    edges = t.co_retrievals.where("size(memory_ids) > 1").select(F.get("memory_ids", F.lit(0)).alias("source"), F.get("memory_ids", F.lit(1)).alias("target"))
     return G.densify(R.co_occurrence(t.memory_entities), edges)
 
 
 @query("c8_tag_merges", """, n AS (SELECT tag, count(*) AS n FROM memory_tags GROUP BY 1 HAVING count(*) >= 2), p AS (SELECT x.tag AS x, y.tag AS y, x.n AS nx, y.n AS ny, round(1 - levenshtein(x.tag, y.tag) / greatest(length(x.tag), length(y.tag)), 6) AS similarity
-  FROM n x JOIN n y ON x.tag < y.tag AND (left(x.tag, 2) = left(y.tag, 2) OR right(x.tag, 2) = right(y.tag, 2))) SELECT CASE WHEN nx <= ny THEN x ELSE y END AS rare, CASE WHEN nx <= ny THEN y ELSE x END AS common, similarity FROM p WHERE similarity >= 0.3""")
+  FROM n x JOIN n y ON x.tag < y.tag) SELECT CASE WHEN nx <= ny THEN x ELSE y END AS rare, CASE WHEN nx <= ny THEN y ELSE x END AS common, similarity FROM p WHERE similarity >= 0.3""")
 def _(t):
     return G.tag_merges(t.memory_tags, 0.3)
 
@@ -122,8 +145,9 @@ def _(t):
     return canonical_rows(t.memories).where("rn > 1").select("id")
 
 
-@query("p7_auto_links", f"""SELECT id, other, similarity FROM (SELECT a.vec_id AS id, b.vec_id AS other, round({COSINE}, 6) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY m.created_at DESC, b.vec_id) AS r
-  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id JOIN memories m ON m.id = b.vec_id WHERE a.vec_id < 50 AND {COSINE} >= 0.25) WHERE r <= 5""")
+@query("p7_auto_links", f"""SELECT id, other, similarity FROM (SELECT a.vec_id AS id, b.vec_id AS other, round(round({COSINE}, 9), 6) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.created_at DESC, b.vec_id) AS r
+  FROM embeddings a JOIN (SELECT vec_id, embedding, created_at FROM embeddings JOIN memories m ON m.id = vec_id WHERE is_active ORDER BY created_at DESC, vec_id LIMIT 200) b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND round({COSINE}, 9) >= 0.25) WHERE r <= 5""")
 def _(t):
-    labelled = embeddings(t).join(t.embeddings.select(F.col("vec_id").alias("id"), "label"), "id")
-    return G.auto_links(labelled.where("id < 50"), labelled.join(t.memories.select("id", "created_at"), "id"), "label", 0.25)
+    """New records are those with an id divisible by 20."""
+    every = embeddings(t)
+    return G.auto_links(every.where("id % 20 = 0"), every.join(t.memories.where("is_active").select("id", "created_at"), "id"), 0.25)

@@ -3,8 +3,11 @@
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
+from sparkloom.functions.extract import HALLS
+from sparkloom.operators import graph as G
 from sparkloom.operators import knowledge as K
 from sparkloom.plans.q_search import COSINE, search_queries
+from sparkloom.plans.q_text import _blocked, _redacted
 from sparkloom.plans.registry import query
 
 
@@ -12,21 +15,46 @@ def tag_lists(t):
     return t.memory_tags.groupBy(F.col("memory_id").alias("id")).agg(F.collect_set("tag").alias("tags"))
 
 
-@query("p1_create", """, r AS (SELECT id, content, content_type, created_at, importance, sha256(trim(regexp_replace(lower(trim(content)), '\\s+', ' ', 'g'))) AS h FROM memories WHERE id % 2 = 0 AND regexp_matches(content, '^[A-Za-zÀ-ÿ ,.]+$')),
+#: A content as it is stored: injected instructions and credentials blocked. (Private parts don't occur.)
+CLEAN = _redacted(_blocked("trim(content)"))
+
+
+@query("p1_create", f""", r AS (SELECT id, {CLEAN} AS content, content_type, created_at, importance, sha256(trim(regexp_replace(lower({CLEAN}), '\\s+', ' ', 'g'))) AS h FROM memories WHERE content IS NOT NULL),
   g AS (SELECT * FROM r WHERE length(trim(content)) > 0 AND (length(trim(content)) >= 120 OR content_type IN ('summary', 'conversation'))),
   f AS (SELECT *, row_number() OVER (PARTITION BY content_type, h ORDER BY created_at, id) AS rn FROM g)
   SELECT id, h AS content_hash, floor((0.3::DOUBLE * importance + 0.15::DOUBLE) * 1000 + 0.5) / 1000 AS quality_score FROM f WHERE rn = 1""")
 def _(t):
-    rows = t.memories.where("id % 2 = 0 AND content RLIKE '^[A-Za-zÀ-ÿ ,.]+$'").withColumn("tags", F.array().cast("array<string>"))
+    rows = t.memories.withColumn("tags", F.array().cast("array<string>"))
     stored = rows.where("false").select("content_type", F.lit("").alias("content_hash"))
     return K.create(rows, stored, t.as_of).select("id", "content_hash", "quality_score")
 
 
-@query("p3_semantic_duplicates", f"""SELECT id, duplicate_of, similarity FROM (SELECT a.vec_id AS id, b.vec_id AS duplicate_of, round({COSINE}, 6) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY m.created_at DESC, b.vec_id) AS r
-  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id JOIN memories m ON m.id = b.vec_id WHERE {COSINE} >= 0.35) WHERE r = 1""")
+def with_vectors(t):
+    return t.memories.where("is_active AND parent_id IS NULL").join(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), "id").join(tag_lists(t), "id", "left")
+
+
+VECTORS = """, tl AS (SELECT memory_id, list(tag) AS tags FROM memory_tags GROUP BY 1), st AS (SELECT m.*, vec_id, embedding, tags FROM memories m JOIN embeddings ON vec_id = m.id LEFT JOIN tl ON memory_id = m.id WHERE is_active AND parent_id IS NULL)"""
+
+
+@query("p3_semantic_duplicates", VECTORS + f""", c AS (SELECT *, row_number() OVER (PARTITION BY content_type, namespace ORDER BY created_at DESC, id) AS n FROM st),
+  d AS (SELECT a.id, b.id AS duplicate_of, round(round({COSINE}, 9), 6) AS similarity, row_number() OVER (PARTITION BY a.id ORDER BY b.created_at DESC, b.id) AS r FROM st a JOIN c b ON a.id <> b.id AND b.n <= 200
+  AND a.content_type IS NOT DISTINCT FROM b.content_type AND a.namespace IS NOT DISTINCT FROM b.namespace WHERE a.id % 20 = 0 AND length(a.content) >= 50 AND round({COSINE}, 9) >= 0.15 AND (a.tags IS NULL OR coalesce(list_has_any(a.tags, b.tags), false)))
+  SELECT id, duplicate_of, similarity FROM d WHERE r = 1""")
 def _(t):
-    labelled = t.embeddings.select(F.col("vec_id").alias("id"), "embedding", "label")
-    return K.semantic_duplicates(labelled, labelled.join(t.memories.select("id", "created_at"), "id"), "label", 0.35)
+    """New records are those with an id divisible by 20."""
+    rows = with_vectors(t)
+    return K.semantic_duplicates(rows.where("id % 20 = 0"), rows, 0.15)
+
+
+@query("p4_near_duplicates", VECTORS + f""", c AS (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY created_at DESC, id) AS n FROM st),
+  d AS (SELECT a.id, b.id AS existing, round({COSINE}, 9) AS s, a.content AS ta, b.content AS tb FROM st a JOIN c b ON a.id <> b.id AND b.n <= 200 AND a.namespace = b.namespace WHERE a.id % 20 = 0 AND length(a.content) >= 50 AND round({COSINE}, 9) >= 0.1),
+  e AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, existing) AS r FROM d), w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(ta), '\\s+'), lambda w: length(w) >= 3)) AS wa,
+  list_distinct(list_filter(regexp_split_to_array(lower(tb), '\\s+'), lambda w: length(w) >= 3)) AS wb FROM e WHERE r <= 3), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r) AS q FROM w WHERE len(list_intersect(wa, wb)) / greatest(1, len(wa)) > 0.3)
+  SELECT id, existing, round(s, 6) AS similarity FROM k WHERE q = 1""")
+def _(t):
+    """New records are those with an id divisible by 20."""
+    rows = with_vectors(t)
+    return K.near_duplicates(rows.where("id % 20 = 0"), rows, 0.1, 0.3)
 
 
 @query("p6_chunked")
@@ -36,7 +64,7 @@ def _(t):
 
 @query("c3_extractive_summary")
 def _(t):
-    members = t.memories.where("is_active AND id < 60").select((F.col("id") % 10).alias("cluster"), "id", "content")
+    members = t.memories.where("is_active").select(F.concat_ws("/", "namespace", "content_type").alias("cluster"), "id", "content")
     return K.extractive_summary(members, 100)
 
 
@@ -50,15 +78,18 @@ def _(t):
 
 @query("c4_contradictions")
 def _(t):
-    from sparkloom.operators.graph import contradiction_reason
+    """Of the newest 300 active records with a vector, as the job has it."""
+    known = t.memory_links.select(F.col("source_id").alias("memory_a_id"), F.col("target_id").alias("memory_b_id"))
+    return G.contradictions(t.memories, t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), known, 0.2)
+
 
-    base = F.concat(F.lit("The main server version is "), F.col("id"), F.lit(" and it runs well."))
-    other = F.when(F.col("id") % 2 == 0, F.concat(F.lit("The main server version is not "), F.col("id"), F.lit(" and it runs well."))).otherwise(F.concat(F.lit("The main server version is "), F.col("id") + 1, F.lit(" and it runs well.")))
-    return t.memories.select("id", contradiction_reason(base, other).alias("reason"))
+#: The hall of a record (content, tags): the first that fits by tag or by word.
+HALL = "CASE " + " ".join(
+    f"WHEN list_has_any(list_transform(tags, lambda x: lower(x)), {list(names)}) OR " + " OR ".join(f"contains(lower(content), '{w}')" for w in words) + f" THEN '{hall}'" for hall, (names, words) in HALLS.items()
+) + " ELSE 'notes' END"
 
 
-@query("a25_palace", """, g AS (SELECT memory_id, list(tag) AS tags FROM memory_tags GROUP BY 1), h AS (SELECT id, namespace AS wing, importance, CASE WHEN list_has_any(tags, ['widget', 'gadget']) THEN 'decisions' WHEN list_has_any(tags, ['ring', 'bolt']) THEN 'techniques'
-  WHEN list_has_any(tags, ['red', 'blue']) THEN 'events' ELSE 'facts' END AS hall FROM memories LEFT JOIN g ON memory_id = id WHERE is_active)
+@query("a25_palace", f""", g AS (SELECT memory_id, list(tag) AS tags FROM memory_tags GROUP BY 1), h AS (SELECT id, namespace AS wing, importance, {HALL} AS hall FROM memories LEFT JOIN g ON memory_id = id WHERE is_active)
   SELECT wing, hall, count(*) AS records, (list(id ORDER BY importance DESC, id))[1] AS first FROM h GROUP BY 1, 2""")
 def _(t):
     return K.palace(t.memories, tag_lists(t))
@@ -69,11 +100,11 @@ def _(t):
     return K.tunnels(t.memory_tags, t.memories)
 
 
-@query("h1_relevant_goals", """, gw AS (SELECT p_partkey AS goal_id, list_distinct(list_filter(regexp_split_to_array(lower('grow the ' || p_name || ' thing edge'), '\\W+'), lambda w: length(w) >= 3 AND w NOT IN ('the'))) AS k FROM part WHERE p_partkey < 20),
+@query("h1_relevant_goals", """, gw AS (SELECT p_partkey AS goal_id, list_distinct(list_filter(regexp_split_to_array(lower('grow the ' || p_name || ' thing edge'), '\\W+'), lambda w: length(w) >= 3 AND w NOT IN ('the'))) AS k FROM part WHERE p_partkey % 20 = 0),
   gf AS (SELECT goal_id, len(k) AS n, unnest(k) AS w FROM gw), mw AS (SELECT id, unnest(list_distinct(regexp_split_to_array(lower(content), '[^a-zA-Z0-9_]+'))) AS w FROM memories), c AS (SELECT id, goal_id, n, count(*) AS c FROM mw JOIN gf USING (w) GROUP BY 1, 2, 3)
   SELECT id, goal_id, round(c / n, 6) AS share FROM c WHERE c / n >= 0.2""")
 def _(t):
-    goals = t.part.where("p_partkey < 20").select(F.col("p_partkey").alias("id"), F.concat(F.lit("grow the "), "p_name", F.lit(" thing edge")).alias("title"), F.lit("active").alias("status"))
+    goals = t.part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id"), F.concat(F.lit("grow the "), "p_name", F.lit(" thing edge")).alias("title"), F.lit("active").alias("status"))
     return K.relevant_goals(t.memories, goals, 0.2)
 
 
@@ -98,7 +129,7 @@ def _(t):
 
 @query("x35_entity_profiles")
 def _(t):
-    return K.entity_profiles(t.entities, t.memory_entities, t.memories.where("id < 200"))
+    return K.entity_profiles(t.entities, t.memory_entities, t.memories)
 
 
 @query("x27_expanded_queries")

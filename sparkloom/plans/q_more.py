@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions import extract as N
 from sparkloom.functions import scoring as S
 from sparkloom.functions import text as X
 from sparkloom.operators import analytics as A
@@ -13,8 +14,10 @@ from sparkloom.operators import lifecycle as L
 from sparkloom.operators import relational as R
 from sparkloom.operators import search as H
 from sparkloom.plans.q_analytics import LINKS, QUALITY
+from sparkloom.plans.q_knowledge import HALL
 from sparkloom.plans.q_relational import PAIRS
 from sparkloom.plans.q_search import LISTS, lists
+from sparkloom.plans.q_text import lit
 from sparkloom.plans.registry import query
 from sparkloom.sources import ingest as I
 
@@ -204,38 +207,51 @@ def _(t):
     return t.memory_tags.select("tag").distinct().select("tag", X.canonical_tag(F.concat(F.lit(" _"), F.upper("tag"), F.lit("-"))).alias("canonical"))
 
 
-@query("x17_specifics", "SELECT item_id, len(regexp_extract_all(text, '[A-Z][a-z]+')) AS n FROM benchmark", raw=True)
+@query("x17_specifics", ", s AS (SELECT id, list_sort(list_distinct(list_concat(" + ", ".join(f"regexp_extract_all(content, {lit(p)})" for p in N.SPECIFICS) + "))) AS s FROM memories) SELECT id, array_to_string(s, ' | ') AS found FROM s WHERE len(s) > 0")
 def _(t):
-    return t.benchmark.select("item_id", F.size(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))).cast("long").alias("n"))
+    return t.memories.select("id", F.array_sort(N.specifics(F.col("content"))).alias("s")).where("size(s) > 0").select("id", F.array_join("s", " | ").alias("found"))
 
 
-@query("x19_summary_problems", "SELECT id, CASE WHEN id % 2 = 0 THEN 'too_short,no_specifics' ELSE 'too_short' END AS problems FROM memories")
+@query("x17_key_facts", r""", s AS (SELECT id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(content, '[.!?]\n', chr(1), 'g'), '[.!?]\s', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 10) AS s FROM memories)
+  SELECT id, len(list_filter(s, lambda x: """ + " OR ".join(f"regexp_matches(x, {lit(p)})" for p in N.KEY_FACTS) + ")) AS n FROM s")
 def _(t):
-    summary = F.when(F.col("id") % 2 == 0, "no numbers here").otherwise("it has 42 in it")
-    found = K.summary_problems(summary, F.lit("A long source text that speaks of 42 things, and of some more of them."))
-    return t.memories.select("id", F.array_join(found, ",").alias("problems"))
+    return t.memories.select("id", F.size(N.fact_sentences(F.col("content"))).cast("long").alias("n"))
 
 
-@query("x20_halls", """SELECT memory_id AS id, CASE WHEN bool_or(tag IN ('widget', 'gadget')) THEN 'decisions' WHEN bool_or(tag IN ('ring', 'bolt')) THEN 'techniques' WHEN bool_or(tag IN ('red', 'blue')) THEN 'events' ELSE 'facts' END AS hall FROM memory_tags GROUP BY 1""")
+@query("x19_summary_problems")
 def _(t):
-    return tag_lists(t).select("id", R.hall_of(F.col("tags")).alias("hall"))
+    """Extractive summaries of each namespace and content type against their sources."""
+    members = t.memories.where("is_active").select(F.concat_ws("/", "namespace", "content_type").alias("cluster"), "id", "content")
+    made = K.extractive_summary(members, 100)
+    sources = members.where("id % 20 = 0").groupBy("cluster").agg(F.collect_list("content").alias("sources"))
+    return made.join(sources, "cluster").select("cluster", F.array_join(K.summary_problems(F.col("summary"), F.col("sources")), ",").alias("problems"))
 
 
-@query("x32_weighted_contains", "SELECT id, CAST(contains(lower(content), 'tion') AS INTEGER) * 3 + CAST(contains(lower(content), 'que') AS INTEGER) AS score FROM memories")
+@query("x20_halls", f""", g AS (SELECT memory_id, list(tag) AS tags FROM memory_tags GROUP BY 1) SELECT id, {HALL} AS hall FROM memories LEFT JOIN g ON memory_id = id""")
 def _(t):
-    has = lambda w, n: F.when(F.contains(F.lower("content"), F.lit(w)), n).otherwise(0)
-    return t.memories.select("id", (has("tion", 3) + has("que", 1)).alias("score"))
+    rows = t.memories.join(tag_lists(t), "id", "left")
+    return rows.select("id", N.hall_of(F.coalesce("tags", F.array().cast("array<string>")), F.col("content")).alias("hall"))
 
 
-@query("x33_topics", "SELECT id, CAST(contains(lower(content), 'tion') AS INTEGER) + CAST(contains(lower(content), 'ent') AS INTEGER) AS n FROM memories")
+@query("x32_weighted_contains", "SELECT id, CAST(contains(lower(content), 'tion') AS BIGINT) * 3 + CAST(contains(lower(content), 'que') AS BIGINT) + CAST(contains(lower(content), 'über') AS BIGINT) * 2 AS score FROM memories")
 def _(t):
-    words = F.array(F.lit("tion"), F.lit("ent"))
-    return t.memories.select("id", F.size(F.slice(F.filter(words, lambda w: F.contains(F.lower("content"), w)), 1, 5)).alias("n"))
+    weights = F.create_map(*[F.lit(x) for p in (("tion", 3), ("que", 1), ("über", 2)) for x in p])
+    return t.memories.select("id", N.weighted_words(F.col("content"), weights).alias("score"))
 
 
-@query("x36_self_queries", "SELECT id AS query_id, array_to_string(list_filter(regexp_split_to_array(content, '\\s+'), lambda w: length(w) > 3)[1:8], ' ') AS query FROM memories WHERE is_active")
+_TOPICS = "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(content), {lit(w)})" for w in words) + f" THEN '{topic}' END" for topic, words in N.TOPICS.items()) + "], lambda x: x IS NOT NULL)[1:5]"
+
+
+@query("x33_topics", f"SELECT id, array_to_string({_TOPICS}, ',') AS topics FROM memories")
 def _(t):
-    return E.self_queries(t.memories, 1 << 30)
+    return t.memories.select("id", F.array_join(N.topics(F.col("content")), ",").alias("topics"))
+
+
+@query("x36_self_queries", r""", tl AS (SELECT memory_id, list_sort(list(tag)) AS tags FROM memory_tags GROUP BY 1), p AS (SELECT id, content, tags, trim(list_filter(string_split(content, chr(10)), lambda x: length(trim(x)) > 20 AND NOT regexp_matches(trim(x), '^[#*-]'))[1]) AS l FROM memories LEFT JOIN tl ON memory_id = id WHERE is_active),
+  w AS (SELECT *, regexp_split_to_array(l, '\s+') AS w FROM p) SELECT id AS query_id, CASE WHEN l IS NOT NULL AND len(w) > 6 THEN array_to_string(w[CAST(floor(len(w) / 4) AS INTEGER) + 1:CAST(floor(len(w) / 4) AS INTEGER) + 5], ' ')
+  WHEN l IS NOT NULL THEN left(l, 60) WHEN len(tags) > 0 THEN array_to_string(tags[1:3], ' ') ELSE trim(left(content, 40)) END AS query FROM w""")
+def _(t):
+    return E.self_queries(t.memories, tag_lists(t))
 
 
 # --- retrieval and lifecycle ---
@@ -257,11 +273,7 @@ def _(t):
     return H.refine(rows, 1 << 30).select("id", "rank")
 
 
-@query("p4_near_texts", "SELECT id AS a, id + 1 AS b, 1.0::DOUBLE AS overlap FROM memories WHERE id < 20")
-def _(t):
-    text = F.lit("the same words about dogs and cats stand here")
-    contents = t.spark.range(0, 21).select("id", text.alias("content"))
-    return K.near_texts(t.spark.range(0, 20).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), contents)
+
 
 
 @query("p5_merged", "SELECT id, CASE WHEN id % 2 = 0 THEN left(content, 50) ELSE left(content, 50) || chr(10) || chr(10) || 'more of it' END AS content FROM memories WHERE NOT contains(left(content, 50), 'more of it')")
@@ -319,16 +331,17 @@ def _(t):
     return t.memories.where("tier = 'semantic'").groupBy(A.period(F.col("created_at"), "month").alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("v5_first_tag", "SELECT memory_id AS id, min(tag) AS tag FROM memory_tags WHERE tag NOT IN ('red', 'blue') GROUP BY 1")
+@query("v5_first_tag", "SELECT memory_id AS id, min(tag) AS tag FROM memory_tags WHERE tag NOT IN " + str(I.GENERIC_TAGS) + " GROUP BY 1")
 def _(t):
-    kept = F.filter("tags", lambda x: ~x.isin("red", "blue"))
-    return tag_lists(t).select("id", F.get(kept, F.lit(0)).alias("tag")).where("tag IS NOT NULL")
+    return I.first_topic(tag_lists(t)).select("id", "tag")
 
 
-@query("k7_notes", "SELECT count(DISTINCT tag) AS pages FROM memory_tags WHERE memory_id < 100 AND tag IN (SELECT tag FROM memory_tags)")
+@query("k7_notes", """, l AS (SELECT memory_id, (list(tag ORDER BY length(tag) DESC, tag))[1] AS tag FROM memory_tags GROUP BY 1), c AS (SELECT tag, count(*) AS n FROM l GROUP BY 1), g AS (SELECT memory_id, CASE WHEN n < 5 THEN 'misc' ELSE l.tag END AS g FROM l JOIN c ON l.tag = c.tag)
+  SELECT replace(g, ' ', '-') || '.md' AS path, sha256('# ' || g || chr(10) || chr(10) || string_agg('## Record ' || id || chr(10) || chr(10) || content, chr(10) || chr(10) ORDER BY id)) AS body FROM g JOIN memories m ON m.id = memory_id WHERE is_active GROUP BY g""")
 def _(t):
-    rows = t.memory_tags.where("memory_id < 100").select(F.col("tag").alias("note_group"), F.col("memory_id").alias("id"), F.lit("t").alias("title"), F.lit("c").alias("content"))
-    return I.render_notes(rows).agg(F.count(F.lit(1)).alias("pages"))
+    groups = I.note_groups(t.memory_tags, 5)
+    rows = t.memories.where("is_active").join(groups, "id").select("note_group", "id", F.concat(F.lit("Record "), "id").alias("title"), "content")
+    return I.render_notes(rows).select("path", F.sha2("body", 256).alias("body"))
 
 
 @query("k8_changed", "SELECT id FROM memories WHERE updated_at > TIMESTAMP '2024-01-20'")
@@ -357,8 +370,8 @@ def _(t):
     return L.prune(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", t.as_of, 60).select("event_id")
 
 
-@query("x16_contradictions", "SELECT id, CASE WHEN id % 2 = 0 THEN 'negation' ELSE 'value_change' END AS reason FROM memories")
+@query("x16_contradictions")
 def _(t):
-    base = F.lit("The main server version is 4 and it runs well.")
-    other = F.when(F.col("id") % 2 == 0, "The main server version is not 4 and it runs well.").otherwise("The main server version is 5 and it runs well.")
-    return t.memories.select("id", G.contradiction_reason(base, other).alias("reason"))
+    """Of each record and the next one."""
+    other = t.memories.select((F.col("id") - 1).alias("id"), F.col("content").alias("other"))
+    return t.memories.select("id", "content").join(other, "id").select("id", G.contradiction_reason(F.col("content"), F.col("other")).alias("reason"))

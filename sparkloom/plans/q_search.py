@@ -7,17 +7,15 @@ from sparkloom.functions.text import QUERY_STOPWORDS
 from sparkloom.operators import analytics as A
 from sparkloom.operators import evaluate as E
 from sparkloom.operators import search as R
+from sparkloom.operators.relational import infer_metadata
 from sparkloom.plans.q_analytics import QUALITY
 from sparkloom.plans.registry import query
 
-N_QUERIES = 5
-
-
 def search_queries(t):
-    """The first words of benchmark items, with an embedding each."""
+    """The first words of the benchmark items whose id is divisible by 20, with an embedding each."""
     words = F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ")
-    q = t.benchmark.where(F.col("item_id") < N_QUERIES).select(F.col("item_id").alias("query_id"), words.alias("query"))
-    return q.join(F.broadcast(t.embeddings.where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), "embedding")), "query_id")
+    q = t.benchmark.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), words.alias("query"))
+    return q.join(t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
 
 
 def embeddings(t):
@@ -25,7 +23,7 @@ def embeddings(t):
 
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in QUERY_STOPWORDS) + ")"
-FTS = QUALITY + rf""", q AS (SELECT item_id AS query_id, array_to_string(regexp_split_to_array(text, '\s+')[1:8], ' ') AS query FROM benchmark WHERE item_id < {N_QUERIES}),
+FTS = QUALITY + rf""", q AS (SELECT item_id AS query_id, array_to_string(regexp_split_to_array(text, '\s+')[1:8], ' ') AS query FROM benchmark WHERE item_id % 20 = 0 AND item_id IN (SELECT vec_id FROM embeddings)),
 qt AS (SELECT query_id, list_filter(string_split(trim(regexp_replace(regexp_replace(query, '[''"(){{}}\[\]*:^~!@#$%&\\]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w <> '' AND lower(w) NOT IN {_STOP})[1:10] AS w FROM q),
 qv AS (SELECT query_id, list_filter(regexp_split_to_array(lower(array_to_string(w, ' ')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS o FROM qt),
 ql AS (SELECT query_id, unnest(list_distinct(o)) AS term, o FROM qv),
@@ -44,23 +42,43 @@ fl AS (SELECT query_id, id, (score - min(score) OVER w) / coalesce(nullif(max(sc
  UNION ALL SELECT query_id, id, (score - min(score) OVER w) / coalesce(nullif(max(score) OVER w - min(score) OVER w, 0), 1) FROM ow WHERE r <= 200 WINDOW w AS (PARTITION BY query_id)),
 fts AS (SELECT query_id, id, round(max(s), 9) AS score FROM fl GROUP BY 1, 2)"""
 COSINE = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
-HYBRID = FTS + f""", vs AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({COSINE}, 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id < {N_QUERIES} AND b.vec_id IN (SELECT id FROM memories WHERE is_active)
+HYBRID = FTS + f""", vs AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({COSINE}, 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id IN (SELECT id FROM memories WHERE is_active)
   AND a.vec_id IN (SELECT query_id FROM q)),
 vr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM vs WHERE score > 0),
 fr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM fts WHERE score > 0),
 rrf AS (SELECT query_id, id, sum(x) AS rrf FROM (SELECT query_id, id, 0.45::DOUBLE / (60 + r) AS x FROM vr WHERE r <= 1000 UNION ALL SELECT query_id, id, 0.25::DOUBLE / (60 + r) FROM fr) GROUP BY 1, 2)"""
 
 
-@query("r1_hybrid_search", HYBRID + """, sc AS (SELECT query_id, m.id, quality, superseded_by, rrf * CASE WHEN superseded_by IS NOT NULL THEN 0.2 ELSE 1 END * (1 + 0.2 * exp(-0.05 * (1 - 0.5 * quality) * age_days)
+#: Words of the goals that are held to be active.
+GOALS = ("red", "bolt", "tion", "the")
+
+
+@query("r1_hybrid_search", HYBRID.replace("rrf AS (SELECT", """vl AS (SELECT * FROM vr WHERE r <= 1000), cand AS (SELECT query_id, id, round(sum(s), 9) AS s FROM (SELECT query_id, id, vs.score AS s FROM vs JOIN vl USING (query_id, id) UNION ALL SELECT query_id, id, score FROM fts WHERE score > 0) GROUP BY 1, 2),
+seed AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM cand) WHERE r <= 20),
+ends AS (SELECT source_id AS f, target_id AS id, strength FROM memory_links UNION ALL SELECT target_id, source_id, strength FROM memory_links),
+gp AS (SELECT query_id, ends.id, max(0.3 + 0.5 * strength) AS score FROM seed JOIN ends ON f = seed.id WHERE EXISTS (SELECT 1 FROM cand c WHERE c.query_id = seed.query_id AND c.id = ends.id) GROUP BY 1, 2),
+gr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM gp),
+rrf AS (SELECT""").replace("FROM fr) GROUP", "FROM fr UNION ALL SELECT query_id, id, 0.1::DOUBLE / (60 + r) FROM gr) GROUP") + """, tw AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda w: length(w) > 2)) AS w FROM q),
+tm AS (SELECT DISTINCT query_id, memory_id AS id FROM memory_tags JOIN tw ON contains(tag, w)), per AS (SELECT query_id, max(rrf) AS top, count(*) AS n FROM rrf GROUP BY 1),
+rec AS (SELECT id FROM memories WHERE is_active ORDER BY created_at DESC, id LIMIT 1000),
+pool AS (SELECT coalesce(rrf.query_id, tm.query_id) AS query_id, coalesce(rrf.id, tm.id) AS id, rrf, tm.id IS NOT NULL AS named FROM rrf FULL JOIN tm ON rrf.query_id = tm.query_id AND rrf.id = tm.id),
+base AS (SELECT p.query_id, id, coalesce(rrf, 1 / (60 + greatest(10, coalesce(n, 0)) + 1)) AS rrf, named, top FROM pool p LEFT JOIN per ON p.query_id = per.query_id WHERE rrf IS NOT NULL OR id IN (SELECT id FROM rec)),
+tl AS (SELECT memory_id, list(tag) AS tags FROM memory_tags GROUP BY 1), gx AS (SELECT id, coalesce(len(list_intersect(tags, ['red', 'bolt', 'tion', 'the'])), 0) AS n, len(list_filter(['red', 'bolt', 'tion', 'the'], lambda k: contains(lower(content), k))) AS c,
+  coalesce(list_has_any(tags, ['benchmark', 'run-summary', 'metrics', 'health-check', 'regression', 'progress', 'widget']), false) AS meta FROM memories LEFT JOIN tl ON memory_id = id),
+sc AS (SELECT query_id, m.id, quality, superseded_by, (rrf * CASE WHEN superseded_by IS NOT NULL THEN 0.2 ELSE 1 END * (1 + 0.2 * exp(-0.05 * (1 - 0.5 * quality) * age_days)
   + 0.1 * ln(1 + access_count) / ln(1 + (SELECT max(access_count) FROM memories WHERE is_active)) + 0.05 * CASE WHEN useful_count <= 0 THEN 0 ELSE least(1.0, ln(1 + useful_count) / ln(17)) END
-  + 0.05 * abs(valence) + 0.1 * quality + 0.1 * importance + CASE tier WHEN 'semantic' THEN 0.15 WHEN 'procedural' THEN 0.10 WHEN 'reference' THEN 0.05 WHEN 'working' THEN -0.10 ELSE 0 END) AS score
-  FROM rrf JOIN scored m ON m.id = rrf.id WHERE is_active),
+  + 0.05 * abs(valence) + 0.1 * quality + 0.1 * importance + CASE tier WHEN 'semantic' THEN 0.15 WHEN 'procedural' THEN 0.10 WHEN 'reference' THEN 0.05 WHEN 'working' THEN -0.10 ELSE 0 END
+  + 0.1 * CASE WHEN gx.n > 0 THEN least(1.0, gx.n / 3.0) WHEN gx.c >= 2 THEN least(0.5, gx.c / 4.0) ELSE 0 END) + CASE WHEN named THEN 0.1 * coalesce(top, 1 / 61) ELSE 0 END) * CASE WHEN meta THEN 0.35 ELSE 1 END AS score
+  FROM base JOIN scored m ON m.id = base.id JOIN gx ON gx.id = m.id WHERE is_active),
 k AS (SELECT * FROM sc WHERE score >= 0.001), d AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM k x WHERE x.query_id = k.query_id AND x.id = k.superseded_by)),
 f AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM d), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f WHERE score >= 0.15 * best AND quality >= 0.08)
 SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score, round(quality, 6) AS quality FROM o WHERE rank <= 10""")
 def _(t):
-    scored = A.with_quality(t.memories, t.memory_links, t.as_of)
-    return R.hybrid_search(search_queries(t), scored, embeddings(t), t.as_of)
+    """With tags, links, goals and metadata; records about widgets stand for metadata."""
+    tags = t.memory_tags.groupBy(F.col("memory_id").alias("id")).agg(F.collect_set("tag").alias("tags"))
+    scored = A.with_quality(t.memories, t.memory_links, t.as_of).join(tags, "id", "left")
+    meta = infer_metadata(F.coalesce("tags", F.array().cast("array<string>")), F.col("metadata")) | F.coalesce(F.array_contains("tags", "widget"), F.lit(False))
+    return R.hybrid_search(search_queries(t), scored.withColumn("is_metadata", meta), embeddings(t), t.as_of, tags=t.memory_tags, links=t.memory_links, goal_words=GOALS)
 
 
 @query("r2_two_pass_fts", FTS + " SELECT query_id, id, round(score, 6) AS score FROM fts")
@@ -77,17 +95,17 @@ def _(t):
     return R.top(R.bm25(terms, t.memories.where("is_active")), 50).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query("m1_cosine", f"SELECT b.vec_id AS id, round({COSINE}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0", raw=True)
+@query("m1_cosine", f"SELECT a.vec_id AS query_id, b.vec_id AS id, round(round({COSINE}, 9), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND round({COSINE}, 9) > 0", raw=True)
 def _(t):
-    one = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    return t.embeddings.crossJoin(F.broadcast(one)).select(F.col("vec_id").alias("id"), F.round(S.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    found = R.vector_scores(t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), embeddings(t))
+    return found.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query("j18_one_to_all", f"""SELECT id, score FROM (SELECT b.vec_id AS id, round(round({COSINE}, 9), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 3 AND b.vec_id <> 3) ORDER BY score DESC, id LIMIT 20""", raw=True)
+@query("j18_one_to_all", f"""SELECT query_id, id, round(s, 6) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round({COSINE}, 9) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COSINE}, 9) DESC, b.vec_id) AS r
+  FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND round({COSINE}, 9) > 0) WHERE r <= 20""", raw=True)
 def _(t):
-    one = t.embeddings.where("vec_id = 3").select(F.lit(3).alias("query_id"), "embedding")
-    found = R.vector_scores(one, embeddings(t).where("id <> 3")).select("id", F.round("score", 6).alias("score"))
-    return found.orderBy(F.desc("score"), "id").limit(20)
+    each = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return R.top(R.vector_scores(each, embeddings(t)).where("id <> query_id"), 20).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("m2_signals", QUALITY + """ SELECT id, round(exp(-0.05 * (1 - 0.5 * quality) * age_days), 6) AS recency, round(ln(1 + access_count) / ln(1 + (SELECT max(access_count) FROM memories)), 6) AS frequency,
@@ -181,8 +199,9 @@ def _(t):
 
 @query("e5_self_retrieval")
 def _(t):
-    """Share of sampled records that their own words find by full text."""
-    made = E.self_queries(t.memories, 50)
+    """Ranks of the active records whose id is divisible by 20, by words of their own in the full text."""
+    tags = t.memory_tags.groupBy(F.col("memory_id").alias("id")).agg(F.sort_array(F.collect_set("tag")).alias("tags"))
+    made = E.self_queries(t.memories.where("id % 20 = 0"), tags)
     found = R.top(R.two_pass_fts(made, t.memories.where("is_active")), 10)
     judged = made.select("query_id", F.col("query_id").alias("id"), F.lit(1).alias("grade"))
     return E.hit_rates(found, judged)
@@ -193,12 +212,19 @@ def _(t):
     return E.judge_scores(t.events.select(F.col("event_type").alias("dimension"), F.col("value").alias("score")))
 
 
-@query("r4_graph_proximity", """, s AS (SELECT id FROM memories WHERE id < 5), b AS (SELECT source_id, target_id, strength FROM memory_links UNION ALL SELECT target_id, source_id, strength FROM memory_links),
-  f AS (SELECT y.memory_id AS id, 1.0 AS score FROM s JOIN memory_entities x ON x.memory_id = s.id JOIN memory_entities y ON y.entity_id = x.entity_id UNION ALL SELECT target_id, 0.3 + 0.5 * strength FROM s JOIN b ON s.id = source_id)
-  SELECT id, round(max(score), 6) AS score FROM f WHERE id NOT IN (SELECT id FROM s) GROUP BY 1""")
+@query("r4_graph_proximity", """, s AS (SELECT id FROM memories WHERE id % 20 = 0), b AS (SELECT source_id, target_id, strength, link_type FROM memory_links UNION ALL SELECT target_id, source_id, strength, link_type FROM memory_links),
+  n AS (SELECT id AS query_id, id + 1 AS entity_id FROM s), rel AS (SELECT l_suppkey AS source, l_partkey AS target, count(*) AS strength FROM lineitem GROUP BY 1, 2), rb AS (SELECT source AS entity_id, target, strength FROM rel UNION ALL SELECT target, source, strength FROM rel),
+  h2 AS (SELECT query_id, target AS entity_id FROM (SELECT query_id, target, row_number() OVER (PARTITION BY query_id, n.entity_id ORDER BY strength DESC, target) AS r FROM n JOIN rb ON rb.entity_id = n.entity_id) WHERE r <= 10),
+  e AS (SELECT query_id, memory_id AS id, max(hop) AS hop FROM (SELECT query_id, entity_id, 1.0 AS hop FROM n UNION ALL SELECT query_id, entity_id, 0.5 FROM h2) x JOIN memory_entities me ON me.entity_id = x.entity_id GROUP BY 1, 2),
+  l AS (SELECT s.id AS query_id, target_id AS id, max(CASE WHEN link_type <> 'error' THEN 0.3 + 0.5 * strength END) AS link, bool_or(link_type = 'error') AS old FROM s JOIN b ON s.id = source_id GROUP BY 1, 2)
+  SELECT coalesce(e.query_id, l.query_id) AS query_id, coalesce(e.id, l.id) AS id, round(CASE WHEN coalesce(old, false) THEN 0.1 ELSE greatest(coalesce(hop, 0), coalesce(link, 0)) END, 6) AS score FROM e FULL JOIN l ON e.query_id = l.query_id AND e.id = l.id""")
 def _(t):
-    seeds = t.memories.where("id < 5").select(F.lit(1).alias("query_id"), "id")
-    return R.graph_proximity(seeds, t.memory_entities, t.memory_links).select("id", F.round("score", 6).alias("score"))
+    """Seeds with an id divisible by 20; each names one entity; links of errors stand for replacements."""
+    seeds = t.memories.where("id % 20 = 0").select(F.col("id").alias("query_id"), "id")
+    links = t.memory_links.withColumn("link_type", F.when(F.col("link_type") == "error", "supersedes").otherwise(F.col("link_type")))
+    related = t.lineitem.groupBy(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target")).agg(F.count(F.lit(1)).alias("strength"))
+    found = R.graph_proximity(seeds, links, seeds.select("query_id", (F.col("id") + 1).alias("entity_id")), t.memory_entities, related)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("r9_context_budget")
@@ -207,8 +233,8 @@ def _(t):
     return R.with_linked(results, t.memory_links, t.memories)
 
 
-@query("r8_rerank", """, s AS (SELECT 1 AS query_id, id, importance AS score FROM memories WHERE id < 50), w AS (SELECT query_id, id, 0.6 * CAST(id % 10 AS DOUBLE) / 10 + 0.4 * (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS score FROM s)
+@query("r8_rerank", """, s AS (SELECT 1 AS query_id, id, importance AS score FROM memories WHERE id % 20 = 0), w AS (SELECT query_id, id, 0.6 * CAST(id % 10 AS DOUBLE) / 10 + 0.4 * (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS score FROM s)
   SELECT id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM w""")
 def _(t):
-    results = t.memories.where("id < 50").select(F.lit(1).alias("query_id"), "id", F.col("importance").alias("score"))
+    results = t.memories.where("id % 20 = 0").select(F.lit(1).alias("query_id"), "id", F.col("importance").alias("score"))
     return R.rerank(results, F.col("id") % 10 / 10.0).select("id", F.round("score", 6).alias("score"), "rank")

@@ -1,17 +1,22 @@
 """Streams run over what is there now, beside the same result in SQL (ST-*)."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from sparkloom.operators.graph import shared_folder
 from sparkloom.plans.registry import query
 from sparkloom.streaming import jobs
 
 
-def _checkpoint(t) -> str:
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+def _folder(t) -> str:
+    return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _run(t, stream):
+    """The rows that an append stream gives for what is there now."""
+    folder = _folder(t)
+    return jobs.run_to_parquet(stream, f"{folder}/out", f"{folder}/state")
 
 
 def _events(t):
@@ -24,32 +29,44 @@ def _events(t):
   SELECT start, event_type, n, value FROM g WHERE start + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""", raw=True)
 def _(t):
     # Windows of whole days start at midnight UTC, as the epoch does.
-    out = jobs.run_to_memory(jobs.windowed_counts(_events(t)), f"w{uuid.uuid4().hex}", _checkpoint(t))
+    out = _run(t, jobs.windowed_counts(_events(t)))
     return out.select("start", "event_type", "n", F.round("value", 4).alias("value"))
 
 
-@query("st7_searches_per_minute")
+@query("st7_searches_per_minute", """WITH g AS (SELECT date_trunc('minute', ts)::TIMESTAMP AS start, count(DISTINCT event_type) AS searches FROM events GROUP BY 1) SELECT start, searches FROM g WHERE start + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events)::TIMESTAMP - INTERVAL 1 HOUR""", raw=True)
 def _(t):
-    return jobs.run_to_memory(jobs.searches_per_minute(_events(t)), f"m{uuid.uuid4().hex}", _checkpoint(t))
+    return _run(t, jobs.searches_per_minute(_events(t)))
 
 
-@query("st8_sessions")
+@query("st8_sessions", """WITH o AS (SELECT user_id, ts::TIMESTAMP AS ts, lag(ts::TIMESTAMP) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events), s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM o),
+  a AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, g) SELECT start, "end", user_id, n FROM a WHERE "end" <= (SELECT max(ts) FROM events)::TIMESTAMP - INTERVAL 1 HOUR""", raw=True)
 def _(t):
-    return jobs.run_to_memory(jobs.sessions(_events(t)), f"s{uuid.uuid4().hex}", _checkpoint(t))
+    return _run(t, jobs.sessions(_events(t)))
 
 
 @query("st5_attribution", """SELECT s.user_id, s.event_id AS search_id, g.event_id AS get_id FROM events s JOIN events g ON s.user_id = g.user_id AND s.event_type = 'view' AND g.event_type = 'click' AND g.ts >= s.ts AND g.ts <= s.ts + INTERVAL 30 MINUTE""", raw=True)
 def _(t):
     found = jobs.attributed(_events(t).where("event_type = 'view'"), _events(t).where("event_type = 'click'"))
-    return jobs.run_to_memory(found, f"a{uuid.uuid4().hex}", _checkpoint(t)).select("user_id", "search_id", "get_id")
+    return _run(t, found).select("user_id", "search_id", "get_id")
 
 
 @query("st6_cooldown")
 def _(t):
-    return jobs.run_to_memory(jobs.cooled_down(_events(t)), f"c{uuid.uuid4().hex}", _checkpoint(t)).select("user_id", "event_id")
+    return _run(t, jobs.cooled_down(_events(t))).select("user_id", "event_id")
 
 
 @query("st9_incremental_copy", "SELECT event_id, event_type FROM events", raw=True)
 def _(t):
-    folder = _checkpoint(t)
-    return jobs.run_to_parquet(_events(t).select("event_id", "event_type"), f"{folder}/out", f"{folder}/state")
+    return _run(t, _events(t).select("event_id", "event_type"))
+
+
+@query("st2_every_n_rows", "SELECT (count(*) // 100) * 100 AS rows_at_last_run FROM events", raw=True)
+def _(t):
+    """A job that runs once another hundred rows have come; its log says at how many."""
+    folder = _folder(t)
+    log = f"{folder}/log"
+    job = lambda batch, epoch: batch.agg(F.count(F.lit(1)).alias("rows")).withColumn("epoch", F.lit(epoch).cast("long")).write.mode("append").parquet(log)
+    jobs.every_n_rows(_events(t), 100, job, folder).awaitTermination()
+    seen = t.spark.read.schema("rows long, epoch long").parquet(f"{folder}/rows/batch=*").agg(F.sum("rows").alias("n"))
+    ran = t.spark.read.schema("rows long, epoch long").parquet(log).agg(F.count(F.lit(1)).alias("runs"))
+    return seen.crossJoin(ran).where("runs > 0").select((F.floor(F.col("n") / 100) * 100).cast("long").alias("rows_at_last_run"))

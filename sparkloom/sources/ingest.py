@@ -13,7 +13,9 @@ from sparkloom.functions._plain import character_histogram
 from sparkloom.shipping import ship
 
 # Embedding models and their dimensions.
-MODELS = (("all-MiniLM-L6-v2", 384), ("bge-small-en-v1.5", 384), ("bge-base-en-v1.5", 768), ("nomic-embed-text-v1.5", 768), ("bge-large-en-v1.5", 1024), ("e5-small-v2", 384))
+MODELS = (
+    ("bge-small-en-v1.5", 384), ("all-MiniLM-L6-v2", 384), ("bge-base-en-v1.5", 768), ("all-MiniLM-L12-v2", 384), ("bge-large-en-v1.5", 1024), ("e5-small-v2", 384),
+)
 
 
 def embedding_models(spark: SparkSession) -> DataFrame:
@@ -104,14 +106,24 @@ def note_groups(tags: DataFrame, least: int = 5) -> DataFrame:
     return longest.join(sizes, "tag").select("id", F.when(F.col("n") < least, "misc").otherwise(F.col("tag")).alias("note_group"))
 
 
-def cross_links(tags: DataFrame, least: int = 2, most: int = 15) -> DataFrame:
-    """(a, b, rank): for each record the others with most shared tags."""
-    x, y = tags.toDF("a", "tag"), tags.toDF("b", "tag")
+def cross_links(tags: DataFrame, of: DataFrame | None = None, least: int = 2, most: int = 15) -> DataFrame:
+    """(a, b, rank): for each record, or for those whose tags are ``of``, the others with most shared tags."""
+    x, y = (tags if of is None else of).toDF("a", "tag"), tags.toDF("b", "tag")
     shared = x.join(y, "tag").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     order = Window.partitionBy("a").orderBy(F.desc("n"), "b")
     return shared.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("a", "b", "rank")
 
 
+# Tags that say nothing about a technique's subject.
+GENERIC_TAGS = ("technique", "skill", "learning", "how-to", "procedural")
+
+
+def first_topic(tag_lists: DataFrame) -> DataFrame:
+    """(id, tag): the first tag of each record that names a subject."""
+    kept = F.filter("tags", lambda x: ~x.isin(*GENERIC_TAGS))
+    return tag_lists.select("id", F.get(kept, F.lit(0)).alias("tag")).where("tag IS NOT NULL")
+
+
 def section_of(tags: Column, content: Column, tier: Column) -> Column:
     """The first section of a vault that claims a record."""
     has = lambda *names: F.arrays_overlap(tags, F.array(*[F.lit(n) for n in names]))

@@ -77,21 +77,28 @@ def last_seen(events: DataFrame, ttl_ms: int = 24 * 3600 * 1000, watermark: str
     )
 
 
-def every_n_rows(events: DataFrame, n: int, job: Callable[[DataFrame, int], None], checkpoint: str):
-    """Run a job over each micro-batch that brings the rows seen to another multiple of n."""
-    seen = {"rows": 0}
+def every_n_rows(events: DataFrame, n: int, job: Callable[[DataFrame, int], None], folder: str):
+    """Run a job over each micro-batch that brings the rows seen to another multiple of n.
+
+    The rows of each batch are counted into a table under ``folder``, beside
+    the stream's checkpoint, so that a restart goes on counting and a batch
+    that is repeated counts once.
+    """
+    schema = "rows long, epoch long"
 
     def run(batch: DataFrame, epoch: int) -> None:
-        before = seen["rows"]
-        seen["rows"] += batch.count()
-        if seen["rows"] // n > before // n:
+        spark = batch.sparkSession
+        batch.agg(F.count(F.lit(1)).alias("rows")).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{folder}/rows/batch={epoch}")
+        seen = spark.read.schema(schema).parquet(f"{folder}/rows/batch=*")
+        sums = seen.agg(F.sum(F.when(F.col("epoch") < epoch, F.col("rows")).otherwise(0)).alias("before"), F.sum(F.when(F.col("epoch") == epoch, F.col("rows"))).alias("now")).first()
+        if (sums["before"] + sums["now"]) // n > sums["before"] // n:
             job(batch, epoch)
 
-    return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return events.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
 
 
 def run_to_memory(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and return its result as a table."""
+    """Run a stream over what is there now into the driver's memory: for streams that update a bounded number of rows."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
