@@ -34,11 +34,11 @@ def hashed_embedding(text) -> Column:
     return F.pandas_udf(run, "array<float>")(text)
 
 
-def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """(source_uri, section_index, section) of Markdown files under a path."""
+def read_markdown(spark: SparkSession, path: str, names: str = r"\.(md|markdown)$") -> DataFrame:
+    """(source_uri, section_index, section) of Markdown files under a path, by a pattern of their names."""
     ship(spark)
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("source_uri"), "value")
-    return files.where(F.col("source_uri").rlike(r"\.(md|markdown)$")).select("source_uri", F.posexplode(X.sections("value")).alias("section_index", "section"))
+    return files.where(F.col("source_uri").rlike(names)).select("source_uri", F.posexplode(X.sections("value")).alias("section_index", "section"))
 
 
 def replace_source(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -85,9 +85,9 @@ def read_chat_export(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("title", F.col("n.message.author.role").alias("role"), F.array_join("n.message.content.parts", "\n").alias("text")).where("text IS NOT NULL AND text <> ''")
 
 
-def read_vault(spark: SparkSession, path: str) -> DataFrame:
+def read_vault(spark: SparkSession, path: str, names: str = r"\.md$") -> DataFrame:
     """(path, tags, tier, body) of a folder of notes with front matter; links keep their label, folders become tags."""
-    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), "value").where(F.col("path").rlike(r"\.md$"))
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), "value").where(F.col("path").rlike(names))
     front = F.regexp_extract("value", r"(?s)^---\n(.*?)\n---\n", 1)
     body = F.regexp_replace(F.regexp_replace("value", r"(?s)^---\n.*?\n---\n", ""), r"\[\[(?:[^\]|]*\|)?([^\]|]*)\]\]", "$1")
     listed = F.filter(F.split(F.regexp_extract(front, r"(?m)^tags:\s*\[(.*?)\]", 1), r"\s*,\s*"), lambda t: t != "")

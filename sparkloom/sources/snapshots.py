@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import secrets
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +54,23 @@ def decrypted(body: Column, key: bytes) -> Column:
     return F.aes_decrypt(F.unbase64(body), F.lit(key), F.lit("GCM")).cast("string")
 
 
+def write_encrypted(df: DataFrame, path: str, password: str) -> None:
+    """A backup of rows as encrypted JSON, with the salt of its key beside them."""
+    salt = secrets.token_bytes(16)
+    row = encrypted(F.to_json(F.struct(*df.columns)), derive_key(password, salt))
+    df.select(row.alias("row"), F.lit(salt.hex()).alias("salt")).write.parquet(path)
+
+
+def read_encrypted(spark: SparkSession, path: str, password: str, schema) -> DataFrame:
+    """The rows of an encrypted backup; a wrong password fails."""
+    rows = spark.read.parquet(path)
+    first = rows.select("salt").first()
+    if first is None:
+        return spark.createDataFrame([], schema)
+    plain = decrypted(F.col("row"), derive_key(password, bytes.fromhex(first["salt"])))
+    return rows.select(F.from_json(plain, schema).alias("r")).select("r.*")
+
+
 def verify_counts(source: dict[str, DataFrame], copy: dict[str, DataFrame]) -> DataFrame:
     """Rows of each table in the source and in the copy, and whether they agree."""
     one = lambda name, side, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), F.lit(side).alias("side"), "n")
