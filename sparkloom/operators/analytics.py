@@ -354,6 +354,24 @@ def usefulness_groups(scored: DataFrame) -> DataFrame:
     return rows.agg(F.count(ONE(1)).alias("n"), *[F.round(F.avg(c), 6).alias(f"avg_{c}") for c in ("age_days", "access_count", "importance", "link_count")])
 
 
+def tuned_weights(groups: DataFrame, weights: dict[str, float], nudge: float = 0.02, least: int = 5) -> DataFrame:
+    """(weight, old, new) of the weights that change, from ``usefulness_groups``: each moves by at most one nudge towards what tells useful records from the others.
+
+    No row while a group has fewer than ``least`` records.
+    """
+    one = lambda name, c: F.max(F.when(F.col("useful") == (name == "u"), F.col(c)))
+    row = groups.agg(*[F.coalesce(one(g, c), F.lit(0)).alias(f"{g}_{c}") for g in ("u", "o") for c in ("n", "avg_age_days", "avg_access_count", "avg_importance", "avg_link_count")])
+    move = lambda x, high, low: F.when(x > high, nudge).when(x < low, -nudge).otherwise(0.0)
+    gap = lambda c: F.col(f"u_{c}") - F.col(f"o_{c}")
+    by = {
+        "recency": move(-gap("avg_age_days"), 5, -5), "frequency": move(F.col("u_avg_access_count") / F.greatest(F.lit(1.0), "o_avg_access_count"), 1.5, 0.67),
+        "graph": move(gap("avg_link_count"), 0.5, -0.5), "usefulness": F.when(F.col("u_n") > 20, nudge).otherwise(0.0), "importance": move(gap("avg_importance"), 0.1, -0.1),
+    }
+    new = lambda name: js_round(F.greatest(F.lit(0.02), F.least(F.lit(0.5), F.lit(weights[name]) + by[name])), 2)
+    rows = F.array(*[F.struct(F.lit(name).alias("weight"), F.lit(weights[name]).alias("old"), new(name).alias("new")) for name in by])
+    return row.where((F.col("u_n") >= least) & (F.col("o_n") >= least)).select(F.inline(rows)).where("old <> new")
+
+
 def health_checks(memories: DataFrame, embeddings: DataFrame, tags: DataFrame, entities: DataFrame, bridge: DataFrame) -> DataFrame:
     """Rows (check, value, status) of independent one-row aggregates."""
     active = memories.where("is_active")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from sparkloom.functions.extract import hall_of
 from sparkloom.functions.scoring import cosine, js_round
 from sparkloom.operators import graph as G
 from sparkloom.operators import relational as R
+from sparkloom.shipping import ship
 
 # --- write path --------------------------------------------------------------------------------------------
 
@@ -284,7 +286,48 @@ def expand_queries(queries: DataFrame, names: DataFrame, most: int = 8) -> DataF
     return words.select("query_id", F.col("word").alias("term")).unionByName(best.select("query_id", "term")).distinct()
 
 
-def hypothetical(queries: DataFrame, generate: Callable[[str], str], most: int = 100) -> DataFrame:
-    """Queries with a generated answer appended; the generator is given by the caller and runs on the driver over a few queries."""
-    rows = queries.select("query_id", "query").limit(most).collect()
-    return queries.sparkSession.createDataFrame([(r["query_id"], f"{r['query']} {generate(r['query'])}") for r in rows], queries.select("query_id", "query").schema)
+# Words that stand for others in a query.
+SYNONYMS = {
+    "export": ("generate", "output", "vault", "pipeline"), "import": ("ingest", "load", "parse"), "obsidian": ("vault", "markdown", "wikilink"),
+    "gardening": ("maintenance", "cleanup", "consolidation", "pruning"), "consolidation": ("merge", "gardening", "clustering"), "maintenance": ("gardening", "cleanup", "upkeep"),
+    "audit": ("review", "check", "inspect", "verify"), "compile": ("build", "generate", "assemble"), "wiki": ("article", "documentation", "knowledge"), "optimize": ("tuning", "improve", "enhance"),
+    "retrieval": ("search", "recall", "finding"), "search": ("retrieval", "query", "find"), "friction": ("miss", "gap", "failure"), "quality": ("score", "health", "metric"),
+    "prediction": ("forecast", "estimate", "calibration"), "goal": ("objective", "milestone", "target"), "technique": ("learning", "pattern", "how-to"), "bug": ("fix", "error", "issue", "broken"),
+    "decision": ("chose", "selected", "architecture"),
+}
+
+
+def auto_expansion(query: Column, most: int = 8) -> Column:
+    """Synonyms of a query's words, then its neighbouring words with a hyphen, as one string; null if there are none."""
+    words = F.filter(F.split(F.lower(query), r"\s+"), lambda w: F.length(w) > 2)
+    known = F.create_map(*[F.array(*map(F.lit, v)) if i else F.lit(k) for k, v in SYNONYMS.items() for i in (0, 1)])
+    same = F.flatten(F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), F.array().cast("array<string>"))))
+    fresh = F.filter(same, lambda s: ~F.array_contains(words, s))
+    pairs = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit("-"), F.get(words, i + 1)))
+    terms = F.slice(F.array_distinct(F.concat(fresh, pairs)), 1, most)
+    return F.when(F.size(terms) > 0, F.array_join(terms, " "))
+
+
+def hypothetical(queries: DataFrame, generate: Callable[[str], str], cache: DataFrame | None = None, as_of: Column | None = None, hours: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(queries with a made answer appended, the answers as cache rows (key, answer, made_at)).
+
+    The generator is given by the caller and runs on the workers, once for each
+    text that no cache row of the last hours answers; write the second table and
+    pass it the next time. Null queries stay null.
+    """
+    ship(queries.sparkSession)
+    now = F.current_timestamp() if as_of is None else as_of
+    keyed = queries.select("query_id", "query", F.lower(F.trim("query")).alias("key"))
+    keys = keyed.where("key IS NOT NULL").groupBy("key").agg(F.min("query").alias("query"))
+    held = keys.select("key", "query").withColumns({"answer": F.lit(None).cast("string"), "made_at": F.lit(None).cast("timestamp")})
+    if cache is not None:
+        live = cache.where((F.col("made_at") > now - F.make_dt_interval(hours=F.lit(hours))) & (F.col("made_at") <= now))
+        live = live.groupBy("key").agg(F.max_by("answer", "made_at").alias("answer"), F.max("made_at").alias("made_at"))
+        held = keys.join(live, "key", "left")
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(generate)
+
+    made = held.where("made_at IS NULL").select("key", F.pandas_udf(run, "string")("query").alias("answer"), now.alias("made_at"))
+    answers = held.where("made_at IS NOT NULL").select("key", "answer", "made_at").unionByName(made)
+    return keyed.join(answers.select("key", "answer"), "key", "left").select("query_id", F.when(F.col("query").isNotNull(), F.concat_ws(" ", "query", "answer")).alias("query")), answers

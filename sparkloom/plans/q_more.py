@@ -331,7 +331,7 @@ def _(t):
     return t.memories.where("tier = 'semantic'").groupBy(A.period(F.col("created_at"), "month").alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("v5_first_tag", "SELECT memory_id AS id, min(tag) AS tag FROM memory_tags WHERE tag NOT IN " + str(I.GENERIC_TAGS) + " GROUP BY 1")
+@query("v5_first_tag", "SELECT memory_id AS id, coalesce(min(tag) FILTER (tag NOT IN " + str(I.GENERIC_TAGS) + "), 'general') AS tag FROM memory_tags GROUP BY 1")
 def _(t):
     return I.first_topic(tag_lists(t)).select("id", "tag")
 

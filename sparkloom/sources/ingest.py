@@ -78,6 +78,46 @@ def session_digest(actions: DataFrame, as_of: Column, days: int = 30) -> DataFra
     return fresh.groupBy("session_id").agg(F.count(F.lit(1)).alias("actions"), F.array_join(parts, "\n").alias("digest")).withColumn("expires_at", as_of + F.make_dt_interval(F.lit(days)))
 
 
+# First lines with which an assistant only announces or closes an action (compared without case).
+NARRATION = (
+    r"^(let me|i'll|i will|now i|going to)\b.{0,80}$", r"^(here (are|is)|the (result|output|file|content))\b", r"^(reading|searching|looking|checking|running|editing)\b", r"^(done|ok|sure|yes|alright)[.!]?\s*$",
+)
+# Phrases of a sentence worth keeping from a session, by kind, the first kind that fits.
+SESSION_FACTS = (
+    ("decision", r"\b(?:decided to|chose|going with|will use|switched to|opting for|went with)\b"), ("discovery", r"\b(?:found that|discovered|turns out|the issue was|root cause|the problem was|the fix was)\b"),
+    ("architecture", r"\b(?:architecture:|design:|approach:|pattern:|the approach is|the design is)\b"), ("learning", r"\b(?:learned that|note to self|important:|remember that|key insight|takeaway)\b"),
+)
+
+
+def is_narration(text: Column) -> Column:
+    """Texts of under 30 characters, or whose first line only tells of an action; null counts as empty."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    first = F.substring_index(t, "\n", 1)
+    return (F.length(t) < 30) | first.rlike("(?i)" + "|".join(f"(?:{p})" for p in NARRATION))
+
+
+def session_facts(texts: DataFrame, alike: float = 0.7) -> DataFrame:
+    """(session_id, place, kind, fact) of a session's texts (session_id, line, text): telling sentences with their neighbours.
+
+    A fact most of whose words an earlier fact of the session has is left out,
+    as is one of over 300 characters.
+    """
+    parts = F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda s: F.length(s) > 15)
+    cut = texts.where(~is_narration(F.col("text"))).select("session_id", "line", parts.alias("s"))
+    at = cut.select("session_id", "line", "s", F.posexplode("s").alias("i", "sentence"))
+    kind = F.coalesce(*[F.when(F.col("sentence").rlike(f"(?i){p}"), k) for k, p in SESSION_FACTS])
+    fact = F.trim(F.concat_ws(" ", F.get("s", F.col("i") - 1), "sentence", F.get("s", F.col("i") + 1)))
+    found = at.withColumn("kind", kind).where("kind IS NOT NULL").select("session_id", "line", "i", "kind", fact.alias("fact"))
+    flat = F.regexp_replace(F.lower("fact"), r"\s+", " ")
+    once = found.withColumn("key", flat).where(F.length("key") <= 300).groupBy("session_id", "key").agg(F.min(F.struct("line", "i", "kind", "fact")).alias("f"))
+    words = F.array_distinct(F.split("key", " "))
+    rows = once.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("f.line", "f.i", "f.kind", "f.fact", words.alias("w")))).alias("all"))
+    near = lambda a, b: F.size(F.array_intersect(a["w"], b["w"])) / F.greatest(F.size(a["w"]), F.size(b["w"])) > alike
+    none = F.filter("all", lambda x: F.lit(False))
+    kept = F.aggregate("all", none, lambda acc, x: F.when(F.exists(acc, lambda y: near(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
+    return rows.select("session_id", F.posexplode(kept).alias("place", "x")).select("session_id", "place", "x.kind", "x.fact")
+
+
 def read_chat_export(spark: SparkSession, path: str) -> DataFrame:
     """(title, role, text) of an export whose messages stand in a map of nodes."""
     schema = "title string, mapping map<string,struct<message:struct<author:struct<role:string>,content:struct<parts:array<string>>>>>"
@@ -115,13 +155,13 @@ def cross_links(tags: DataFrame, of: DataFrame | None = None, least: int = 2, mo
 
 
 # Tags that say nothing about a technique's subject.
-GENERIC_TAGS = ("technique", "skill", "learning", "how-to", "procedural")
+GENERIC_TAGS = ("technique", "learning", "discovery", "decision")
 
 
 def first_topic(tag_lists: DataFrame) -> DataFrame:
-    """(id, tag): the first tag of each record that names a subject."""
+    """(id, tag): the first tag of each record that names a subject, else general."""
     kept = F.filter("tags", lambda x: ~x.isin(*GENERIC_TAGS))
-    return tag_lists.select("id", F.get(kept, F.lit(0)).alias("tag")).where("tag IS NOT NULL")
+    return tag_lists.select("id", F.coalesce(F.get(kept, F.lit(0)), F.lit("general")).alias("tag"))
 
 
 def section_of(tags: Column, content: Column, tier: Column) -> Column:
