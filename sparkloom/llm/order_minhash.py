@@ -44,6 +44,8 @@ BLOCK_ROWS = 512
 #: Closest partners of a member that the first round over open buckets verifies; later rounds take GROWTH times as many.
 PARTNERS = 4
 GROWTH = 8
+#: Edges that one task of the component rounds takes; small rounds run as few tasks, and so write few files.
+EDGES_A_TASK = 250_000
 #: Texts of the asked similarity are in the same or adjacent bands of length (ln 1.25 = 0.2231).
 _BAND = 0.224
 _FACTORS = K.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -386,8 +388,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     Alternates exchanges in which every node links its larger and then its
     smaller neighbours to its least one, which needs few rounds for any shape.
-    Each round is checkpointed.
+    Each round is checkpointed, and has as many tasks as its edges need.
     """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = keep(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct())
 
     def state(e: DataFrame) -> tuple:
@@ -395,24 +398,18 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     now = state(edges)
     for _ in range(rounds):
+        tasks = -(-now[0] // EDGES_A_TASK) or 1
+        fit = lambda df: df.coalesce(tasks) if tasks < parts else df  # noqa: B023, E731
+        edges = fit(edges)
         both = edges.unionAll(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy(F.col("u").alias("x")).agg(F.least(F.min("v"), F.col("x")).alias("m"))
+        least = fit(both.groupBy(F.col("u").alias("x")).agg(F.least(F.min("v"), F.col("x")).alias("m")))
         # Large star: larger neighbours go to the least neighbour.
-        large = (
-            edges.join(least, F.col("v") == F.col("x"))
-            .select(F.col("m").alias("v"), "u")
-            .where("u <> v")
-            .distinct()
-        )
+        large = fit(edges.join(least, F.col("v") == F.col("x")).select(F.col("m").alias("v"), "u").where("u <> v").distinct())
         # Small star: a node and its smaller neighbours go to the least of them.
-        small = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
+        small = fit(large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")))
         turned = large.join(small, F.col("u") == F.col("x"))
-        edges = keep(
-            turned.select(F.col("m").alias("p"), F.explode(F.array("u", "v")).alias("q"))
-            .where("p <> q")
-            .select(F.least("p", "q").alias("v"), F.greatest("p", "q").alias("u"))
-            .distinct()
-        )
+        linked = turned.select(F.col("m").alias("p"), F.explode(F.array("u", "v")).alias("q")).where("p <> q")
+        edges = keep(fit(linked.select(F.least("p", "q").alias("v"), F.greatest("p", "q").alias("u")).distinct()))
         new = state(edges)
         if new == now:
             break
