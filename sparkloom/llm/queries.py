@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import chat, decontam, licenses, order_minhash, pii, quality, secrets, suffix_array, urls
+from sparkloom.llm import block_max, chat, decontam, licenses, order_minhash, pii, quality, secrets, suffix_array, urls, warc, whitening
 from sparkloom.llm._base import table
 from sparkloom.llm.mixing import mix_sources
 
@@ -49,6 +49,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op11_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_max.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -62,6 +74,9 @@ QUERIES = {
         op8_near_duplicates,
         op9_licenses,
         op10_secrets,
+        op11_block_max,
+        op12_archives,
+        op13_whitening,
     )
 }
 
@@ -69,4 +84,6 @@ ORACLES: dict[str, str] = {
     "op3_decontamination": decontam.ORACLE,
     "op6_chat": chat.ORACLE,
     "op9_licenses": licenses.oracle(),
+    "op11_block_max": block_max.ORACLE,
+    "op12_archives": warc.ORACLE,
 }
