@@ -2,7 +2,7 @@
 
 The index is dealt by document: a segment holds some megabytes of whole texts,
 and for each of its terms a posting list in compressed blocks of ``BLOCK``
-documents. A block's head has its last document and its maximum impact, so that
+documents. A block's head has its first and last document and its maximum impact, so that
 a search moves over heads alone (the shallow moves) and decompresses a block
 only if the sum of the maxima that meet there reaches the threshold, the score
 of a query's tenth document so far. Stretches with the greatest sums come first,
@@ -39,7 +39,7 @@ TOP = 10
 STRETCHES = (256, 2048)
 
 INDEX = "segment long, term string, df int, heads binary, body binary"
-HEAD = np.dtype([("last", "<u4"), ("impact", "<u4"), ("offset", "<u4"), ("n", "<u2"), ("gap", "u1"), ("tf", "u1")])
+HEAD = np.dtype([("first", "<u4"), ("last", "<u4"), ("impact", "<u4"), ("offset", "<u4"), ("n", "<u2"), ("gap", "u1"), ("tf", "u1")])
 _NULL = -(1 << 63)
 
 
@@ -109,6 +109,7 @@ def _segment(segment: int, ids: np.ndarray, parts: list[tuple[pa.Array, np.ndarr
     blocks = -(-df // BLOCK)
     first_block = np.concatenate([[0], np.cumsum(blocks)])
     heads = np.zeros(len(starts), HEAD)
+    heads["first"] = doc[starts]
     heads["last"], heads["n"], heads["gap"], heads["tf"] = doc[starts + sizes - 1], sizes, wide_gap, wide_tf
     heads["impact"] = np.maximum.reduceat(impact(tf, m[doc]), starts)
     heads["offset"] = at[:-1] - np.repeat(at[first_block[:-1]], blocks)
@@ -182,7 +183,7 @@ class _List:
     def __init__(self, heads: bytes, body: bytes, m: np.ndarray) -> None:
         self.heads, self.body, self.m = np.frombuffer(heads, HEAD), body, m
         n = self.heads["n"].astype(np.int64)
-        self.last, self.most = self.heads["last"].astype(np.int64), self.heads["impact"].astype(np.int64)
+        self.first, self.last, self.most = (self.heads[c].astype(np.int64) for c in ("first", "last", "impact"))
         self.at = np.concatenate([[0], np.cumsum(n)])
         self.docs, self.impacts, self.open = np.empty(self.at[-1], np.int64), np.empty(self.at[-1], np.int64), np.zeros(len(n), bool)
 
@@ -229,13 +230,15 @@ def search_segment(lists: dict[str, _List], ids: np.ndarray, query: list[tuple[s
     held = [(lists[t], w) for t, w in query if w and t in lists]
     if not held:
         return
-    # Between two block ends, each list has one block at most; the sum of their maxima bounds every document there.
-    ends = np.unique(np.concatenate([x.last for x, _ in held]))
+    # Between two such places, each list has one block at most; the sum of their maxima bounds every document there.
+    ends = np.unique(np.concatenate([part for x, _ in held for part in (x.last, x.first[x.first > 0] - 1)]))
     bound, blocks = np.zeros(len(ends), np.int64), []
     for x, w in held:
         b = np.searchsorted(x.last, ends)
-        blocks.append(b)
         inside = b < len(x.last)
+        inside[inside] = x.first[b[inside]] <= ends[inside]
+        b[~inside] = len(x.last)
+        blocks.append(b)
         bound[inside] += w * x.most[b[inside]]
     lengths = np.diff(np.append(-1, ends))
     order = np.argsort(-bound, kind="stable")

@@ -161,9 +161,14 @@ def _independent(block: np.ndarray, basis: np.ndarray, rng: np.random.Generator)
 def block_lanczos(
     apply: Callable[[np.ndarray], np.ndarray], width: int, wanted: int, block: int = BLOCK, tolerance: float = TOLERANCE, most: int = BASIS, steps: int = STEPS, seed: int = 7
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Largest eigenvalues, falling, and unit eigenvectors of the symmetric positive operator ``apply``."""
+    """Largest eigenvalues, falling, and unit eigenvectors of the symmetric positive operator ``apply``.
+
+    A block has at least as many directions as eigenvectors are wanted, so that
+    none is missed where eigenvalues are equal.
+    """
     rng = np.random.default_rng(seed)
     wanted = min(wanted, width)
+    block = max(block, wanted)
     keep = max(2 * wanted, wanted + block)
     most = max(most, keep + 2 * block)
     basis, image = np.zeros((width, 0)), np.zeros((width, 0))
