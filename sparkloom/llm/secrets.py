@@ -28,7 +28,9 @@ LEAST_RATIO = 0.25
 
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]++"""
 _ASSIGN_VALUE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-_IDENTIFIER = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{3,}[A-Za-z_-]{3,}[0-9]{0,3}(?![A-Za-z0-9+/_=-])"
+#: A whole run, taken possessively, and the form that makes it an identifier; one pattern for both would cost the square of a run's length.
+_RUN = r"[A-Za-z0-9+/_=-]++"
+_IDENTIFIER = r"^[A-Za-z]{3}[A-Za-z_-]{3,}+[0-9]{0,3}$"
 _TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}+"
 PATTERNS: tuple[tuple[str, str, str], ...] = (
     ("assign", _ASSIGN, "t rlike '(?i:password|passwd|secret|token|api_?key)'"),
@@ -82,7 +84,7 @@ def train(docs: DataFrame, text: str = "text") -> tuple[list[float], float]:
     codes = F.from_json(F.lit(_CODES), "array<int>").alias("codes")
     good = _found(read, "text", ()).select(F.explode(F.concat(*BASE)).alias("s")).select(F.col("s.value").alias("token"), F.lit(1).alias("y"))
     cleaned = F.regexp_replace(F.coalesce("text", F.lit("")), _ASSIGN + r"|AKIA[A-Z0-9]++|[0-9a-f]{32,}+", " ")
-    words = read.select(F.explode(F.regexp_extract_all(cleaned, F.lit(_IDENTIFIER), F.lit(0))).alias("token"), F.lit(0).alias("y"))
+    words = read.select(F.explode(F.filter(F.regexp_extract_all(cleaned, F.lit(_RUN), F.lit(0)), lambda x: x.rlike(_IDENTIFIER))).alias("token"), F.lit(0).alias("y"))
     # Each value counts once, whatever its number of copies; repeats go before the shuffle.
     labelled = good.unionAll(words).distinct()
     labelled = keep(labelled.select("y", codes, "token").select("y", F.expr(_classes("token")).alias("k")).select("y", F.expr(_pairs("k")).alias("p")))
