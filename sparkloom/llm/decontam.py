@@ -95,13 +95,14 @@ def contaminated_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW
     near = F.broadcast if few else (lambda df: df)
 
     hits = keep(fingerprints(docs, lengths, gram).join(near(prints), ["len", "fp"], "left_semi").select("id", "len", "at").distinct())
-    places = hits.groupBy("id").agg(F.collect_list(F.struct("len", "at")).alias("hits"))
+    places = hits.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("len", "at"))).alias("hits"))
     places = F.broadcast(places) if hits.count() <= broadcast_rows else places
-    # Every window that holds a hit's run of words, each once.
-    around = f"transform(sequence(greatest(1, h.at + least({gram}, h.len) - h.len), least(h.at, size(words) - h.len + 1)), i -> named_struct('start', i, 'len', h.len))"
-    found = docs.join(places.withColumnRenamed("id", "hit_id"), F.col("id").eqNullSafe(F.col("hit_id"))).select(
-        "id", "words", F.expr(f"array_distinct(flatten(transform(hits, h -> {around})))").alias("at")
-    )
+    # Every window that holds a hit's run of words, each once: hits are in order, and each adds the starts beyond those of the hit before it.
+    low = "greatest(1, h.at + least({gram}, h.len) - h.len, IF(i > 0 AND hits[greatest(i - 1, 0)].len = h.len, least(hits[greatest(i - 1, 0)].at, size(words) - h.len + 1) + 1, 1))".format(gram=gram)
+    around = f"transform(hits, (h, i) -> named_struct('len', h.len, 'low', {low}, 'high', least(h.at, size(words) - h.len + 1)))"
+    spread = "flatten(transform(filter(around, h -> h.low <= h.high), h -> transform(sequence(h.low, h.high), i -> named_struct('start', i, 'len', h.len))))"
+    found = docs.join(places.withColumnRenamed("id", "hit_id"), F.col("id").eqNullSafe(F.col("hit_id"))).select("id", "words", F.expr(around).alias("around"))
+    found = found.select("id", "words", F.expr(spread).alias("at"))
     cut = found.select("id", F.inline(F.expr("transform(at, x -> named_struct('start', x.start, 'len', x.len, 'window', concat_ws(' ', slice(words, x.start, x.len))))")))
     known = in_items.select("len", "window").distinct()
     return keep(cut.join(near(known), ["len", "window"], "left_semi").select("id", "start", "len", "window").distinct()), near(in_items)
