@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkloom.functions._regex import ascii_bounds
+
 # Technologies found whatever their case, and how some of them are written.
 TECHNOLOGIES = (
     "javascript", "typescript", "python", "java", "c++", "c#", "php", "kotlin", "scala", "elixir", "haskell", "lua", "react", "vue", "angular", "svelte", "next.js", "nextjs", "nuxt", "node.js", "nodejs",
@@ -84,7 +86,7 @@ def _escaped(words) -> str:
 
 
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    return F.regexp_extract_all(text, F.lit(ascii_bounds(pattern)), F.lit(group))
 
 
 def _is_technology(name: Column) -> Column:
@@ -118,7 +120,7 @@ def _persons(text: Column) -> Column:
 
 def _projects(text: Column) -> Column:
     plain = lambda n: ~_is_technology(n) & ~F.lower(n).isin(*NO_PROJECT) & (F.length(n) > 2)
-    named = F.filter(_all(text, _PROJECT), lambda n: plain(n) & ~F.lower(n).rlike("-(ready|based|assisted|driven|oriented)$") & ~n.rlike(_FILE))
+    named = F.filter(_all(text, _PROJECT), lambda n: plain(n) & ~F.lower(n).rlike("-(ready|based|assisted|driven|oriented)$") & ~n.rlike(ascii_bounds(_FILE)))
     return F.concat(named, F.filter(F.concat(_all(text, _PROJECT_BEFORE), _all(text, _PROJECT_AFTER)), plain))
 
 
@@ -211,7 +213,7 @@ def specifics(text: Column) -> Column:
 def fact_sentences(text: Column) -> Column:
     """Sentences of a text that state a key fact: a date, a measure, a decision, a change."""
     parts = F.filter(F.transform(F.split(text, r"[.!?]\n|[.!?]\s"), F.trim), lambda s: F.length(s) > 10)
-    return F.filter(parts, lambda s: reduce(lambda a, b: a | b, [s.rlike(p) for p in KEY_FACTS]))
+    return F.filter(parts, lambda s: reduce(lambda a, b: a | b, [s.rlike(ascii_bounds(p)) for p in KEY_FACTS]))
 
 
 # Topics of a conversation and the words that show them.

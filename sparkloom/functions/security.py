@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkloom.functions._regex import ascii_bounds
 from sparkloom.functions.scoring import js_round
 
 # Label, kind, severity and pattern of injected instructions.
@@ -28,7 +29,7 @@ THREATS: tuple[tuple[str, str, str, str], ...] = (
 
 def threat_counts(content: Column) -> Column:
     """Matches of each kind of injected instruction, as a map of those that occur."""
-    pairs = [F.struct(F.lit(label).alias("k"), F.regexp_count(content, F.lit(p)).alias("v")) for label, _, _, p in THREATS]
+    pairs = [F.struct(F.lit(label).alias("k"), F.regexp_count(content, F.lit(ascii_bounds(p))).alias("v")) for label, _, _, p in THREATS]
     return F.map_from_entries(F.filter(F.array(*pairs), lambda e: e["v"] > 0))
 
 
@@ -37,9 +38,9 @@ def sanitized(content: Column) -> Column:
     out = content
     for label, kind, severity, pattern in THREATS:
         if severity == "high":
-            out = F.regexp_replace(out, pattern, f"[BLOCKED: {label}]")
+            out = F.regexp_replace(out, ascii_bounds(pattern), f"[BLOCKED: {label}]")
         elif kind == "hidden_text":
-            out = F.regexp_replace(out, pattern, "")
+            out = F.regexp_replace(out, ascii_bounds(pattern), "")
     return F.regexp_replace(out, "[​‌‍⁠﻿]+", "")
 
 
@@ -65,7 +66,7 @@ def warnings(content: Column) -> Column:
     """What speaks against storing a text, as an array of (kind, severity), one for each match."""
     found = []
     for kind, severity, pattern in (*SENSITIVE, *EXFILTRATION):
-        matches = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
+        matches = F.regexp_extract_all(content, F.lit(ascii_bounds(pattern)), F.lit(0))
         if (kind, severity, pattern) in SENSITIVE:
             matches = F.filter(matches, lambda m: F.length(m) >= 10)
         warning = F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"))
@@ -84,7 +85,7 @@ def is_safe(content: Column) -> Column:
 def redacted(content: Column) -> Column:
     for kind, severity, pattern in SENSITIVE:
         if severity == "high":
-            content = F.regexp_replace(content, pattern, f"[REDACTED:{kind}]")
+            content = F.regexp_replace(content, ascii_bounds(pattern), f"[REDACTED:{kind}]")
     return content
 
 
@@ -118,13 +119,13 @@ _ADDRESS = r"(?i)(^\s*you\b|\byour (?:instructions?|rules?|behavior|guidelines?|
 
 def influence(content: Column) -> Column:
     """Weighted score of six signals from 0 to 1, three places; 0 for texts under 50 characters."""
-    count = lambda patterns: reduce(lambda a, b: a + b, [F.regexp_count(content, F.lit(p)) for p in patterns])
+    count = lambda patterns: reduce(lambda a, b: a + b, [F.regexp_count(content, F.lit(ascii_bounds(p))) for p in patterns])
     words = F.size(F.split(content, r"\s+"))
     score = 0.15 * F.least(F.lit(1.0), count(_IMPERATIVE) / (words / 100) / 5)
     for _, weight, full, patterns in INFLUENCE:
         score = score + weight * F.least(F.lit(1.0), count(patterns) / full)
     parts = F.filter(F.split(content, r"[.!?\n]+"), lambda s: F.length(F.trim(s)) > 5)
-    direct = F.size(F.filter(parts, lambda s: s.rlike(_ADDRESS)))
+    direct = F.size(F.filter(parts, lambda s: s.rlike(ascii_bounds(_ADDRESS))))
     score = score + 0.15 * F.when(F.size(parts) > 0, F.least(F.lit(1.0), direct / F.size(parts) * 3)).otherwise(0.0)
     return F.when(F.length(content) < 50, 0.0).otherwise(js_round(score, 3))
 
@@ -148,8 +149,8 @@ def url_risk(url: Column) -> Column:
     """blocked, suspicious or safe."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?(\[[^\]]*\]|[^:/?#]*)", 1))
-    any_of = lambda c, patterns: reduce(lambda a, b: a | b, [c.rlike(p) for p in patterns])
-    blocked = ~scheme.isin("http", "https") | (host == "") | host.rlike(_INTERNAL) | host.isin(*BLOCKED_DOMAINS) | any_of(host, BLOCKED_HOSTS) | any_of(url, BLOCKED_ADDRESSES)
+    any_of = lambda c, patterns: reduce(lambda a, b: a | b, [c.rlike(ascii_bounds(p)) for p in patterns])
+    blocked = ~scheme.isin("http", "https") | (host == "") | host.rlike(ascii_bounds(_INTERNAL)) | host.isin(*BLOCKED_DOMAINS) | any_of(host, BLOCKED_HOSTS) | any_of(url, BLOCKED_ADDRESSES)
     return F.when(blocked, "blocked").when(F.substring_index(host, ".", -1).isin(*FLAGGED_TLDS), "suspicious").otherwise("safe")
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.functions._regex import ascii_bounds
 from sparkloom.functions import _plain as P
 from sparkloom.functions._plain import STOPWORDS, TECH_TAGS
 from sparkloom.functions._stem import stem
@@ -138,8 +139,8 @@ def auto_tags(content: Column, most: int = 3) -> Column:
     """Up to three tags: technology words in text order, then topics, then hyphenated project names."""
     literal = lambda words: F.array(*[F.lit(w) for w in words])
     tech = F.array_intersect(F.split(F.lower(content), r"""[\s,.:;!?()\[\]{}"'`/\\]+"""), literal(TECH_TAGS))
-    topics = F.array_compact(F.array(*[F.when(content.rlike(p), tag) for tag, p in TOPIC_TAGS]))
-    names = F.regexp_extract_all(content, F.lit(r"\b([a-z][a-z0-9]*(?:-[a-z0-9]+)+)\b"), F.lit(1))
+    topics = F.array_compact(F.array(*[F.when(content.rlike(ascii_bounds(p)), tag) for tag, p in TOPIC_TAGS]))
+    names = F.regexp_extract_all(content, F.lit(ascii_bounds(r"\b([a-z][a-z0-9]*(?:-[a-z0-9]+)+)\b")), F.lit(1))
     names = F.filter(F.array_except(names, literal(COMMON_COMPOUNDS)), lambda n: F.length(n).between(3, 30))
     return F.slice(F.array_distinct(F.concat(tech, topics, names)), 1, most)
 
@@ -220,7 +221,7 @@ def decode_entities(text) -> Column:
 
 
 def page_title(page: Column) -> Column:
-    found = lambda p, g=1: F.nullif(F.trim(F.regexp_extract(page, p, g)), F.lit(""))
+    found = lambda p, g=1: F.nullif(F.trim(F.regexp_extract(page, ascii_bounds(p), g)), F.lit(""))
     heading = F.trim(F.regexp_replace(F.regexp_extract(page, r"(?is)<h1[^>]*>(.*?)</h1>", 1), r"<[^>]+>", ""))
     return F.coalesce(
         found(r"""(?i)<meta\s+property=["']og:title["']\s+content=["']([^"']+)["']"""), found(r"(?is)<title[^>]*>(.*?)</title>"), F.nullif(heading, F.lit(""))
@@ -266,14 +267,14 @@ def extract_spo(content: Column) -> Column:
 
     def fact(predicate, confidence, s, o, pattern):
         def run(m: Column) -> Column:
-            value = F.trim(F.regexp_replace(F.regexp_extract(m, pattern, o), clean.get(predicate, r"^\b$"), ""))
-            return F.struct(F.regexp_extract(m, pattern, s).alias("subject"), F.lit(predicate).alias("predicate"), value.alias("object"), F.lit(confidence).alias("confidence"))
+            value = F.trim(F.regexp_replace(F.regexp_extract(m, ascii_bounds(pattern), o), ascii_bounds(clean.get(predicate, r"^\b$")), ""))
+            return F.struct(F.regexp_extract(m, ascii_bounds(pattern), s).alias("subject"), F.lit(predicate).alias("predicate"), value.alias("object"), F.lit(confidence).alias("confidence"))
 
         return run
 
     found = []
     for given in FACT_PATTERNS:
-        facts = F.transform(F.regexp_extract_all(content, F.lit(given[-1]), F.lit(0)), fact(*given))
+        facts = F.transform(F.regexp_extract_all(content, F.lit(ascii_bounds(given[-1])), F.lit(0)), fact(*given))
         if given[0] == "is":
             facts = F.filter(facts, lambda f: F.size(F.split(f["object"], r"\s+")) <= 5)
         found.append(facts)
@@ -290,9 +291,9 @@ def intent(text: Column) -> Column:
     """store, forget, update, context or search, by the words an input begins with or holds."""
     low = F.lower(text)
     return (
-        F.when(low.rlike(r"^(remember|store|save|record|note|log)\b") | low.rlike(r"\b(remember that|note that|save this|store this)\b"), "store")
-        .when(low.rlike(r"^(forget|delete|remove|deactivate)\b"), "forget").when(low.rlike(r"^(update|change|modify|correct)\b"), "update")
-        .when(low.rlike(r"^(what do (i|we|you) know about|context|background|brief me|catch me up|overview)\b"), "context").otherwise("search")
+        F.when(low.rlike(ascii_bounds(r"^(remember|store|save|record|note|log)\b")) | low.rlike(ascii_bounds(r"\b(remember that|note that|save this|store this)\b")), "store")
+        .when(low.rlike(ascii_bounds(r"^(forget|delete|remove|deactivate)\b")), "forget").when(low.rlike(ascii_bounds(r"^(update|change|modify|correct)\b")), "update")
+        .when(low.rlike(ascii_bounds(r"^(what do (i|we|you) know about|context|background|brief me|catch me up|overview)\b")), "context").otherwise("search")
     )
 
 
@@ -311,19 +312,19 @@ UNIT_HOURS = {"hour": 1, "day": 24, "week": 168, "month": 720}
 def expiry(content: Column, as_of: Column) -> Column:
     """When a text that speaks of a near event stops being of use; null if it doesn't."""
     low = F.lower(content)
-    event = low.rlike(EVENTS)
+    event = low.rlike(ascii_bounds(EVENTS))
     later = lambda days: as_of + F.make_dt_interval(F.lit(days) if isinstance(days, int) else days)
     given = r"\bin\s+(\d+)\s+(day|hour|week|month)s?\b"
-    hours = F.create_map(*[F.lit(x) for p in UNIT_HOURS.items() for x in p])[F.regexp_extract(low, given, 2)]
+    hours = F.create_map(*[F.lit(x) for p in UNIT_HOURS.items() for x in p])[F.regexp_extract(low, ascii_bounds(given), 2)]
     # Counts that no date can hold are left out.
-    amount = F.regexp_extract(low, given, 1).try_cast("long")
+    amount = F.regexp_extract(low, ascii_bounds(given), 1).try_cast("long")
     span = F.when((amount > 0) & (amount * hours < 10**7), as_of + F.make_dt_interval(F.lit(0), (amount * hours).cast("int")))
-    named = F.regexp_extract(low, rf"\b(?:by|on|next)\s+({'|'.join(WEEK[1:] + WEEK[:1])})\b", 1)
+    named = F.regexp_extract(low, ascii_bounds(rf"\b(?:by|on|next)\s+({'|'.join(WEEK[1:] + WEEK[:1])})\b"), 1)
     wait = F.array_position(F.array(*[F.lit(d) for d in WEEK]), named).cast("int") - F.dayofweek(as_of)
     day = F.when(named != "", later(F.when(wait <= 0, wait + 7).otherwise(wait) + 1))
     return (
-        F.when(span.isNotNull(), span).when(low.rlike(r"\btomorrow\b"), later(2)).when(event & low.rlike(r"\btoday\b|\btonight\b"), later(1))
-        .when(event & low.rlike(r"\b(next|this)\s+week\b"), later(8)).when(event & low.rlike(r"\b(next|this)\s+month\b"), later(35)).otherwise(day)
+        F.when(span.isNotNull(), span).when(low.rlike(ascii_bounds(r"\btomorrow\b")), later(2)).when(event & low.rlike(ascii_bounds(r"\btoday\b|\btonight\b")), later(1))
+        .when(event & low.rlike(ascii_bounds(r"\b(next|this)\s+week\b")), later(8)).when(event & low.rlike(ascii_bounds(r"\b(next|this)\s+month\b")), later(35)).otherwise(day)
     )
 
 
@@ -335,11 +336,11 @@ def time_hint(query: Column, as_of: Column) -> Column:
     month = F.date_trunc("month", as_of)
     low = F.lower(query)
     span = lambda a, b: F.struct(a.alias("after"), b.alias("before"))
-    n = F.nullif(F.regexp_extract(low, r"\b(?:last|past)\s+(\d+)\s+days?\b", 1), F.lit("")).cast("int")
+    n = F.nullif(F.regexp_extract(low, ascii_bounds(r"\b(?:last|past)\s+(\d+)\s+days?\b"), 1), F.lit("")).cast("int")
     return (
         F.when(n.isNotNull(), span(as_of - F.make_dt_interval(n), as_of))
-        .when(low.rlike(r"\byesterday\b"), span(day - one, day)).when(low.rlike(r"\btoday\b"), span(day, as_of))
-        .when(low.rlike(r"\blast week\b"), span(week - F.expr("INTERVAL 7 DAYS"), week)).when(low.rlike(r"\bthis week\b"), span(week, as_of))
-        .when(low.rlike(r"\blast month\b"), span(F.add_months(month, -1).cast("timestamp"), month)).when(low.rlike(r"\bthis month\b"), span(month, as_of))
-        .when(low.rlike(r"\brecent(ly)?\b"), span(as_of - F.expr("INTERVAL 7 DAYS"), as_of))
+        .when(low.rlike(ascii_bounds(r"\byesterday\b")), span(day - one, day)).when(low.rlike(ascii_bounds(r"\btoday\b")), span(day, as_of))
+        .when(low.rlike(ascii_bounds(r"\blast week\b")), span(week - F.expr("INTERVAL 7 DAYS"), week)).when(low.rlike(ascii_bounds(r"\bthis week\b")), span(week, as_of))
+        .when(low.rlike(ascii_bounds(r"\blast month\b")), span(F.add_months(month, -1).cast("timestamp"), month)).when(low.rlike(ascii_bounds(r"\bthis month\b")), span(month, as_of))
+        .when(low.rlike(ascii_bounds(r"\brecent(ly)?\b")), span(as_of - F.expr("INTERVAL 7 DAYS"), as_of))
     )

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions._regex import ascii_bounds
 from sparkloom.functions import security as Z
 from sparkloom.functions import text as X
 from sparkloom.functions.extract import hall_of
@@ -135,7 +136,7 @@ def summary_problems(summary: Column, sources: Column) -> Column:
     """
     n, length = F.size(sources), F.length(summary)
     small = n <= 2
-    matches = lambda p: F.regexp_count(summary, F.lit(p))
+    matches = lambda p: F.regexp_count(summary, F.lit(ascii_bounds(p)))
     lines = F.filter(F.split(summary, "\n"), lambda x: F.trim(x) != "")
     bullets = F.size(F.filter(lines, lambda x: x.rlike(r"^\s*[-*•]")))
     whole = F.aggregate(sources, F.lit(0), lambda a, s: a + F.length(s))

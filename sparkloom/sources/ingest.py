@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions._regex import ascii_bounds
 from sparkloom.functions import text as X
 from sparkloom.functions._plain import character_histogram
 from sparkloom.shipping import ship
@@ -93,7 +94,7 @@ def is_narration(text: Column) -> Column:
     """Texts of under 30 characters, or whose first line only tells of an action; null counts as empty."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
     first = F.substring_index(t, "\n", 1)
-    return (F.length(t) < 30) | first.rlike("(?i)" + "|".join(f"(?:{p})" for p in NARRATION))
+    return (F.length(t) < 30) | first.rlike(ascii_bounds("(?i)" + "|".join(f"(?:{p})" for p in NARRATION)))
 
 
 def session_facts(texts: DataFrame, alike: float = 0.7) -> DataFrame:
@@ -168,7 +169,7 @@ def section_of(tags: Column, content: Column, tier: Column) -> Column:
     """The first section of a vault that claims a record."""
     has = lambda *names: F.arrays_overlap(tags, F.array(*[F.lit(n) for n in names]))
     return (
-        F.when(has("goal", "goal-progress"), "goals").when(has("decision") | content.rlike(r"(?i)\bdecided\b"), "decisions").when((tier == "procedural") | has("technique", "how-to"), "techniques")
+        F.when(has("goal", "goal-progress"), "goals").when(has("decision") | content.rlike(ascii_bounds(r"(?i)\bdecided\b")), "decisions").when((tier == "procedural") | has("technique", "how-to"), "techniques")
         .when(tier == "reference", "reference").when(tier == "semantic", "knowledge").otherwise("notes")
     )
 
