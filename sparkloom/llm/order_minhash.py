@@ -44,8 +44,10 @@ BLOCK_ROWS = 512
 #: Closest partners of a member that the first round over open buckets verifies; later rounds take GROWTH times as many.
 PARTNERS = 4
 GROWTH = 8
-#: Edges that one task of the component rounds takes; small rounds run as few tasks, and so write few files.
+#: Edges that one task of the component rounds takes; so few are settled in one task, without rounds.
 EDGES_A_TASK = 250_000
+#: Rows of ids, labels and pairs (no texts) that one task takes: small steps run as few tasks, and so write few files.
+ROWS_A_TASK = 25_000
 #: Texts of the asked similarity are in the same or adjacent bands of length (ln 1.25 = 0.2231).
 _BAND = 0.224
 _FACTORS = K.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -351,36 +353,66 @@ def _compare(most: int):
     return run
 
 
-def _open_pairs(members: DataFrame, cut: DataFrame, label: DataFrame, sketched: DataFrame, most: int) -> DataFrame:
+def _fit(df: DataFrame, rows: int) -> DataFrame:
+    """As few tasks as ``rows`` narrow rows need; a table that needs all of them stays as it is."""
+    tasks = -(-rows // ROWS_A_TASK) or 1
+    return df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def _open_pairs(members: DataFrame, n_members: int, cut: DataFrame, label: DataFrame, sketched: DataFrame, most: int) -> DataFrame:
     """(a, b, kind) from ``_compare``, for the buckets whose members have different labels.
 
     Buckets of three members that no task boundary cuts were compared in full
     by the neighbour pass.
     """
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    known = members.join(label.toDF("doc_id", "l"), "doc_id", "left").select("k", "doc_id", F.coalesce("l", "doc_id").alias("label"))
-    sizes = known.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
-    opened = sizes.join(cut.select("k", F.lit(True).alias("was_cut")), "k", "left").where("m > 3 OR was_cut").select("k")
+    fit = lambda df: _fit(df, n_members)
+    known = keep(fit(members.join(label.toDF("doc_id", "l"), "doc_id", "left").select("k", "doc_id", F.coalesce("l", "doc_id").alias("label"))))
+    sizes = fit(known.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"))).where("lo < hi")
+    opened = fit(sizes.join(cut.select("k", F.lit(True).alias("was_cut")), "k", "left")).where("m > 3 OR was_cut").select("k")
     rows = keep(
-        known.join(opened, "k", "left_semi").join(sketched, "doc_id")
+        fit(fit(known.join(opened, "k", "left_semi")).join(sketched, "doc_id"))
         .select("k", "doc_id", "label", "n", "parity", F.floor(F.log("n") / F.lit(_BAND)).cast("int").alias("band"))
     )
-    counts = rows.groupBy("k", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("cells"))
+    counts = fit(rows.groupBy("k", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("cells")))
     # At most one entry for each band of length.
-    cells = counts.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("band", "cells"))).alias("cells"))
+    cells = fit(counts.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("band", "cells"))).alias("cells")))
     pair = "named_struct('lo', {}, 'i', {}, 'hi', {}, 'j', {}, 'side', {})"
     same = pair.format("band", "least(own, x)", "band", "greatest(own, x)", "IF(own > x, 1, 0)")
     above = pair.format("band", "own", "band + 1", "x", "0")
     below = pair.format("band - 1", "x", "band", "own", "1")
     listed = lambda at, what: f"transform(IF(coalesce(cells[{at}], 0) > 0, sequence(0, cells[{at}] - 1), cast(array() as array<int>)), x -> {what})"
     dealt = (
-        rows.join(cells, "k")
+        fit(rows.join(cells, "k"))
         .withColumn("own", F.expr("cast(pmod(xxhash64(doc_id), cells[band]) as int)"))
         .select("k", "label", "doc_id", "n", "parity", F.explode(F.expr(f"concat({listed('band', same)}, {listed('band + 1', above)}, {listed('band - 1', below)})")).alias("x"))
         .select("k", "x.*", "label", "doc_id", "n", "parity")
     )
     names = ("k", "lo", "i", "hi", "j")
-    return keep(dealt.repartition(parts, *names).sortWithinPartitions(*names).mapInArrow(_compare(most), "a long, b long, kind int").distinct())
+    return fit(keep(dealt.repartition(parts, *names).sortWithinPartitions(*names).mapInArrow(_compare(most), "a long, b long, kind int"))).distinct()
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label) of a bounded number of edges: labels sink to the least node of each end until nothing changes."""
+    held = [np.stack([np.asarray(b.column(0)), np.asarray(b.column(1))]) for b in batches if b.num_rows]
+    if not held:
+        return
+    nodes, ends = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        least = np.minimum(label[a], label[b])
+        for side in (a, b):
+            np.minimum.at(new, side, least)
+            # The old label of an end stands for its whole part.
+            np.minimum.at(new, label[side], least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "label"])
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -388,9 +420,13 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     Alternates exchanges in which every node links its larger and then its
     smaller neighbours to its least one, which needs few rounds for any shape.
-    Each round is checkpointed, and has as many tasks as its edges need.
+    Each round is checkpointed, and has as many tasks as its edges need; up to
+    EDGES_A_TASK edges are settled in one task.
     """
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if edges.count() <= EDGES_A_TASK:
+        ship(edges.sparkSession)
+        return keep(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").coalesce(1).mapInArrow(_joined, "node long, label long"))
     edges = keep(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct())
 
     def state(e: DataFrame) -> tuple:
@@ -423,7 +459,7 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs of nodes whose texts align."""
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return keep(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long").distinct())
+    return keep(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"))
 
 
 def _grouped(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -433,10 +469,13 @@ def _grouped(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     schema = "doc_id long, t long, h1 long, h2 long, keys array<long>, n int"
     # Rows get numbers of their own, so that rows without an id or with a repeated one stay apart.
     signed = keep(read.mapInArrow(_signatures, schema).withColumn("row", F.monotonically_increasing_id()))
+    n_rows = signed.count()
+    fit = lambda df: _fit(df, n_rows)
+    signed = fit(signed)
     # Kept apart from the join: on one exchange with it, the copies of a text could not be split over tasks.
-    reps = keep(signed.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min_by("row", "doc_id").alias("rep")))
+    reps = keep(fit(signed.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min_by("row", "doc_id").alias("rep"))))
     named = keep(
-        signed.join(reps, ["h1", "h2"], "left")
+        fit(signed.join(reps, ["h1", "h2"], "left"))
         .withColumn("node", F.coalesce("rep", "row"))
         .select("doc_id", "t", "row", "node", *[F.when(F.col("row") == F.col("node"), F.col(c)).alias(c) for c in ("keys", "n")])
     )
@@ -445,58 +484,54 @@ def _grouped(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     )
     ordered = keep(keys.select("x.k", "doc_id", "x.n"))
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    links = keep(
-        ordered.repartitionByRange(int(parts), "k", "n", "doc_id")
-        .sortWithinPartitions("k", "n", "doc_id")
-        .mapInArrow(_neighbours, "a long, b long, kind int")
-        .distinct()
-    )
+    links = ordered.repartitionByRange(int(parts), "k", "n", "doc_id").sortWithinPartitions("k", "n", "doc_id").mapInArrow(_neighbours, "a long, b long, kind int")
+    links = keep(_fit(links.distinct(), n_rows * SKETCHES // 4))
+    found = {r["kind"]: r["count"] for r in links.groupBy("kind").count().collect()}  # four kinds
+    n_members = found.get(3, 0)
     members = links.where("kind = 3").select(F.col("a").alias("k"), F.col("b").alias("doc_id"))
     # Only texts that share a bucket are moved, once; rows that repeat an id and its text are one text.
-    ends = members.select(F.col("doc_id").alias("node")).distinct()
-    sought = named.where("row = node").select("doc_id", "t", "node").join(ends, "node", "left_semi")
+    ends = _fit(members.select(F.col("doc_id").alias("node")).distinct(), n_members)
+    sought = fit(named.where("row = node").select("doc_id", "t", "node").join(ends, "node", "left_semi"))
     texts = keep(read.join(sought, ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).select("node", "text"))
     # Parts of one run in several tasks: their least documents are linked to the least of all.
     cut = links.where("kind = 2").select(F.col("a").alias("k"), F.col("b").alias("d"))
     across = cut.join(cut.groupBy("k").agg(F.min("d").alias("m")), "k").where("d <> m").select(F.col("m").alias("a"), F.col("d").alias("b"))
-    stars = links.where("kind = 0").select("a", "b").unionAll(across)
-    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = _checked(stars, texts)
+    stars = links.where("kind = 0").select("a", "b").unionAll(_fit(across, found.get(2, 0)))
+    n_stars = found.get(0, 0) + found.get(2, 0)
+    stars = keep(_fit(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), n_stars))
+    first = _fit(_checked(stars, texts), n_stars)
     label = components(first)
     # Neighbours that are still in different groups are compared as well.
-    near = links.where("kind = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    n_near = found.get(1, 0)
+    near = _fit(links.where("kind = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), n_near)
     la, lb = label.toDF("a", "la"), label.toDF("b", "lb")
-    apart = (
-        near.join(la, "a", "left").join(lb, "b", "left")
-        .where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-        .select("a", "b")
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    second = _checked(apart, texts)
-    edges = first.unionAll(second)
+    apart = _fit(_fit(near.join(la, "a", "left"), n_near).join(lb, "b", "left"), n_near).where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    apart = keep(_fit(apart.join(stars, ["a", "b"], "left_anti"), n_near))
+    edges = first.unionAll(_fit(_checked(apart, texts), n_near))
     label = components(edges)
     # Buckets that still hold several groups: all pairs of two groups, the closest ones first.
-    parted = cut.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    sketched = keep(texts.mapInArrow(_sketched, "doc_id long, n int, parity binary"))
+    parted = _fit(cut.groupBy("k").agg(F.count(F.lit(1)).alias("m")), found.get(2, 0)).where("m > 1")
+    sketched = _fit(keep(texts.mapInArrow(_sketched, "doc_id long, n int, parity binary")), n_rows)
     tested, most = stars.unionAll(apart), PARTNERS
     while True:
-        candidates = _open_pairs(members, parted, label, sketched, most)
-        fresh = keep(candidates.where("kind = 0").select("a", "b").join(tested, ["a", "b"], "left_anti"))
-        if fresh.count():
-            edges = edges.unionAll(_checked(fresh, texts))
+        candidates = _open_pairs(members, n_members, parted, label, sketched, most)
+        candidates = keep(candidates)
+        fresh = keep(_fit(candidates.where("kind = 0").select("a", "b").join(tested, ["a", "b"], "left_anti"), n_members))
+        if n_fresh := fresh.count():
+            edges = edges.unionAll(_fit(_checked(fresh, texts), n_fresh))
             tested = tested.unionAll(fresh)
             label = components(edges)
-        if not candidates.where("kind = 1").count():
+        if not candidates.where("kind = 1").limit(1).count():
             break
         most *= GROWTH
-    degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    nodes = label.join(degree, "node", "full_outer").select("node", F.coalesce("label", "node").alias("label"), "links")
-    rows = named.select("doc_id", "t", "row", "node").join(nodes, "node", "left").select(
+    degree = fit(edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links")))
+    nodes = fit(label.join(degree, "node", "full_outer")).select("node", F.coalesce("label", "node").alias("label"), "links")
+    rows = fit(named.select("doc_id", "t", "row", "node").join(nodes, "node", "left")).select(
         "doc_id", "t", "row", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("n_links")
     )
     rows = keep(rows)
     sizes = keep(
-        rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_members"), F.min("doc_id").alias("class_id"), F.min_by("row", "doc_id").alias("own"))
+        fit(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_members"), F.min("doc_id").alias("class_id"), F.min_by("row", "doc_id").alias("own")))
     )
     real = lambda c: F.when(F.col(c) != -(1 << 63), F.col(c)).alias(c)
     return rows.join(sizes, "label").select(
