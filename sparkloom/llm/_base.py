@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +42,18 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a written table in the shared folder.
+
+    For loops: a checkpoint keeps the planner's estimate of its size, which
+    joins multiply, so that after a dozen rounds the estimates alone fill the
+    driver; a table's size is that of its files.
+    """
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _sql_value(value, kind: str) -> str:
     if value is None:
         return f"cast(null as {kind})"
