@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import _kernel as K
 from sparkloom.shipping import ship
-from sparkloom.llm._base import keep
+from sparkloom.llm._base import keep, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -40,7 +40,7 @@ ELL = 3
 REACH = 2
 #: Words of 64 bits in a parity sketch, and members of a block, as dealt to tasks.
 PARITY_WORDS = 32
-BLOCK_ROWS = 512
+BLOCK_ROWS = 2048
 #: Closest partners of a member that the first round over open buckets verifies; later rounds take GROWTH times as many.
 PARTNERS = 4
 GROWTH = 8
@@ -445,7 +445,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         small = fit(large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")))
         turned = large.join(small, F.col("u") == F.col("x"))
         linked = turned.select(F.col("m").alias("p"), F.explode(F.array("u", "v")).alias("q")).where("p <> q")
-        edges = keep(fit(linked.select(F.least("p", "q").alias("v"), F.greatest("p", "q").alias("u")).distinct()))
+        edges = stored(fit(linked.select(F.least("p", "q").alias("v"), F.greatest("p", "q").alias("u")).distinct()))
         new = state(edges)
         if new == now:
             break

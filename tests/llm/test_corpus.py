@@ -130,7 +130,9 @@ def test_near_duplicates(spark, docs):
     assert order_minhash.near_duplicates(table.where("false")).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 250_000])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(order_minhash, "EDGES_A_TASK", max(1, one_task))
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(250)]
     got = {r.node: r.label for r in order_minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
