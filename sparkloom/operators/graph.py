@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections import deque
 from collections.abc import Iterator
 
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions._regex import ascii_bounds
 from sparkloom.functions.scoring import js_round, link_strength
 from sparkloom.functions.text import similarity
 
@@ -33,6 +35,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a written table in the shared folder.
+
+    For loops: a checkpoint keeps the planner's estimate of its size, which
+    joins multiply, so that after a dozen rounds the estimates alone fill the
+    driver; a table's size is that of its files.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """(a, b) with a < b, each once, without loops."""
     return edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).where("a <> b").distinct()
@@ -50,7 +64,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         best = near.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
         new = label.join(best, "node", "left").select("node", F.least("label", "seen").alias("label"), F.col("label").alias("old"))
         hop = new.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        new = checkpointed(new.join(hop, "label", "left").select("node", F.least("label", "jump").alias("label"), "old"))
+        new = stored(new.join(hop, "label", "left").select("node", F.least("label", "jump").alias("label"), "old"))
         if not new.where("label <> old").limit(1).count():
             return new.select("node", F.col("label").alias("component"))
         label = new.select("node", "label")
@@ -197,33 +211,65 @@ def newest(rows: DataFrame, most: int, *by: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
 
 
-def star_clusters(pairs: DataFrame, order: DataFrame, least_size: int = 2) -> DataFrame:
-    """(id, cluster): greedy stars around the newest unclaimed record.
-
-    A record's cluster depends on earlier decisions along links only, so each
-    component is one group of ids and pairs (no contents).
+def _sequential_stars(nodes: pd.DataFrame, links: pd.DataFrame, least_size: int) -> pd.DataFrame:
+    """The rule of ``star_clusters`` for what is left of a small graph, one seed after the other."""
+    near: dict[int, list[int]] = {}
+    for a, b in zip(links["a"], links["b"], strict=True):
+        near.setdefault(a, []).append(b)
+    taken: set[int] = set()
+    rows = []
+    for seed in nodes[nodes["open"]].sort_values(["rank", "id"])["id"]:
+        members = [seed, *(x for x in near.get(seed, []) if x not in taken)]
+        if seed not in taken and len(members) >= least_size:
+            taken.update(members)
+            rows += [(m, seed) for m in members]
+    return pd.DataFrame(rows, columns=["id", "cluster"])
+
+
+def star_clusters(pairs: DataFrame, order: DataFrame, least_size: int = 2, finish: int = 50_000) -> DataFrame:
+    """(id, cluster): greedy stars around the newest unclaimed record; ``order`` has id and rank, the least first.
+
+    One after the other, each unclaimed record claims its unclaimed neighbours,
+    if they are ``least_size`` records together. Two records within two links of
+    each other are the only ones that can hinder each other, so all records
+    that come first among those at most two links away are decided at once, in
+    rounds, until nothing is open. A rest of at most ``finish`` links is decided
+    in one task. The result is that of the sequential rule.
     """
-    parts = components(pairs.select(F.col("a").alias("source"), F.col("b").alias("target")))
-    ranked = parts.join(order, parts.node == order.id).select("component", "id", "rank")
-    edges = pairs.join(parts.toDF("a", "part"), "a").select("part", F.col("a").alias("id"), F.col("b").alias("other"))
-
-    def run(key, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = {}
-        for a, b in zip(links["id"], links["other"], strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        taken: set[int] = set()
-        rows = []
-        for seed in nodes.sort_values(["rank", "id"])["id"]:
-            if seed in taken:
-                continue
-            members = [seed, *sorted(near.get(seed, set()) - taken)]
-            if len(members) >= least_size:
-                taken |= set(members)
-                rows += [(m, seed) for m in members]
-        return pd.DataFrame(rows, columns=["id", "cluster"])
-
-    return ranked.groupBy("component").cogroup(edges.groupBy("part")).applyInPandas(run, "id long, cluster long")
+    known = order.select("id", F.struct("rank", "id").alias("key"))
+    links = stored(both_ways(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()))
+    ends = links.select(F.col("a").alias("id")).distinct()
+    nodes = stored(ends.join(known, "id").withColumn("open", F.lit(True)))
+    # A link counts if both ends have a rank.
+    ranked = lambda rows, n: rows.join(n.select(F.col("id").alias("a")), "a", "left_semi").join(n.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
+    links = stored(ranked(links, nodes))
+    found = None
+    while left := links.count():
+        if left <= finish:
+            # ``finish`` bounds the group.
+            rest = nodes.select(F.lit(0).alias("g"), "id", F.col("key.rank").alias("rank"), "open")
+            last = rest.groupBy("g").cogroup(links.select(F.lit(0).alias("g"), "a", "b").groupBy("g")).applyInPandas(
+                lambda n, e: _sequential_stars(n, e, least_size), "id long, cluster long"
+            )
+            return last if found is None else found.unionAll(last)
+        around = links.unionAll(nodes.select(F.col("id").alias("a"), F.col("id").alias("b")))
+        first = around.join(nodes.where("open").select(F.col("id").alias("b"), "key"), "b").groupBy("a").agg(F.min("key").alias("key"))
+        second = around.join(first.withColumnRenamed("a", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("key").alias("least"))
+        seeds = stored(nodes.where("open").join(second, "id").where(F.col("key") == F.col("least")).select("id"))
+        if not seeds.limit(1).count():
+            break
+        reach = around.join(seeds.select(F.col("id").alias("a")), "a")
+        enough = reach.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_size).select("a")
+        claimed = stored(reach.join(enough, "a").select(F.col("b").alias("id"), F.col("a").alias("cluster")))
+        found = claimed if found is None else found.unionAll(claimed)
+        done = seeds.select("id", F.lit(True).alias("done"))
+        free = nodes.join(claimed.select("id"), "id", "left_anti").join(done, "id", "left")
+        nodes = stored(free.select("id", "key", (F.col("open") & F.col("done").isNull()).alias("open")))
+        links = stored(ranked(links, nodes))
+        # Records without links left are alone.
+        nodes = stored(nodes.join(links.select(F.col("a").alias("id")).distinct(), "id", "left_semi"))
+    empty = links.select(F.col("a").alias("id"), F.col("b").alias("cluster")).limit(0)
+    return empty if found is None else found
 
 
 def auto_links(new: DataFrame, stored: DataFrame, least: float = 0.75, k: int = 5, recent: int = 200) -> DataFrame:
@@ -290,7 +336,7 @@ def contradiction_reason(a: Column, b: Column, sentences_each: int = 10, overlap
     """
     from sparkloom.functions.text import sentences, word_overlap
 
-    cut = lambda c: F.transform(F.slice(sentences(c), 1, sentences_each), lambda s: F.struct(s.alias("s"), s.rlike(NEGATIONS).alias("no"), F.regexp_extract_all(s, F.lit(VALUES), F.lit(1)).alias("v")))
+    cut = lambda c: F.transform(F.slice(sentences(c), 1, sentences_each), lambda s: F.struct(s.alias("s"), s.rlike(ascii_bounds(NEGATIONS)).alias("no"), F.regexp_extract_all(s, F.lit(ascii_bounds(VALUES)), F.lit(1)).alias("v")))
     pairs = F.flatten(F.transform(cut(a), lambda x: F.transform(cut(b), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     alike = F.filter(pairs, lambda p: word_overlap(p["x"]["s"], p["y"]["s"]) >= overlap)
     short = lambda s: F.when(F.length(s) <= 80, s).otherwise(F.concat(F.substring(s, 1, 77), F.lit("...")))

@@ -6,7 +6,7 @@ from sparkloom.operators import analytics as A
 from sparkloom.operators import graph as G
 from sparkloom.operators import relational as R
 from sparkloom.plans.q_relational import PAIRS
-from sparkloom.plans.q_search import COSINE, embeddings
+from sparkloom.plans.q_search import COSINE, embeddings, query_vectors, vector_index
 from sparkloom.plans.registry import query
 
 #: Suppliers that sold the same part, a denser graph than the forest of nations.
@@ -92,9 +92,9 @@ def _(t):
 
 @query("j17_similar_pairs", f"SELECT DISTINCT least(a.vec_id, b.vec_id) AS a, greatest(a.vec_id, b.vec_id) AS b, round(round({COSINE}, 9), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id WHERE round({COSINE}, 9) >= 0.3", raw=True)
 def _(t):
-    """Vectors with an id divisible by 20 against all vectors."""
-    every = embeddings(t)
-    return G.similar_pairs(every.where("id % 20 = 0"), every, 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    """Vectors with an id divisible by 20 against all vectors, by the index."""
+    found = vector_index(t).within(query_vectors(t), 0.3).where("id <> query_id")
+    return found.select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b"), F.round("score", 6).alias("similarity")).distinct()
 
 
 def clustered(t, bucket=None):

@@ -1,5 +1,7 @@
 """Retrieval and evaluation queries (R-*, M-*, E-*)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scoring as S
@@ -7,6 +9,9 @@ from sparkloom.functions.text import QUERY_STOPWORDS
 from sparkloom.operators import analytics as A
 from sparkloom.operators import evaluate as E
 from sparkloom.operators import search as R
+from sparkloom.operators import vectors as V
+from sparkloom.operators.graph import shared_folder
+from sparkloom.operators.postings import build_postings
 from sparkloom.operators.relational import infer_metadata
 from sparkloom.plans.q_analytics import QUALITY
 from sparkloom.plans.registry import query
@@ -22,6 +27,31 @@ def embeddings(t):
     return t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
 
 
+def vector_index(t):
+    """An index of all vectors, in a new folder of the shared ones."""
+    return V.build_index(embeddings(t), f"{shared_folder(t.spark)}/vectors-{uuid.uuid4().hex}")
+
+
+def entity_graph(t):
+    """First words of the texts as entities, named by their least record; entities of consecutive records are related."""
+    first = t.documents.select(F.col("doc_id").alias("memory_id"), F.lower(F.regexp_extract("text", "^([A-Za-z]+)", 1)).alias("name")).where("name <> ''")
+    entities = first.groupBy("name").agg(F.min("memory_id").alias("id"))
+    bridge = first.join(entities, "name").select("memory_id", F.col("id").alias("entity_id"))
+    after = bridge.select((F.col("memory_id") - 1).alias("memory_id"), F.col("entity_id").alias("target"))
+    pairs = bridge.join(after, "memory_id").where("entity_id <> target")
+    return R.EntityGraph(entities, bridge, pairs.groupBy(F.col("entity_id").alias("source"), "target").agg(F.count(F.lit(1)).alias("strength")))
+
+
+def posting_lists(t):
+    """Posting lists of the active records, in a new folder of the shared ones."""
+    return build_postings(t.memories.where("is_active").select("id", "content"), f"{shared_folder(t.spark)}/postings-{uuid.uuid4().hex}")
+
+
+def query_vectors(t):
+    """The vectors whose id is divisible by 20, as queries."""
+    return t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
 _STOP = "(" + ", ".join(f"'{w}'" for w in QUERY_STOPWORDS) + ")"
 FTS = QUALITY + rf""", q AS (SELECT item_id AS query_id, array_to_string(regexp_split_to_array(text, '\s+')[1:8], ' ') AS query FROM benchmark WHERE item_id % 20 = 0 AND item_id IN (SELECT vec_id FROM embeddings)),
 qt AS (SELECT query_id, list_filter(string_split(trim(regexp_replace(regexp_replace(query, '[''"(){{}}\[\]*:^~!@#$%&\\]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w <> '' AND lower(w) NOT IN {_STOP})[1:10] AS w FROM q),
@@ -56,7 +86,14 @@ GOALS = ("red", "bolt", "tion", "the")
 @query("r1_hybrid_search", HYBRID.replace("rrf AS (SELECT", """vl AS (SELECT * FROM vr WHERE r <= 1000), cand AS (SELECT query_id, id, round(sum(s), 9) AS s FROM (SELECT query_id, id, vs.score AS s FROM vs JOIN vl USING (query_id, id) UNION ALL SELECT query_id, id, score FROM fts WHERE score > 0) GROUP BY 1, 2),
 seed AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM cand) WHERE r <= 20),
 ends AS (SELECT source_id AS f, target_id AS id, strength FROM memory_links UNION ALL SELECT target_id, source_id, strength FROM memory_links),
-gp AS (SELECT query_id, ends.id, max(0.3 + 0.5 * strength) AS score FROM seed JOIN ends ON f = seed.id WHERE EXISTS (SELECT 1 FROM cand c WHERE c.query_id = seed.query_id AND c.id = ends.id) GROUP BY 1, 2),
+fw AS (SELECT doc_id, lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS name FROM documents), ent AS (SELECT name, min(doc_id) AS id FROM fw WHERE name <> '' GROUP BY 1), be AS (SELECT doc_id AS memory_id, ent.id AS entity_id FROM fw JOIN ent USING (name)),
+rel AS (SELECT a.entity_id AS source, b.entity_id AS target, count(*) AS strength FROM be a JOIN be b ON b.memory_id = a.memory_id + 1 WHERE a.entity_id <> b.entity_id GROUP BY 1, 2), rb AS (SELECT source AS entity_id, target, strength FROM rel UNION ALL SELECT target, source, strength FROM rel),
+qe AS (SELECT DISTINCT query_id, ent.id AS entity_id FROM (SELECT query_id, unnest(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda w: length(w) > 2)) AS w FROM q) JOIN ent ON ent.name = w),
+h2 AS (SELECT query_id, target AS entity_id FROM (SELECT query_id, target, row_number() OVER (PARTITION BY query_id, qe.entity_id ORDER BY strength DESC, target) AS r FROM qe JOIN rb ON rb.entity_id = qe.entity_id) WHERE r <= 10),
+ge AS (SELECT query_id, memory_id AS id, max(hop) AS hop FROM (SELECT query_id, entity_id, 1.0 AS hop FROM qe UNION ALL SELECT query_id, entity_id, 0.5 FROM h2) x JOIN be ON be.entity_id = x.entity_id GROUP BY 1, 2),
+gl AS (SELECT query_id, ends.id, max(0.3 + 0.5 * strength) AS link FROM seed JOIN ends ON f = seed.id GROUP BY 1, 2),
+gp AS (SELECT query_id, id, greatest(coalesce(hop, 0), coalesce(link, 0)) AS score FROM (SELECT coalesce(ge.query_id, gl.query_id) AS query_id, coalesce(ge.id, gl.id) AS id, hop, link FROM ge FULL JOIN gl ON ge.query_id = gl.query_id AND ge.id = gl.id) n
+  WHERE EXISTS (SELECT 1 FROM cand c WHERE c.query_id = n.query_id AND c.id = n.id)),
 gr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM gp),
 rrf AS (SELECT""").replace("FROM fr) GROUP", "FROM fr UNION ALL SELECT query_id, id, 0.1::DOUBLE / (60 + r) FROM gr) GROUP") + """, tw AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda w: length(w) > 2)) AS w FROM q),
 tm AS (SELECT DISTINCT query_id, memory_id AS id FROM memory_tags JOIN tw ON contains(tag, w)), per AS (SELECT query_id, max(rrf) AS top, count(*) AS n FROM rrf GROUP BY 1),
@@ -74,16 +111,16 @@ k AS (SELECT * FROM sc WHERE score >= 0.001), d AS (SELECT * FROM k WHERE NOT EX
 f AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM d), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f WHERE score >= 0.15 * best AND quality >= 0.08)
 SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score, round(quality, 6) AS quality FROM o WHERE rank <= 10""")
 def _(t):
-    """With tags, links, goals and metadata; records about widgets stand for metadata."""
+    """With tags, links, goals, metadata and the entity graph; records about widgets stand for metadata."""
     tags = t.memory_tags.groupBy(F.col("memory_id").alias("id")).agg(F.collect_set("tag").alias("tags"))
     scored = A.with_quality(t.memories, t.memory_links, t.as_of).join(tags, "id", "left")
     meta = infer_metadata(F.coalesce("tags", F.array().cast("array<string>")), F.col("metadata")) | F.coalesce(F.array_contains("tags", "widget"), F.lit(False))
-    return R.hybrid_search(search_queries(t), scored.withColumn("is_metadata", meta), embeddings(t), t.as_of, tags=t.memory_tags, links=t.memory_links, goal_words=GOALS)
+    return R.hybrid_search(search_queries(t), scored.withColumn("is_metadata", meta), embeddings(t), t.as_of, tags=t.memory_tags, links=t.memory_links, goal_words=GOALS, graph=entity_graph(t))
 
 
 @query("r2_two_pass_fts", FTS + " SELECT query_id, id, round(score, 6) AS score FROM fts")
 def _(t):
-    found = R.two_pass_fts(search_queries(t), t.memories.where("is_active"))
+    found = R.two_pass_fts(search_queries(t), posting_lists(t))
     return found.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
@@ -92,20 +129,19 @@ def _(t):
     from sparkloom.functions.text import query_terms
 
     terms = search_queries(t).select("query_id", F.explode(F.array_distinct(F.flatten(F.transform(query_terms(F.col("query")), R.tokens)))).alias("term"))
-    return R.top(R.bm25(terms, t.memories.where("is_active")), 50).select("query_id", "id", F.round("score", 6).alias("score"))
+    return posting_lists(t).best(terms, 50).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("m1_cosine", f"SELECT a.vec_id AS query_id, b.vec_id AS id, round(round({COSINE}, 9), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND round({COSINE}, 9) > 0", raw=True)
 def _(t):
-    found = R.vector_scores(t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), embeddings(t))
-    return found.select("query_id", "id", F.round("score", 6).alias("score"))
+    return R.vector_scores(query_vectors(t), embeddings(t)).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("j18_one_to_all", f"""SELECT query_id, id, round(s, 6) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round({COSINE}, 9) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COSINE}, 9) DESC, b.vec_id) AS r
   FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND round({COSINE}, 9) > 0) WHERE r <= 20""", raw=True)
 def _(t):
-    each = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return R.top(R.vector_scores(each, embeddings(t)).where("id <> query_id"), 20).select("query_id", "id", F.round("score", 6).alias("score"))
+    found = vector_index(t).nearest(query_vectors(t), 20, itself=False).where("score > 0")
+    return found.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("m2_signals", QUALITY + """ SELECT id, round(exp(-0.05 * (1 - 0.5 * quality) * age_days), 6) AS recency, round(ln(1 + access_count) / ln(1 + (SELECT max(access_count) FROM memories)), 6) AS frequency,
