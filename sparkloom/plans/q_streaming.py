@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators.graph import shared_folder
 from sparkloom.plans.registry import query
 from sparkloom.streaming import jobs
+from sparkloom.streaming import usefulness as U
 
 
 def _folder(t) -> str:
@@ -70,3 +71,34 @@ def _(t):
     seen = t.spark.read.schema("rows long, epoch long").parquet(f"{folder}/rows/batch=*").agg(F.sum("rows").alias("n"))
     ran = t.spark.read.schema("rows long, epoch long").parquet(log).agg(F.count(F.lit(1)).alias("runs"))
     return seen.crossJoin(ran).where("runs > 0").select((F.floor(F.col("n") / 100) * 100).cast("long").alias("rows_at_last_run"))
+
+
+def _credits(t):
+    """Views as searches that show four users, clicks as reads of one; sessions by event number."""
+    events = _events(t).withColumn("session", (F.col("event_id") % 10).cast("string"))
+    u, e = F.col("user_id"), F.col("event_id")
+    results = F.array(u, (u * 7 + e) % 150, (u + e) % 150, e % 150)
+    searches = events.where("event_type = 'view'").select("event_id", "ts", "session", results.alias("results"))
+    reads = events.where("event_type = 'click'").select("event_id", "ts", "session", u.alias("memory_id"))
+    with U.rocksdb(t.spark):
+        return _run(t, U.credits(U.showings(searches, reads)))
+
+
+_CREDITS = """RECURSIVE s AS (SELECT event_id, ts::TIMESTAMP AS ts, event_id % 10 AS session, [user_id, (user_id * 7 + event_id) % 150, (user_id + event_id) % 150, event_id % 150] AS r FROM events WHERE event_type = 'view'),
+  x AS (SELECT event_id, ts, session, m AS memory_id, min(k) AS k FROM (SELECT event_id, ts, session, unnest(r) AS m, generate_subscripts(r, 1) AS k FROM s) GROUP BY ALL),
+  sh AS (SELECT event_id, ts, session, memory_id, row_number() OVER (PARTITION BY event_id ORDER BY k) AS p FROM x), top AS (SELECT memory_id, ts, event_id FROM sh WHERE p <= 3),
+  mk AS (SELECT memory_id, min(ts) AS ts FROM top GROUP BY 1 UNION ALL SELECT n.memory_id, min(top.ts) FROM mk n JOIN top ON top.memory_id = n.memory_id AND top.ts >= n.ts + INTERVAL 24 HOUR GROUP BY n.memory_id, n.ts),
+  a AS (SELECT memory_id, session, ts, event_id, true AS shown FROM sh UNION ALL SELECT user_id, event_id % 10, ts::TIMESTAMP, event_id, false FROM events WHERE event_type = 'click'),
+  l AS (SELECT *, lag(shown) OVER w AS before, lag(ts) OVER w AS prior FROM a WINDOW w AS (PARTITION BY memory_id, session ORDER BY ts, event_id)),
+  c AS (SELECT memory_id, min(event_id) AS event_id, 'ranked' AS reason FROM mk JOIN top USING (memory_id, ts) GROUP BY memory_id, ts UNION ALL SELECT memory_id, event_id, 'read' FROM l WHERE NOT shown AND before AND ts - prior <= INTERVAL 30 MINUTE)"""
+
+
+@query("p10_credits", "WITH " + _CREDITS + " SELECT memory_id, event_id, reason FROM c", raw=True)
+def _(t):
+    """Usefulness credits of searches and reads, by keyed state."""
+    return _credits(t).select("memory_id", "event_id", "reason")
+
+
+@query("p10_useful_counts", "WITH " + _CREDITS + ", ev_ AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS p FROM events GROUP BY 1) SELECT d.doc_id AS id, coalesce(p, 0) + (SELECT count(*) FROM c WHERE memory_id = doc_id) AS useful_count FROM documents d LEFT JOIN ev_ ON user_id = doc_id", raw=True)
+def _(t):
+    return U.with_credits(t.memories, _credits(t)).select("id", "useful_count")
