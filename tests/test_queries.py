@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from sparkloom.plans import q_analytics, q_briefs, q_graph, q_knowledge, q_more, q_notes, q_relational, q_search, q_streaming, q_text, registry  # noqa: F401
+from sparkloom.plans import q_analytics, q_briefs, q_graph, q_imports, q_knowledge, q_more, q_notes, q_relational, q_search, q_streaming, q_text, registry  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
