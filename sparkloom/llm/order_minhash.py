@@ -286,14 +286,27 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["a", "b"]).filter(good)
 
 
+def _closest(end, i, j, distance, most: int):
+    """The pairs that are among the ``most`` closest of their end."""
+    order = np.lexsort((distance, end))
+    place = np.arange(len(order)) - np.searchsorted(end[order], end[order])
+    kept = order[place < most]
+    return i[kept], j[kept], distance[kept]
+
+
 def _close_pairs(side, label, n, parity, most: int):
-    """Pairs of rows of different labels that the bound leaves, at most ``most`` or more for each row, the closest first; and whether there are others."""
+    """Pairs of rows of different labels that the bound leaves, the closest first, at most ``most`` for each row as the left and as the right one; and whether there are others.
+
+    Held at once are the pairs of 32 rows with a block, and ``most`` for each row of it.
+    """
     left = np.flatnonzero(side == 0)
     right = np.flatnonzero(side == 1)
     within = not len(right)
     if within:
         right = left
-    found = []
+    total = 0
+    none = np.zeros(0, np.int64)
+    chosen, by_right = [], (none, none, none)
     for at in range(0, len(left), 32):
         a = left[at : at + 32]
         apart = label[a][:, None] != label[right][None]
@@ -302,20 +315,22 @@ def _close_pairs(side, label, n, parity, most: int):
         if within:
             apart &= a[:, None] < right[None]
         i, j = np.nonzero(apart)
-        for part in range(0, len(i), 1 << 15):
-            x, y = i[part : part + (1 << 15)], j[part : part + (1 << 15)]
+        found = []
+        for part in range(0, len(i), 1 << 14):
+            x, y = i[part : part + (1 << 14)], j[part : part + (1 << 14)]
             distance = np.bitwise_count(parity[a[x]] ^ parity[right[y]]).sum(axis=1, dtype=np.int64)
             good = distance <= limit[x, y]
             found.append((a[x[good]], right[y[good]], distance[good]))
-    if not found:
-        none = np.zeros(0, np.int64)
-        return none, none, False
-    i, j, distance = (np.concatenate(x) for x in zip(*found, strict=True))
-    ends, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
-    order = np.lexsort((np.tile(distance, 2), ends))
-    place = np.arange(len(order)) - np.searchsorted(ends[order], ends[order])
-    chosen = np.unique(pair[order][place < most])
-    return i[chosen], j[chosen], len(chosen) < len(i)
+        if not found:
+            continue
+        x, y, distance = (np.concatenate(c) for c in zip(*found, strict=True))
+        total += len(x)
+        chosen.append(_closest(x, x, y, distance, most)[:2])
+        x, y, distance = (np.concatenate(c) for c in zip(by_right, (x, y, distance), strict=True))
+        by_right = _closest(y, x, y, distance, most)
+    i, j = (np.concatenate(c) for c in zip(by_right[:2], *chosen, strict=True))
+    pairs = np.unique(i * len(side) + j) if len(i) else none
+    return pairs // max(1, len(side)), pairs % max(1, len(side)), len(pairs) < total
 
 
 def _compare(most: int):
