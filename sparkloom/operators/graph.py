@@ -243,6 +243,13 @@ def star_clusters(pairs: DataFrame, order: DataFrame, least_size: int = 2, finis
     # A link counts if both ends have a rank.
     ranked = lambda rows, n: rows.join(n.select(F.col("id").alias("a")), "a", "left_semi").join(n.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
     links = stored(ranked(links, nodes))
+
+    def able(nodes: DataFrame) -> DataFrame:
+        """Without records that have no links left; those with too few can be claimed but claim none."""
+        degree = links.groupBy(F.col("a").alias("id")).agg((F.count(F.lit(1)) + 1).alias("reach"))
+        return stored(nodes.join(degree, "id").select("id", "key", (F.col("open") & (F.col("reach") >= least_size)).alias("open")))
+
+    nodes = able(nodes)
     found = None
     while left := links.count():
         if left <= finish:
@@ -266,8 +273,7 @@ def star_clusters(pairs: DataFrame, order: DataFrame, least_size: int = 2, finis
         free = nodes.join(claimed.select("id"), "id", "left_anti").join(done, "id", "left")
         nodes = stored(free.select("id", "key", (F.col("open") & F.col("done").isNull()).alias("open")))
         links = stored(ranked(links, nodes))
-        # Records without links left are alone.
-        nodes = stored(nodes.join(links.select(F.col("a").alias("id")).distinct(), "id", "left_semi"))
+        nodes = able(nodes)
     empty = links.select(F.col("a").alias("id"), F.col("b").alias("cluster")).limit(0)
     return empty if found is None else found
 
