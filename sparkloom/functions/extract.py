@@ -210,10 +210,15 @@ def specifics(text: Column) -> Column:
     return F.array_distinct(F.concat(*[_all(text, p, 0) for p in SPECIFICS]))
 
 
+def states_fact(sentence: Column) -> Column:
+    """Whether a sentence states a key fact: a date, a measure, a decision, a change."""
+    return reduce(lambda a, b: a | b, [sentence.rlike(ascii_bounds(p)) for p in KEY_FACTS])
+
+
 def fact_sentences(text: Column) -> Column:
     """Sentences of a text that state a key fact: a date, a measure, a decision, a change."""
     parts = F.filter(F.transform(F.split(text, r"[.!?]\n|[.!?]\s"), F.trim), lambda s: F.length(s) > 10)
-    return F.filter(parts, lambda s: reduce(lambda a, b: a | b, [s.rlike(ascii_bounds(p)) for p in KEY_FACTS]))
+    return F.filter(parts, states_fact)
 
 
 # Topics of a conversation and the words that show them.

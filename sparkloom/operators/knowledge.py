@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions._regex import ascii_bounds
+from sparkloom.functions import extract as N
 from sparkloom.functions import security as Z
 from sparkloom.functions import text as X
 from sparkloom.functions.extract import hall_of
@@ -108,18 +109,50 @@ def hierarchy_links(records: DataFrame, days: int = 7, cap: int = 15) -> DataFra
 # --- consolidation and contradictions ----------------------------------------------------------------------
 
 
-def extractive_summary(members: DataFrame, words: int = 500, per_record: int = 3) -> DataFrame:
-    """(cluster, summary, merged): first sentences of each member, each once, up to some words.
+def basic_summary(members: DataFrame, tags: DataFrame, budget: int = 500) -> DataFrame:
+    """(cluster, summary, merged): a heading, the key facts and then the context of a cluster's records, within some words.
 
-    ``members`` has cluster, id, content. Sentences are cut and ranked per
-    record before they meet, so that a group holds a few short strings each.
+    ``members`` has cluster, id, content, created_at; ``tags`` memory_id, tag.
+    Sentences come in order of their records' time and count once. The first
+    three facts are a paragraph, if it fits; further facts and then the other
+    sentences are listed until the first that would exceed the budget. A list
+    is cut to ``budget`` sentences before it is gathered, since each has a word.
     """
-    cut = members.select("cluster", "id", F.posexplode(F.slice(X.sentences(F.col("content")), 1, per_record)).alias("i", "s"))
-    once = cut.withColumn("_r", F.row_number().over(Window.partitionBy("cluster", F.lower("s")).orderBy("id", "i"))).where("_r = 1")
-    fits = R.within_budget(once.withColumn("n", F.size(F.split("s", r"\s+"))), "cluster", ["i", "id"], F.col("n"), words)
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "id", "s"))), lambda x: F.concat(F.lit("- "), x["s"])), "\n")
-    counts = members.groupBy("cluster").agg(F.count_distinct("id").alias("merged"))
-    return fits.groupBy("cluster").agg(joined.alias("summary")).join(counts, "cluster")
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    size = lambda c: F.size(F.split(c, r"\s+"))
+    parts = F.filter(F.transform(F.split("content", r"[.!?]\n|[.!?]\s"), strip), lambda s: F.length(s) > 10)
+    each = members.select("cluster", "created_at", "id", F.posexplode(parts).alias("i", "s"))
+    once = each.groupBy("cluster", "s").agg(F.min(F.struct("created_at", "id", "i")).alias("at")).withColumn("fact", N.states_fact(F.col("s")))
+    place = F.row_number().over(Window.partitionBy("cluster", "fact").orderBy("at"))
+    some = once.withColumn("p", place).where(F.col("p") <= budget)
+    listed = lambda fact: F.sort_array(F.collect_list(F.when(F.col("fact") == F.lit(fact), F.struct("p", "s", size(F.col("s")).alias("n")))))
+    lists = some.groupBy("cluster").agg(listed(True).alias("facts"), listed(False).alias("more"))
+    head = members.groupBy("cluster").agg(F.count_distinct("id").alias("merged"), F.min("created_at").alias("first"), F.max("created_at").alias("last"))
+    known = members.select("cluster", F.col("id").alias("memory_id")).join(tags, "memory_id").groupBy("cluster").agg(F.array_join(F.slice(F.sort_array(F.collect_set("tag")), 1, 5), ", ").alias("topics"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    dates = F.when(F.col("first") == F.col("last"), day("first")).otherwise(F.concat(day("first"), F.lit(" to "), day("last")))
+    rows = head.join(known, "cluster", "left").join(lists, "cluster", "left").withColumn("heading", F.concat(F.coalesce("topics", F.lit("various topics")), F.lit(" ("), F.col("merged"), F.lit(" sources, "), dates, F.lit(")")))
+    none = F.filter(F.array(F.struct(F.lit(0).alias("p"), F.lit("").alias("s"), F.lit(0).alias("n"))), lambda x: F.lit(False))
+    rows = rows.withColumn("facts", F.coalesce("facts", none)).withColumn("more", F.coalesce("more", none))
+    prose = F.concat(F.array_join(F.transform(F.slice("facts", 1, 3), lambda x: x["s"]), ". "), F.lit("."))
+    used = size(F.col("heading")) + size(prose)
+    rows = rows.withColumn("told", (F.size("facts") > 0) & (used <= budget)).withColumn("spent", F.when(F.col("told"), used).otherwise(size(F.col("heading")))).withColumn("prose", prose)
+
+    def filled(items, start):
+        """The listed lines that fit, up to the first that doesn't, and the words then spent."""
+        begin = F.struct(start.cast("int").alias("n"), F.lit("").alias("text"), F.lit(False).alias("full"))
+        take = lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), F.concat(a["text"], F.lit("- "), x["s"], F.lit("\n")).alias("text"), F.lit(False).alias("full"))
+        stop = lambda a: F.struct(a["n"].alias("n"), a["text"].alias("text"), F.lit(True).alias("full"))
+        return F.aggregate(items, begin, lambda a, x: F.when(~a["full"] & (a["n"] + x["n"] <= budget), take(a, x)).otherwise(stop(a)))
+
+    rest = F.slice("facts", 4, budget)
+    rows = rows.withColumn("bullets", filled(rest, F.col("spent")))
+    rows = rows.withColumn("context", filled(F.when(F.col("bullets")["n"] < budget, F.col("more")).otherwise(none), F.col("bullets")["n"]))
+    text = F.concat(
+        F.col("heading"), F.when(F.col("told"), F.concat(F.lit("\n\n"), F.col("prose"))).otherwise(""), F.when(F.size("facts") > 3, F.concat(F.lit("\n\n"), F.col("bullets")["text"])).otherwise(""),
+        F.when((F.size("facts") > 0) & (F.size("more") > 0) & (F.col("bullets")["n"] < budget), "\n").otherwise(""), F.col("context")["text"],
+    )
+    return rows.select("cluster", F.regexp_replace(text, r"\s+$", "").alias("summary"), "merged")
 
 
 def proper_nouns(text: Column) -> Column:

@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions import extract as N
 from sparkloom.functions import text as X
 from sparkloom.functions.extract import HALLS
 from sparkloom.operators import graph as G
 from sparkloom.operators import knowledge as K
 from sparkloom.plans.q_search import COSINE, search_queries
-from sparkloom.plans.q_text import _blocked, _redacted
+from sparkloom.plans.q_text import _blocked, _redacted, lit
 from sparkloom.plans.registry import query
 
 
@@ -62,10 +63,37 @@ def _(t):
     return K.chunked(t.memories.select("id", "content")).select("id", "parent_id", "chunk_index", F.length("content").alias("n"))
 
 
-@query("c3_extractive_summary")
+def summary_members(t):
+    """Clusters of ten consecutive records."""
+    return t.memories.where("is_active").select(F.floor(F.col("id") / 10).alias("cluster"), "id", "content", "created_at")
+
+
+#: The same in SQL: running sums of words per list.
+SUMMARY = r""", mem AS (SELECT id // 10 AS cluster, id, content, created_at FROM memories WHERE is_active),
+  sp AS (SELECT cluster, id, created_at, string_split(regexp_replace(content, '[.!?]\n|[.!?]\s', chr(1), 'g'), chr(1)) AS l FROM mem), su AS (SELECT cluster, id, created_at, generate_subscripts(l, 1) AS i, regexp_replace(unnest(l), '^\s+|\s+$', '', 'g') AS s FROM sp),
+  so AS (SELECT cluster, s, min((created_at, id, i)) AS seen, len(regexp_split_to_array(s, '\s+')) AS n, """ + " OR ".join(f"regexp_matches(s, {lit(p)})" for p in N.KEY_FACTS) + r""" AS fact FROM su WHERE length(s) > 10 GROUP BY cluster, s),
+  sr AS (SELECT *, row_number() OVER (PARTITION BY cluster, fact ORDER BY seen) AS p FROM so),
+  tg AS (SELECT cluster, array_to_string(list_sort(list(DISTINCT tag))[1:5], ', ') AS topics FROM mem JOIN memory_tags ON memory_id = id GROUP BY 1),
+  hd AS (SELECT mem.cluster, count(DISTINCT id) AS merged, coalesce(any_value(topics), 'various topics') || ' (' || count(DISTINCT id) || ' sources, ' || CASE WHEN min(created_at) = max(created_at) THEN strftime(min(created_at), '%Y-%m-%d') ELSE strftime(min(created_at), '%Y-%m-%d') || ' to ' || strftime(max(created_at), '%Y-%m-%d') END || ')' AS h FROM mem LEFT JOIN tg ON tg.cluster = mem.cluster GROUP BY 1),
+  pr AS (SELECT cluster, string_agg(s, '. ' ORDER BY p) || '.' AS prose, sum(n) AS pn, true AS has FROM sr WHERE fact AND p <= 3 GROUP BY 1),
+  b0 AS (SELECT hd.*, prose, coalesce(has, false) AS has, coalesce(has AND len(regexp_split_to_array(h, '\s+')) + pn <= 500, false) AS told, len(regexp_split_to_array(h, '\s+')) + CASE WHEN has AND len(regexp_split_to_array(h, '\s+')) + pn <= 500 THEN pn ELSE 0 END AS spent FROM hd LEFT JOIN pr ON pr.cluster = hd.cluster),
+  bl AS (SELECT sr.cluster, s, p, spent + sum(n) OVER (PARTITION BY sr.cluster ORDER BY p) AS c FROM sr JOIN b0 ON b0.cluster = sr.cluster WHERE fact AND p > 3),
+  b1 AS (SELECT b0.*, bl.t, coalesce(bl.c, spent) AS now, EXISTS (SELECT 1 FROM sr WHERE sr.cluster = b0.cluster AND fact AND p > 3) AS many FROM b0 LEFT JOIN (SELECT cluster, string_agg('- ' || s || chr(10), '' ORDER BY p) AS t, max(c) AS c FROM bl WHERE c <= 500 GROUP BY 1) bl ON bl.cluster = b0.cluster),
+  cx AS (SELECT sr.cluster, s, p, now + sum(n) OVER (PARTITION BY sr.cluster ORDER BY p) AS c FROM sr JOIN b1 ON b1.cluster = sr.cluster WHERE NOT fact AND now < 500),
+  sm AS (SELECT b1.cluster, merged, regexp_replace(h || CASE WHEN told THEN chr(10) || chr(10) || prose ELSE '' END || CASE WHEN many THEN chr(10) || chr(10) || coalesce(b1.t, '') ELSE '' END || CASE WHEN has AND y.cluster IS NOT NULL THEN chr(10) ELSE '' END || coalesce(y.t, ''), '\s+$', '') AS summary
+    FROM b1 LEFT JOIN (SELECT cluster, string_agg('- ' || s || chr(10), '' ORDER BY p) FILTER (c <= 500) AS t FROM cx GROUP BY 1) y ON y.cluster = b1.cluster)"""
+
+
+@query("x18_basic_summary", SUMMARY + " SELECT cluster, merged, sha256(summary) AS summary, length(summary) AS chars FROM sm")
+def _(t):
+    made = K.basic_summary(summary_members(t), t.memory_tags)
+    return made.select("cluster", "merged", F.sha2("summary", 256).alias("summary"), F.length("summary").alias("chars"))
+
+
+@query("c3_extractive_summary", SUMMARY + " SELECT cluster, merged, summary FROM sm WHERE merged > 1")
 def _(t):
-    members = t.memories.where("is_active").select(F.concat_ws("/", "namespace", "content_type").alias("cluster"), "id", "content")
-    return K.extractive_summary(members, 100)
+    """What a consolidated record says of its cluster."""
+    return K.basic_summary(summary_members(t), t.memory_tags).where("merged > 1").select("cluster", "merged", "summary")
 
 
 @query("c5_dismissals", """, c AS (SELECT id, id AS memory_a_id, id + 100 AS memory_b_id, created_at FROM memories WHERE id % 3 = 0), j AS (SELECT c.*, a.is_active AS aa, b.is_active AS ab, a.superseded_by AS na, b.superseded_by AS nb FROM c LEFT JOIN memories a ON a.id = memory_a_id LEFT JOIN memories b ON b.id = memory_b_id),

@@ -14,7 +14,7 @@ from sparkloom.operators import lifecycle as L
 from sparkloom.operators import relational as R
 from sparkloom.operators import search as H
 from sparkloom.plans.q_analytics import LINKS, QUALITY
-from sparkloom.plans.q_knowledge import HALL
+from sparkloom.plans.q_knowledge import HALL, summary_members
 from sparkloom.plans.q_relational import PAIRS
 from sparkloom.plans.q_search import LISTS, lists
 from sparkloom.plans.q_text import lit
@@ -220,10 +220,10 @@ def _(t):
 
 @query("x19_summary_problems")
 def _(t):
-    """Extractive summaries of each namespace and content type against their sources."""
-    members = t.memories.where("is_active").select(F.concat_ws("/", "namespace", "content_type").alias("cluster"), "id", "content")
-    made = K.extractive_summary(members, 100)
-    sources = members.where("id % 20 = 0").groupBy("cluster").agg(F.collect_list("content").alias("sources"))
+    """Summaries of clusters of ten consecutive records against all of their sources."""
+    members = summary_members(t)
+    made = K.basic_summary(members, t.memory_tags).where("merged > 1")
+    sources = members.groupBy("cluster").agg(F.sort_array(F.collect_list("content")).alias("sources"))
     return made.join(sources, "cluster").select("cluster", F.array_join(K.summary_problems(F.col("summary"), F.col("sources")), ",").alias("problems"))
 
 
