@@ -96,11 +96,11 @@ def _(t):
     return K.basic_summary(summary_members(t), t.memory_tags).where("merged > 1").select("cluster", "merged", "summary")
 
 
-@query("c5_dismissals", """, c AS (SELECT id, id AS memory_a_id, id + 100 AS memory_b_id, created_at FROM memories WHERE id % 3 = 0), j AS (SELECT c.*, a.is_active AS aa, b.is_active AS ab, a.superseded_by AS na, b.superseded_by AS nb FROM c LEFT JOIN memories a ON a.id = memory_a_id LEFT JOIN memories b ON b.id = memory_b_id),
+@query("c5_dismissals", """, c AS (SELECT id, id AS memory_a_id, id + 100 AS memory_b_id, created_at FROM memories), j AS (SELECT c.*, a.is_active AS aa, b.is_active AS ab, a.superseded_by AS na, b.superseded_by AS nb FROM c LEFT JOIN memories a ON a.id = memory_a_id LEFT JOIN memories b ON b.id = memory_b_id),
   d AS (SELECT id, CASE WHEN aa IS NULL OR ab IS NULL THEN 'missing' WHEN NOT aa OR NOT ab THEN 'archived' WHEN coalesce(na = memory_b_id, false) OR coalesce(nb = memory_a_id, false) THEN 'superseded' WHEN created_at < TIMESTAMP '2024-01-02' THEN 'stale' END AS reason FROM j)
   SELECT id, reason FROM d WHERE reason IS NOT NULL""")
 def _(t):
-    made = t.memories.where("id % 3 = 0").select("id", F.col("id").alias("memory_a_id"), (F.col("id") + 100).alias("memory_b_id"), "created_at", F.lit("pending").alias("status"))
+    made = t.memories.select("id", F.col("id").alias("memory_a_id"), (F.col("id") + 100).alias("memory_b_id"), "created_at", F.lit("pending").alias("status"))
     return K.dismissals(made, t.memories, t.as_of)
 
 

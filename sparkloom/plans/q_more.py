@@ -276,9 +276,9 @@ def _(t):
 
 
 
-@query("p5_merged", "SELECT id, CASE WHEN id % 2 = 0 THEN left(content, 50) ELSE left(content, 50) || chr(10) || chr(10) || 'more of it' END AS content FROM memories WHERE NOT contains(left(content, 50), 'more of it')")
+@query("p5_merged", "SELECT id, CASE WHEN id % 2 = 0 THEN content ELSE content || chr(10) || chr(10) || 'more of it' END AS content FROM memories WHERE NOT contains(content, 'more of it')")
 def _(t):
-    old = F.substring("content", 1, 50)
+    old = F.col("content")
     new = F.when(F.col("id") % 2 == 0, F.substring("content", 1, 5)).otherwise("more of it")
     return t.memories.where(~F.contains(old, F.lit("more of it"))).select("id", K.merged_content(old, new).alias("content"))
 

@@ -124,10 +124,10 @@ def _(t):
     return R.co_occurrence(t.memory_entities)
 
 
-@query("j5_pairs_without_edge", PAIRS + """ SELECT * FROM pr WHERE shared >= 2 AND NOT EXISTS (SELECT 1 FROM (SELECT memory_ids[1] AS s, memory_ids[2] AS t FROM co_retrievals WHERE len(memory_ids) > 1 AND query_id % 3 = 0) e
+@query("j5_pairs_without_edge", PAIRS + """ SELECT * FROM pr WHERE shared >= 2 AND NOT EXISTS (SELECT 1 FROM (SELECT memory_ids[1] AS s, memory_ids[2] AS t FROM co_retrievals WHERE len(memory_ids) > 1) e
   WHERE (e.s = a AND e.t = b) OR (e.s = b AND e.t = a))""")
 def _(t):
-    edges = t.co_retrievals.where("size(memory_ids) > 1 AND query_id % 3 = 0").select(F.get("memory_ids", F.lit(1)).alias("source"), F.get("memory_ids", F.lit(0)).alias("target"))
+    edges = t.co_retrievals.where("size(memory_ids) > 1").select(F.get("memory_ids", F.lit(1)).alias("source"), F.get("memory_ids", F.lit(0)).alias("target"))
     return R.without_edges(R.co_occurrence(t.memory_entities), edges)
 
 
@@ -156,12 +156,13 @@ def _(t):
     return t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("source_name"), F.col("r_name").alias("target_name"))
 
 
-@query("j11_temporal_neighbours", """, e AS (SELECT event_id AS id, ts AS created_at FROM events WHERE event_id % 50 = 0), n AS (SELECT a.id AS target_id, b.id, abs(epoch_us(a.created_at) - epoch_us(b.created_at)) AS gap FROM e a JOIN e b ON a.id <> b.id
-  AND abs(epoch_us(a.created_at) - epoch_us(b.created_at)) <= 10800000000)
+@query("j11_temporal_neighbours", """, e AS (SELECT event_id AS id, ts AS created_at FROM events), n AS (SELECT a.id AS target_id, b.id, abs(epoch_us(a.created_at) - epoch_us(b.created_at)) AS gap FROM e a JOIN e b ON a.id % 20 = 0 AND a.id <> b.id
+  AND abs(epoch_us(a.created_at) - epoch_us(b.created_at)) <= 3600000000)
   SELECT target_id, id, CAST(rank AS INTEGER) AS rank, gap / 1e6 AS seconds FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY gap, id) AS rank FROM n) WHERE rank <= 5""")
 def _(t):
-    events = t.events.where("event_id % 50 = 0").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("created_at"), F.lit(True).alias("is_active"))
-    return R.temporal_neighbours(events, events, hours=3)
+    """Events with an id divisible by 20, and all events within an hour of them."""
+    events = t.events.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("created_at"), F.lit(True).alias("is_active"))
+    return R.temporal_neighbours(events.where("id % 20 = 0"), events)
 
 
 @query("j12_preceding_week", """SELECT theme_id, id, CAST(rank AS INTEGER) AS rank FROM (SELECT t.id AS theme_id, e.id, row_number() OVER (PARTITION BY t.id ORDER BY e.importance DESC, e.id) AS rank FROM memories t JOIN memories e
@@ -193,10 +194,10 @@ def _(t):
     return R.two_hops(start, t.relationships)
 
 
-@query("j22_linked", """, s AS (SELECT id FROM memories WHERE id < 10), b AS (SELECT target_id AS id, strength, link_type FROM memory_links WHERE source_id IN (SELECT id FROM s) UNION ALL
+@query("j22_linked", """, s AS (SELECT id FROM memories WHERE id % 20 = 0), b AS (SELECT target_id AS id, strength, link_type FROM memory_links WHERE source_id IN (SELECT id FROM s) UNION ALL
   SELECT source_id, strength, link_type FROM memory_links WHERE target_id IN (SELECT id FROM s)) SELECT DISTINCT ON (id) id, strength, link_type FROM b WHERE id NOT IN (SELECT id FROM s) ORDER BY id, strength DESC, link_type DESC""")
 def _(t):
-    return R.linked(t.memories.where("id < 10"), t.memory_links)
+    return R.linked(t.memories.where("id % 20 = 0"), t.memory_links)
 
 
 @query("j23_theta_filter", "SELECT m.id, e.name FROM entities e JOIN memory_entities ON entity_id = e.id JOIN memories m ON m.id = memory_id AND is_active WHERE e.name ILIKE '%ring%'")
@@ -227,9 +228,9 @@ def _(t):
     return link_counts(t.memory_links)
 
 
-@query("u2_linked_ids", "SELECT target_id AS id FROM memory_links WHERE source_id < 10 AND target_id >= 10 UNION SELECT source_id FROM memory_links WHERE target_id < 10 AND source_id >= 10")
+@query("u2_linked_ids", ", s AS (SELECT id FROM memories WHERE id % 20 = 0) SELECT target_id AS id FROM memory_links WHERE source_id IN (SELECT id FROM s) AND target_id NOT IN (SELECT id FROM s) UNION SELECT source_id FROM memory_links WHERE target_id IN (SELECT id FROM s) AND source_id NOT IN (SELECT id FROM s)")
 def _(t):
-    return R.linked(t.memories.where("id < 10"), t.memory_links).select("id")
+    return R.linked(t.memories.where("id % 20 = 0"), t.memory_links).select("id")
 
 
 @query("u4_candidate_pool", "(SELECT id FROM memories WHERE content ILIKE '%tion%' AND is_active) UNION (SELECT id FROM memories WHERE is_active ORDER BY created_at DESC, id LIMIT 100)")
