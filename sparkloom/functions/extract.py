@@ -89,6 +89,11 @@ def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(ascii_bounds(pattern)), F.lit(group))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once: a lambda that names it again would work it out for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _is_technology(name: Column) -> Column:
     # Cased names count wherever they stand as a word of their own.
     return F.lower(name).isin(*TECHNOLOGIES) | (F.lower(name).isin(*[c.lower() for c in CASED]) & name.isin(*CASED))
@@ -99,8 +104,12 @@ def _technologies(text: Column) -> Column:
     inner = "react native"
     found = F.concat(_all(text, rf"(?i)\b({_escaped([t for t in TECHNOLOGIES if t != inner])})\b"), _all(text, rf"(?i)\b({inner})\b"))
     shown = F.create_map(*[F.lit(x) for p in DISPLAY.items() for x in p])
-    listed = F.filter(_list(TECHNOLOGIES), lambda t: F.exists(found, lambda m: F.lower(m) == t))
-    names = F.transform(listed, lambda t: F.coalesce(shown[t], F.get(F.filter(found, lambda m: F.lower(m) == t), F.lit(0))))
+
+    def named(found: Column) -> Column:
+        listed = F.filter(_list(TECHNOLOGIES), lambda t: F.exists(found, lambda m: F.lower(m) == t))
+        return F.transform(listed, lambda t: F.coalesce(shown[t], F.get(F.filter(found, lambda m: F.lower(m) == t), F.lit(0))))
+
+    names = _let(found, named)
     cased = F.array_intersect(_list(CASED), _all(text, rf"\b({_escaped(CASED)})\b"))
     return F.concat(names, cased)
 

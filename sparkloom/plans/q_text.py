@@ -74,14 +74,26 @@ def _(t):
     return a.join(b, "r").select("a", "b", F.round(X.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
-@query("x10_entities")
+#: Phrases with names of each kind, put before the texts, which hold none.
+NAMED = (
+    "The team met Grace Hopper and shipped Falcon on PostgreSQL. ", "Initech Corp and Google met about it. ", "A knowledge graph helps few-shot prompts. ", "TypeScript uses React for rendering. ",
+)
+
+
+def named_texts(t):
+    phrase = F.element_at(F.array(*[F.lit(p) for p in NAMED]), (F.col("id") % len(NAMED) + 1).cast("int"))
+    return t.memories.select("id", F.concat(phrase, F.coalesce("content", F.lit(""))).alias("content"))
+
+
+@query("x10_entities", """ SELECT id, name, type, confidence::DOUBLE AS confidence FROM memories JOIN (VALUES (0, 'PostgreSQL', 'technology', 0.9), (0, 'Grace Hopper', 'concept', 0.75), (0, 'Falcon', 'concept', 0.65),
+  (1, 'Initech Corp', 'organization', 0.85), (1, 'Google', 'organization', 0.85), (2, 'knowledge graph', 'concept', 0.8), (2, 'few-shot', 'concept', 0.8), (3, 'TypeScript', 'technology', 0.9), (3, 'React', 'technology', 0.9)) v(k, name, type, confidence) ON id % 4 = k""")
 def _(t):
-    return t.memories.select("id", F.inline(N.extract_entities(F.col("content"))))
+    return named_texts(t).select("id", F.inline(N.extract_entities(F.col("content"))))
 
 
-@query("x11_relations")
+@query("x11_relations", " SELECT id, 'TypeScript' AS source, 'React' AS target, 'uses' AS relationship, 0.7::DOUBLE AS confidence, 'rendering' AS context FROM memories WHERE id % 4 = 3")
 def _(t):
-    found = t.memories.select("id", "content", N.extract_entities(F.col("content")).alias("entities")).where("size(entities) >= 2")
+    found = named_texts(t).select("id", "content", N.extract_entities(F.col("content")).alias("entities")).where("size(entities) >= 2")
     return found.select("id", F.inline(N.extract_relations(F.col("content"), F.col("entities"))))
 
 
