@@ -233,7 +233,15 @@ def _(t):
     return E.adaptive_thresholds(history)
 
 
-@query("e5_self_retrieval")
+#: Words of a record as a query for it: from its first telling line, else its tags, else its beginning.
+SELF_QUERIES = r""", tl AS (SELECT memory_id, list_sort(list(tag)) AS tags FROM memory_tags GROUP BY 1), sp AS (SELECT id, content, tags, trim(list_filter(string_split(content, chr(10)), lambda x: length(trim(x)) > 20 AND NOT regexp_matches(trim(x), '^[#*-]'))[1]) AS l FROM memories LEFT JOIN tl ON memory_id = id WHERE is_active AND id % 20 = 0),
+  sw AS (SELECT *, regexp_split_to_array(l, '\s+') AS w FROM sp), q AS (SELECT id AS query_id, CASE WHEN l IS NOT NULL AND len(w) > 6 THEN array_to_string(w[CAST(floor(len(w) / 4) AS INTEGER) + 1:CAST(floor(len(w) / 4) AS INTEGER) + 5], ' ')
+  WHEN l IS NOT NULL THEN left(l, 60) WHEN len(tags) > 0 THEN array_to_string(tags[1:3], ' ') ELSE trim(left(content, 40)) END AS query FROM sw)"""
+
+
+@query("e5_self_retrieval", QUALITY + SELF_QUERIES + ",\nqt AS" + FTS.split(",\nqt AS", 1)[1] + """, rl AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fts), f AS (SELECT query_id, min(rank) AS r FROM rl WHERE id = query_id AND rank <= 10 GROUP BY 1),
+  a AS (SELECT q.query_id, r FROM q LEFT JOIN f USING (query_id)) SELECT count(*) AS queries, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0 END), 6) AS hit_at_1, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0 END), 6) AS hit_at_5, round(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0 END), 6) AS hit_at_10,
+  round(avg(coalesce(1 / r, 0)), 6) AS mrr FROM a""")
 def _(t):
     """Ranks of the active records whose id is divisible by 20, by words of their own in the full text."""
     tags = t.memory_tags.groupBy(F.col("memory_id").alias("id")).agg(F.sort_array(F.collect_set("tag")).alias("tags"))
