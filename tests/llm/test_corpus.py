@@ -251,3 +251,27 @@ def test_mixing_sizes_and_targets(spark, monkeypatch, broadcast):
         taken[r.source] += r.taken
     for s in order:
         assert abs(taken[s] - target[s]) <= max(310, 0.02 * target[s]), s
+
+
+@pytest.mark.parametrize("split", [0, 400])
+def test_close_pairs_of_a_block(split):
+    rng = np.random.default_rng(0)
+    n = 700
+    side = (np.arange(n) >= split).astype(int) if split else np.zeros(n, int)
+    label, size = rng.integers(0, 5, n), rng.integers(90, 110, n)
+    parity = rng.integers(0, 2**63, (20, order_minhash.PARITY_WORDS)).astype(np.uint64)[rng.integers(0, 20, n)]
+    for _ in range(6):
+        parity[np.arange(n), rng.integers(0, order_minhash.PARITY_WORDS, n)] ^= np.uint64(1) << rng.integers(0, 63, n).astype(np.uint64)
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if split else (np.arange(n), np.arange(n))
+    apart = {(a, b): int(np.bitwise_count(parity[a] ^ parity[b]).sum()) for a in left.tolist() for b in right.tolist() if (a < b or split) and label[a] != label[b]}
+    want = {p: d for p, d in apart.items() if d <= (size[p[0]] + size[p[1]]) * 0.2 / 1.8 + 1e-6}
+    assert len(want) > 3000
+    for most in (3, 10**6):
+        i, j, cut = order_minhash._close_pairs(side, label, size, parity, most)
+        got = set(zip(i.tolist(), j.tolist(), strict=True))
+        assert got <= set(want) and cut == (len(got) < len(want)) and (most == 3 or not cut)
+        for end in (0, 1):  # the closest pair of each row is there
+            nearest = {}
+            for p, d in want.items():
+                nearest[p[end]] = min(d, nearest.get(p[end], d))
+            assert all(min(want[p] for p in got if p[end] == k) == d for k, d in nearest.items())
