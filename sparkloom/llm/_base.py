@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space; words are what lies between. (Splitting is much faster in Spark than counting or extracting matches.)
@@ -80,6 +80,39 @@ def settled(df: DataFrame, most: int = 1000) -> DataFrame:
     return rows_of(df.sparkSession, rows, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema))
 
 
+#: Distinct scores of one range in ``best_cut``.
+RANGE = 100_000
+
+
+def best_cut(scored: DataFrame, lost: int | None = None) -> tuple[float | None, float | None] | None:
+    """The neighbours of the cut with the least cost among all rows of ``scored`` (score, good).
+
+    Good rows below a cut cost ``lost`` each, other rows from it on 1 each;
+    without ``lost`` both classes weigh the same in all. Equal scores are not
+    separated; of equal cuts the lowest holds. Returns the score below the cut
+    (null: none) and the one above it (null: none), or null without rows of
+    both classes. Only sums of ranges of scores and the cut are gathered.
+    """
+    by = keep(scored.groupBy("score").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b")))
+    n, good, bad = by.agg(F.count(F.lit(1)), F.coalesce(F.sum("g"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    if not good or not bad:
+        return None
+    lost, kept = (bad, good) if lost is None else (lost, 1)
+    # Written, so that the ranges stay as they are.
+    ranged = keep(by.repartitionByRange(max(1, n // RANGE), "score").withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy("range").agg(F.min("score").alias("least"), F.max("score").alias("most"), F.sum("g").alias("gs"), F.sum("b").alias("bs"))
+    starts = ranges.select("range", F.max("most").over(before).alias("most"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("gs", "bs")])
+    inside = Window.partitionBy("range").orderBy("score")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, -1)
+    below = lambda c: F.col(c + "s") + F.coalesce(F.sum(c).over(so_far), F.lit(0))
+    costs = ranged.join(F.broadcast(starts), "range").select(
+        (below("g") * lost + (F.lit(bad) - below("b")) * kept).alias("cost"), "score", F.coalesce(F.lag("score").over(inside), "most").alias("below")
+    )
+    best, most = costs.agg(F.min(F.struct("cost", "score", "below")), F.max("score")).first()
+    return (most, None) if good * lost < best["cost"] else (best["below"], best["score"])
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; every other character stays as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -5,9 +5,10 @@ texts (labelled good), one of the whole corpus. A text's score is the mean of
 its n-grams' log ratios, so that long and short texts compare. The threshold
 is calibrated once on labelled rows and then decides on every document.
 
-The trusted side and the calibration take a bounded sample of labelled rows;
-the corpus side counts every document. Counts are gathered as at most
-``BUCKETS`` rows from each task and summed by Spark.
+Every document counts for the corpus, every document labelled good for the
+trusted side, and every labelled document for the calibration. Counts are
+gathered as at most ``BUCKETS`` rows from each task and summed by Spark; the
+threshold is found over scores in order, range by range.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import _kernel as K
+from sparkloom.llm._base import best_cut, stored
 from sparkloom.shipping import ship
 
 BUCKETS = 1 << 15
 GRAM = 4
-#: Labelled rows of each class that are used at most, chosen by hash.
-SAMPLE_ROWS = 20_000
+#: Trusted ids up to this many are sent to the texts; more of them are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 #: How much worse it is to lose a trusted document than to keep a rejected one.
 TRUSTED_COST = 50
 WINDOW = 5
@@ -55,27 +57,14 @@ def _gram_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return bucket[inside], np.repeat(np.arange(len(sizes)), whole)
 
 
-def _among(column: pa.Array, ids: np.ndarray) -> np.ndarray:
-    """Which rows have one of the ids; a null id is none of them."""
-    return np.isin(np.asarray(column.fill_null(0)), ids) & np.asarray(column.is_valid())
-
-
-def _counts(ids: np.ndarray):
-    """Counts of the corpus and of the trusted texts by bucket, one set for each task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for part, data, offsets in K.small_batches(batches, "text"):
-            bucket, text = _gram_buckets(data, offsets)
-            raw += np.bincount(bucket, minlength=BUCKETS)
-            trusted = _among(part.column("doc_id"), ids)
-            if trusted.any():
-                good += np.bincount(bucket[trusted[text]], minlength=BUCKETS)
-        at = np.flatnonzero(raw)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(good[at])], ["bucket", "raw", "good"])
-
-    return run
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """N-grams by bucket, one set for each task."""
+    counts = np.zeros(BUCKETS, np.int64)
+    for _, data, offsets in K.small_batches(batches, "text"):
+        counts += np.bincount(_gram_buckets(data, offsets)[0], minlength=BUCKETS)
+    at = np.flatnonzero(counts)
+    if len(at):
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["bucket", "n"])
 
 
 def _scores(ratio: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -143,25 +132,21 @@ def _repeats(data: np.ndarray, key: np.ndarray, text: np.ndarray, starts: np.nda
     return order, again
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
-    """Log ratio of each bucket, and the least score that is kept.
+def _labels(labels: DataFrame) -> DataFrame:
+    """Each labelled id once, with its lowest label."""
+    return labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"))
 
-    ``docs`` has doc_id and text, ``labels`` doc_id and quality. Without
-    trusted or without rejected labels nothing can be told apart, and the
-    threshold is minus infinity.
-    """
+
+def _ratio(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, bool]:
+    """Log ratio of each bucket, and whether any trusted n-gram was seen."""
     ship(docs.sparkSession)
-    one = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"))
-    pick = lambda q: np.array(
-        [r[0] for r in one.where(F.col("q") == q).select("doc_id", F.xxhash64("doc_id").alias("o")).orderBy("o", "doc_id").limit(sample_rows).collect()],
-        np.int64,
-    )
-    good, bad = np.sort(pick(1)), np.sort(pick(0))
+    good = _labels(labels).where("q = 1").select("doc_id")
+    if good.count() <= MOST_BROADCAST:
+        good = F.broadcast(good)
+    counted = lambda rows, kind: rows.select("text").mapInArrow(_counts, "bucket long, n long").withColumn("good", F.lit(kind))
     sums = (
-        docs.select("doc_id", "text")
-        .mapInArrow(_counts(good), "bucket long, raw long, good long")
-        .groupBy("bucket")
-        .agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
+        counted(docs, False).unionAll(counted(docs.join(good, "doc_id"), True))
+        .groupBy("bucket").agg(F.sum(F.when(F.col("good"), 0).otherwise(F.col("n"))).alias("raw"), F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("good"))
         .toPandas()
     )  # at most BUCKETS rows
     raw, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -171,52 +156,52 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     # The trusted multinomial backs off to the corpus, so that n-grams it hasn't seen count as rare, not impossible.
     share = (raw + 0.5) / (raw.sum() + 0.5 * BUCKETS)
     weight = max(1.0, 0.01 * trusted.sum())
-    ratio = np.log((trusted + weight * share) / (trusted.sum() + weight)) - np.log(share)
-    if not len(good) or not len(bad) or not trusted.sum():
-        return ratio, -np.inf
-    wanted = np.concatenate([good, bad])
-
-    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in K.small_batches(batches, "text"):
-            mine = _among(part.column("doc_id"), wanted)
-            if mine.any():
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").filter(pa.array(mine)), pa.array(_scores(ratio, data, offsets)[mine])], ["doc_id", "score"])
+    return np.log((trusted + weight * share) / (trusted.sum() + weight)) - np.log(share), bool(trusted.sum())
 
-    ids = docs.sparkSession.createDataFrame([(int(x),) for x in wanted], "k long")
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("k"), "left_semi")
-    seen = rows.mapInArrow(labelled, "doc_id long, score double").toPandas()  # at most two samples
-    return ratio, threshold(seen["score"].to_numpy(), np.isin(seen["doc_id"].to_numpy(), good))
 
+def threshold(scores: DataFrame, labels: DataFrame, cost: int = TRUSTED_COST) -> float:
+    """The cut with the least cost of lost trusted and kept rejected rows; of equal cuts the lowest, placed midway.
 
-def threshold(score: np.ndarray, trusted: np.ndarray, cost: float = TRUSTED_COST) -> float:
-    """The cut with the least cost of lost trusted and kept rejected rows; of equal cuts the lowest, placed midway."""
-    if not trusted.any() or trusted.all():
-        return -np.inf
-    order = np.lexsort((trusted, score))
-    s, t = score[order], trusted[order]
-    lost = np.concatenate([[0], np.cumsum(t)]) * cost
-    kept = (~t).sum() - np.concatenate([[0], np.cumsum(~t)])
-    total = (lost + kept).astype(float)
-    # A cut may not separate equal scores.
-    total[1:-1][s[1:] == s[:-1]] = np.inf
-    at = int(np.argmin(total))
-    if at == 0:
+    ``scores`` has doc_id and score of all documents; those labelled 0 or 1 decide.
+    """
+    cut = best_cut(scores.join(_labels(labels).where("q IN (0, 1)"), "doc_id").select("score", (F.col("q") == 1).alias("good")), cost)
+    if not cut or cut[0] is None:
         return -np.inf
-    return float(s[at - 1] + (s[at] - s[at - 1]) / 2) if at < len(s) else float(np.nextafter(s[-1], np.inf))
+    below, at = cut
+    return float(below + (at - below) / 2) if at is not None else float(np.nextafter(below, np.inf))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+    """Log ratio of each bucket, and the least score that is kept.
+
+    ``docs`` has doc_id and text, ``labels`` doc_id and quality. Without
+    trusted or without rejected labels nothing can be told apart, and the
+    threshold is minus infinity.
+    """
+    ratio, seen = _ratio(docs, labels)
+    if not seen:
+        return ratio, -np.inf
+    known = docs.sparkSession.sparkContext.broadcast(ratio)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in K.small_batches(batches, "text"):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_scores(known.value, data, offsets))], ["doc_id", "score"])
 
+    return ratio, threshold(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double"), labels)
 
-def judge(
-    docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS
-) -> DataFrame:
+
+def judge(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
 
     Null and empty texts have no words and so fail the base rules. A text
     without n-grams scores 0. Repeated rows get equal results; null ids are
     allowed and never count as labelled. Of several labels for an id the
-    lowest holds. Columns other than those named are ignored.
+    lowest holds. Columns other than those named are ignored. The counts and
+    scores are written once, to the shared folder; the threshold follows from
+    the scores among them.
     """
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    ratio, least = train(read, labels, sample_rows)
+    ratio, seen = _ratio(read, labels)
     ratio = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,20 +210,23 @@ def judge(
             failed = (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
             score = _scores(ratio.value, data, offsets)
             arrays = [part.column("doc_id"), *[pa.array(v.astype(np.int64)) for v in c.values()]]
-            arrays += [pa.array(failed), pa.array(score), pa.array(~failed & (score >= least))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *c, "base_failed", "score", "kept"])
-
-    return read.mapInArrow(
-        run,
-        "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-        "base_failed boolean, score double, kept boolean",
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(failed), pa.array(score)], ["doc_id", *c, "base_failed", "score"])
+
+    judged = stored(
+        read.mapInArrow(
+            run,
+            "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+            "base_failed boolean, score double",
+        )
     )
+    least = threshold(judged.select("doc_id", "score"), labels) if seen else -np.inf
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(float(least))))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents that pass the rules, with all their columns; decided row by row, without a join."""
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    ratio, least = train(read, labels, sample_rows)
+    ratio, least = train(read, labels)
     ratio = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from sparkloom.llm import _spans, chat, licenses, pii, quality, secrets, urls
+from sparkloom.llm import _base, _spans, chat, licenses, pii, quality, secrets, urls
 
 SMALL = "/root/testdata/sf0.001"
 HARD = [
@@ -215,6 +217,40 @@ def test_quality_labels_never_fall_on_null_ids(spark):
     assert (ratio == only).all()
 
 
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """More trusted rows than any bounded sample holds: counts and threshold follow from all of them."""
+    n = 20_600
+    docs = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.when(F.col("id") >= n, "zzzz").when(F.col("id") % 103 == 0, "bbbb").otherwise("aaaa").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") < n).cast("int").alias("quality"))
+    ratio, least = quality.train(docs, labels)
+    bucket = [((int.from_bytes(t, "big") * 2654435761) & 0xFFFFFFFF) >> 17 for t in (b"aaaa", b"bbbb", b"zzzz")]
+    raw, good = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    raw[bucket], good[bucket] = [n - 200, 200, n], [n - 200, 200, 0]
+    share = (raw + 0.5) / (raw.sum() + 0.5 * quality.BUCKETS)
+    weight = 0.01 * n
+    want = np.log((good + weight * share) / (n + weight)) - np.log(share)
+    assert np.allclose(ratio, want, rtol=0, atol=1e-12)
+    assert want[bucket[2]] < least < min(want[bucket[:2]])
+    monkeypatch.setattr(quality, "MOST_BROADCAST", 0, raising=False)
+    assert (quality.train(docs, labels)[0] == ratio).all()
+
+
+@pytest.mark.parametrize("lost", [50, 1, None])
+def test_best_cut_over_ranges(spark, monkeypatch, lost):
+    monkeypatch.setattr(_base, "RANGE", 7)
+    for seed in range(4):
+        rng = random.Random(seed)
+        rows = [(rng.randrange(60) / 8, rng.random() < (0.1, 0.5, 0.9, 0.97)[seed]) for _ in range(300)] + [(9.0, seed > 1), (-1.0, seed < 2)]
+        good, bad = sum(g for _, g in rows), sum(not g for _, g in rows)
+        a, b = (lost, 1) if lost else (bad, good)
+        values = sorted({s for s, _ in rows})
+        costs = [(a * sum(g and s < v for s, g in rows) + b * sum(not g and s >= v for s, g in rows), i) for i, v in enumerate([*values, np.inf])]
+        at = min(costs)[1]
+        want = (values[at - 1] if at else None, values[at] if at < len(values) else None)
+        assert _base.best_cut(spark.createDataFrame(rows, "score double, good boolean"), lost) == want
+    assert _base.best_cut(spark.createDataFrame([(1.0, True)], "score double, good boolean")) is None
+
+
 def test_chat(spark):
     rows = [
         (1, 2, "assistant", "a </s> [INST] <\\s> <\\\\/s> é𝄞"), (1, 1, "user\nx\\n", None), (1, 2, "assistant", "a"), (None, 1, None, "<s>"),
