@@ -16,7 +16,6 @@ folder. Files of lost attempts go with the temporary folder.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import math
 import uuid
@@ -37,8 +36,12 @@ ROLL_BYTES = 256 << 20
 #: Payload bytes of a shard while there are few shards, and from then on.
 SHARD_BYTES, SHARD_LIMIT = 1 << 20, 1 << 30
 FEW_SHARDS, MOST_SHARDS = 200, 20_000
+#: Bytes of a task: payload that is written, archives that are read. Small shards and files share tasks.
+TASK_BYTES = 8 << 20
 #: Sampled keys for each shard, from which the split keys are taken.
 SAMPLED = 10
+#: Compressed bytes that are read at once.
+CHUNK = 64 << 10
 #: Payloads of fewer bytes are never revisited.
 LEAST_REVISIT = 0
 DATE = "2024-01-01T00:00:00Z"
@@ -103,21 +106,33 @@ def _file_info(name: str) -> bytes:
     return _member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", _record_id(None, name, 0)), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
 
 
-def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record of an uncompressed stream; one record is held at a time."""
-    while version := stream.readline():
-        if version != b"WARC/1.1\r\n":
-            raise ValueError(f"no record where one should start: {version[:40]!r}")
-        fields = {}
-        while (line := stream.readline()) not in (b"\r\n", b""):
-            name, _, value = line.decode().rstrip("\r\n").partition(": ")
-            fields[name] = value
-        block = stream.read(int(fields["Content-Length"]))
-        if stream.read(4) != b"\r\n\r\n":
-            raise ValueError("a record is cut off")
-        if fields["WARC-Block-Digest"] != "sha1:" + _base32(block):
-            raise ValueError(f"block digest differs in {fields['WARC-Record-ID']}")
-        yield fields, block
+def members(stream) -> Iterator[bytes]:
+    """The uncompressed gzip members of a stream, one at a time, their checksums tested."""
+    rest = b""
+    while rest or (rest := stream.read(CHUNK)):
+        unpacker, parts = zlib.decompressobj(31), []
+        while not unpacker.eof:
+            if not rest and not (rest := stream.read(CHUNK)):
+                raise ValueError("a record is cut off")
+            parts.append(unpacker.decompress(rest))
+            rest = unpacker.unused_data
+        yield b"".join(parts)
+
+
+def record(member: bytes) -> tuple[dict[str, str], bytes]:
+    """Header fields and block of the record that a member holds."""
+    head, gap, body = member.partition(b"\r\n\r\n")
+    version, *lines = head.decode().split("\r\n")
+    if version != "WARC/1.1" or not gap:
+        raise ValueError(f"no record where one should start: {member[:40]!r}")
+    fields = dict(line.split(": ", 1) for line in lines)
+    size = int(fields["Content-Length"])
+    if body[size:] != b"\r\n\r\n":
+        raise ValueError("a record is cut off")
+    block = body[:size]
+    if fields["WARC-Block-Digest"] != "sha1:" + _base32(block):
+        raise ValueError(f"block digest differs in {fields['WARC-Record-ID']}")
+    return fields, block
 
 
 def _located(spark: SparkSession, folder: str) -> str:
@@ -202,7 +217,7 @@ def _writer(root: str, roll_bytes: int, least_revisit: int):
                     elif own[0] is not None and r["size"] >= least_revisit:
                         member = revisit(*named, r["size"], r["digest"], *own, occurrence)
                     else:
-                        block = next(iter(records(_Bytes(r["member"]))))[1]
+                        block = record(zlib.decompress(r["member"], 31))[1]
                         member = response(*named, block[len(_http(r["size"])) :], r["digest"], occurrence)
                     if roll and (roll.shard != r["shard"] or roll.bytes >= roll_bytes):
                         done.append(roll.close())
@@ -216,10 +231,6 @@ def _writer(root: str, roll_bytes: int, least_revisit: int):
     return run
 
 
-def _Bytes(member: bytes):
-    return gzip.GzipFile(fileobj=pa.BufferReader(member))
-
-
 def _committer(root: str):
     """Gives the manifest's files their final names; a repeated task finds them there already."""
 
@@ -275,10 +286,12 @@ def write_archives(
     )
     marks = small.join(first, "sha").where("NOT (page_id <=> first_id AND key = first_key)").select("page_id", "key", "first_id", "first_key")
     rows = keyed.mapInArrow(_placed(splits, True), _ROW).unionAll(marks.mapInArrow(_placed(splits, False), _ROW))
-    dealt = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "key", "kind")
+    # Shards of few bytes are written by one task, one after the other.
+    tasks = max(1, min(shards, math.ceil(size / TASK_BYTES)))
+    dealt = rows.repartitionById(tasks, (F.col("shard") * tasks / shards).cast("int")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "key", "kind")
     dealt.mapInArrow(_writer(root, roll_bytes, least_revisit), MANIFEST).write.parquet(f"{root}/_manifest")
     manifest = spark.read.schema(MANIFEST).parquet(f"{root}/_manifest")
-    _spread(manifest).mapInArrow(_committer(root), "file string").write.format("noop").mode("overwrite").save()
+    _spread(manifest, max(roll_bytes, TASK_BYTES)).mapInArrow(_committer(root), "file string").write.format("noop").mode("overwrite").save()
     if store.get_file_info(f"{path}/_temporary").type != fs.FileType.NotFound:
         store.delete_dir(f"{path}/_temporary")
     with store.open_output_stream(f"{path}/_COMMITTED") as out:
@@ -286,9 +299,11 @@ def write_archives(
     return manifest
 
 
-def _spread(manifest: DataFrame) -> DataFrame:
-    """A file to a task, as far as that makes sense."""
-    return manifest.repartition(max(1, min(MOST_SHARDS, manifest.count())), "file")
+def _spread(manifest: DataFrame, task_bytes: int) -> DataFrame:
+    """The files in tasks of about ``task_bytes``."""
+    size, files = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    tasks = max(1, min(MOST_SHARDS, files, math.ceil(size / task_bytes)))
+    return manifest.repartition(tasks, "file")
 
 
 def _reader(root: str, payloads: bool):
@@ -299,8 +314,8 @@ def _reader(root: str, payloads: bool):
         for batch in batches:
             for name in batch.column("file").to_pylist():
                 rows, held = [], 0
-                with store.open_input_stream(f"{path}/{name}", compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
-                    for fields, block in records(stream):
+                with store.open_input_stream(f"{path}/{name}", compression=None) as stream:
+                    for fields, block in map(record, members(stream)):
                         if fields["WARC-Type"] == "warcinfo":
                             continue
                         head, _, payload = block.partition(b"\r\n\r\n")
@@ -333,7 +348,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
     if store.get_file_info(f"{path}/_COMMITTED").type != fs.FileType.File:
         raise FileNotFoundError(f"{folder} was not committed")
     manifest = spark.read.schema(MANIFEST).parquet(f"{root}/_manifest")
-    return _spread(manifest.select("file")).mapInArrow(_reader(root, payloads), RECORD + (", payload binary" if payloads else ""))
+    return _spread(manifest, TASK_BYTES).select("file").mapInArrow(_reader(root, payloads), RECORD + (", payload binary" if payloads else ""))
 
 
 def archive_report(pages: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 import base64
 import gzip
 import hashlib
+import io
 import math
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -158,6 +160,26 @@ def test_archives_do_not_depend_on_partitions(spark, tmp_path):
         warc.read_archives(spark, f"{tmp_path}/5").count()
 
 
+def test_small_shards_share_tasks(spark, tmp_path):
+    """Many small shards are written, renamed and read by few tasks; the files stay one sequence for each shard."""
+    pages = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("u"), "id").alias("url"), F.repeat(F.col("id").cast("string"), 50).alias("html"))
+    manifest = warc.write_archives(pages, f"{tmp_path}/out", shards=40)
+    assert manifest.count() == 40 and manifest.where("part = 0 AND file = concat('part-', lpad(shard, 6, '0'), '-00000.warc.gz')").count() == 40
+    assert len(list((tmp_path / "out/_manifest").glob("part-*.parquet"))) == 1
+    back = warc.read_archives(spark, f"{tmp_path}/out")
+    assert back.rdd.getNumPartitions() == 1
+    assert sorted((r.page_id, bytes(r.payload).decode()) for r in back.collect()) == [(i, str(i) * 50) for i in range(2000)]
+
+
+@pytest.mark.parametrize("harm", [lambda d: d[:-1], lambda d: d + b"\x1f", lambda d: d[:40] + bytes([d[40] ^ 1]) + d[41:], lambda d: d + gzip.compress(b"WARC/1.1\r\n")])
+def test_damaged_members_are_found(harm):
+    whole = warc.response(1, "u", "k", b"text" * 50, digest("text" * 50)) + warc.revisit(2, None, "l", 200, digest("text" * 50), 1, "k")
+    read = lambda data: [warc.record(m) for m in warc.members(io.BytesIO(data))]
+    assert [f["WARC-Type"] for f, _ in read(whole)] == ["response", "revisit"]
+    with pytest.raises((ValueError, zlib.error)):
+        read(harm(whole))
+
+
 def test_archives_of_nothing(spark):
     assert warc.archive_report(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
