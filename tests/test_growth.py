@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.operators import graph as G
 from sparkloom.operators import search as R
+from sparkloom.operators.shared import shared_graph
 
 
 @pytest.fixture
@@ -39,3 +41,28 @@ def test_many_queries_move_their_best_documents_not_all_pairs(spark, moved):
     assert len(got) == len(want) > 120 * 200
     # All pairs of a query and a document share a word: 120 x 588.
     assert rows < 120 * 588
+
+
+def test_graph_of_shared_items_moves_lists_not_pairs(spark, moved):
+    rng = random.Random(2)
+    rows = [(f"i{i}", n) for i in range(60) for n in rng.sample(range(-20, 180), rng.randint(1, 60))] + [("same", 5), ("same", 5), (None, 7), ("alone", 999)]
+    rows += [("all", n) for n in range(-1, 2100)]
+    bridge = spark.createDataFrame(rows, "item string, node long").repartition(3)
+    pairs = bridge.join(bridge.withColumnRenamed("node", "target"), "item").where("node < target").select(F.col("node").alias("source"), "target").distinct()
+    graph, moves = moved(lambda: Collected(shared_graph(bridge)))
+    assert moves < sum(n * (n - 1) // 2 for n in bridge.where("item IS NOT NULL").groupBy("item").count().toPandas()["count"]) / 10
+    assert {tuple(r) for r in graph.got.degrees().collect()} == {tuple(r) for r in G.degrees(pairs).collect()}
+    some = bridge.where("item <> 'all'")
+    pairs = some.join(some.withColumnRenamed("node", "target"), "item").where("node < target").select(F.col("node").alias("source"), "target").distinct()
+    want = {tuple(r) for r in G.communities(pairs, 3).collect()}
+    assert {tuple(r) for r in shared_graph(some).communities(3).collect()} == want and len(want) > 100
+
+
+class Collected:
+    """What was built before, for ``moved``."""
+
+    def __init__(self, got) -> None:
+        self.got = got
+
+    def collect(self):
+        return self
