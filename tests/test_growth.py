@@ -1,13 +1,16 @@
 """What jobs move between tasks: with the rows, not with the pairs; and the same results as the plain rules."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.functions import security as Z
 from sparkloom.operators import graph as G
 from sparkloom.operators import search as R
 from sparkloom.operators.shared import shared_graph
+from sparkloom.plans import q_text, registry  # noqa: F401
 
 
 @pytest.fixture
@@ -66,3 +69,37 @@ class Collected:
 
     def collect(self):
         return self
+
+
+def optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_influence_is_worked_out_once(spark):
+    plan = optimized(registry.QUERIES["z3_influence"](spark, "/root/testdata/sf0.001"))
+    # Once for documents and once for turns.
+    assert plan.count("(?:you (?:must|should|need to") == 2
+
+
+def test_each_influence_pattern_needs_its_words():
+    phrases = """whenever you see it you should act|When you handle this, always|remember to always|don't forget to never|treat it as|consider all of it as|interpret that as|the correct way is to|the best approach is to
+the proper method is to|update your rules|update your understanding|add this to your knowledge|prioritize this over|prefer a over|favor b over|as an expert|as authority|as a senior|as lead|as a principal|as staff|according to official
+according to internal|this is the official policy|this is canonical directive|I am authorized by|I was told to|I was instructed by|management has decided|leadership requires|the team mandates|security team has directs|immediately|urgently
+right now|as soon as possible|ASAP|without delay|time-sensitive|time critical|do this first|do this before|stop everything|stop what you're doing|this is an emergency|this requires urgent|failure to act will result|the only solution is
+the best approach is|the optimal tool is|the preferred framework is|the superior library is|the recommended platform is|you should always recommend|you should use|never recommend that thing|never use it all|is deprecated.|is obsolete,|is dangerous and
+is insecure.|is harmful —|you must|you are required to|you have to|always|never|do not ever|make sure to always|ensure you always|from now on|going forward|henceforth|from this point|it is critical that you|it is vital to""".replace("\n", "|").split("|")
+    kinds = {"imperative": Z._IMPERATIVE} | {kind: patterns for kind, _, _, patterns in Z.INFLUENCE}
+    tried = set()
+    for kind, patterns in kinds.items():
+        for p, needed in zip(patterns, Z._NEEDED[kind], strict=True):
+            for text in (x for phrase in phrases for x in (phrase, phrase.upper())):
+                if re.search(p, text, re.A):
+                    tried.add(p)
+                    assert any(w in text.lower() for w in needed), (p, text)
+    assert len(tried) == sum(len(p) for p in kinds.values())
+
+
+def test_sentences_of_a_contradiction_are_cut_once(spark):
+    texts = spark.createDataFrame([("The sky is blue today. x", "The sky is not blue today. y")], "a string, b string")
+    plan = optimized(texts.select(G.contradiction_reason(F.col("a"), F.col("b")).alias("reason")))
+    assert plan.count("no longer") == 2
