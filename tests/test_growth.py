@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import security as Z
 from sparkloom.operators import graph as G
+from sparkloom.operators import relational as L
 from sparkloom.operators import search as R
 from sparkloom.operators.shared import shared_graph
 from sparkloom.plans import q_text, registry  # noqa: F401
+from sparkloom.sources import ingest as I
 
 
 @pytest.fixture
@@ -103,3 +105,55 @@ def test_sentences_of_a_contradiction_are_cut_once(spark):
     texts = spark.createDataFrame([("The sky is blue today. x", "The sky is not blue today. y")], "a string, b string")
     plan = optimized(texts.select(G.contradiction_reason(F.col("a"), F.col("b")).alias("reason")))
     assert plan.count("no longer") == 2
+
+
+def test_cross_links_compare_sets_of_tags(spark, moved):
+    rng = random.Random(3)
+    tags = {i: set(rng.sample("abcdef", rng.randint(1, 4))) if i < 900 else set(rng.sample([f"t{k}" for k in range(40)], 5)) for i in range(1000)}
+    rows = spark.createDataFrame([(i, t) for i, own in tags.items() for t in own], "memory_id long, tag string").repartition(3)
+    got, rows_moved = moved(lambda: I.cross_links(rows, rows.where("memory_id % 3 = 0"), most=7))
+    want = set()
+    for a in range(0, 1000, 3):
+        others = sorted((-len(tags[a] & tags[b]), b) for b in tags if b != a and len(tags[a] & tags[b]) >= 2)
+        want |= {(a, b, r) for r, (_, b) in enumerate(others[:7], 1)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    pairs = sum(len(tags[a] & tags[b]) for a in range(0, 1000, 3) for b in tags if a != b)
+    assert rows_moved < pairs / 4
+
+
+def moments(spark, rng, n):
+    """Records at random microseconds of two hours or of few of them, some before 1970, some without a time or inactive."""
+    at = [rng.choice([rng.randrange(7_200_000_000), rng.randrange(30) * 300_000_000, -rng.randrange(3_600_000_000)]) for _ in range(n)]
+    rows = [(i, None if i % 97 == 5 else u, i % 11 != 3, round(rng.random(), 1)) for i, u in enumerate(at)]
+    made = spark.createDataFrame(rows, "id long, u long, is_active boolean, importance double").repartition(3)
+    return rows, made.withColumn("created_at", F.timestamp_micros("u"))
+
+
+def test_temporal_neighbours_meet_moments_not_records(spark, moved):
+    rows, made = moments(spark, random.Random(4), 1500)
+    got, rows_moved = moved(lambda: L.temporal_neighbours(made.where("id % 4 < 2"), made, 1, 4))
+    want, pairs = set(), 0
+    for i, u, _, _ in rows:
+        if i % 4 < 2 and u is not None:
+            near = sorted((abs(v - u), j) for j, v, live, _ in rows if live and v is not None and j != i and abs(v - u) <= 3_600_000_000)
+            pairs += len(near)
+            want |= {(i, j, r, gap / 1e6) for r, (gap, j) in enumerate(near[:4], 1)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert rows_moved < pairs / 8
+
+
+def test_preceding_days_are_put_together_of_blocks(spark, moved):
+    rng = random.Random(5)
+    rows = [(i, rng.choice([rng.randrange(-3 * 86_400_000_000, 20 * 86_400_000_000), rng.randrange(20) * 86_400_000_000]), round(rng.random(), 1)) for i in range(1600)]
+    made = spark.createDataFrame(rows, "id long, u long, importance double").repartition(3).withColumn("created_at", F.timestamp_micros("u"))
+    got, rows_moved = moved(lambda: L.preceding_week(made.where("id % 4 = 0"), made.where("id % 4 > 0"), 7, 6))
+    want, pairs = set(), 0
+    for i, t, _ in rows[::4]:
+        near = sorted((-w, j) for j, u, w in rows if j % 4 and t - 7 * 86_400_000_000 <= u < t)
+        pairs += len(near)
+        want |= {(i, j, r) for r, (_, j) in enumerate(near[:6], 1)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    # Without any two alike, these few records make more rows of blocks than pairs; of equal moments, far fewer.
+    same = made.withColumn("created_at", F.date_trunc("day", "created_at"))
+    _, few = moved(lambda: L.preceding_week(same.where("id % 4 = 0"), same.where("id % 4 > 0"), 7, 6))
+    assert few < pairs / 4
