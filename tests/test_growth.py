@@ -2,12 +2,15 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import security as Z
+from sparkloom.functions import text as X
 from sparkloom.operators import graph as G
+from sparkloom.operators import knowledge as K
 from sparkloom.operators import relational as L
 from sparkloom.operators import search as R
 from sparkloom.operators.shared import shared_graph
@@ -157,3 +160,43 @@ def test_preceding_days_are_put_together_of_blocks(spark, moved):
     same = made.withColumn("created_at", F.date_trunc("day", "created_at"))
     _, few = moved(lambda: L.preceding_week(same.where("id % 4 = 0"), same.where("id % 4 > 0"), 7, 6))
     assert few < pairs / 4
+
+
+def test_goals_with_the_same_keywords_are_met_once(spark, moved):
+    rng = random.Random(6)
+    titles = {g: " ".join(rng.sample(["grow", "edge", "ring", "bolt", "the", "an"], rng.randint(1, 4))) for g in range(300)} | {300: "the", 301: ""}
+    texts = {i: " ".join(rng.choices(["grow", "edge", "ring", "bolt", "other", "The"], k=4)) if i % 20 else None for i in range(400)}
+    goals = spark.createDataFrame([(g, title, "active" if g % 7 else "done") for g, title in titles.items()], "id long, title string, status string").repartition(3)
+    records = spark.createDataFrame(list(texts.items()), "id long, content string").repartition(3)
+    got, rows_moved = moved(lambda: K.relevant_goals(records, goals, 0.3))
+    want = {}
+    for i, text in texts.items():
+        for g, title in titles.items():
+            keys = {w for w in title.split() if len(w) >= 3 and w not in X.STOPWORDS}
+            share = len(keys & {w.lower() for w in (text or "").split()}) / max(1, len(keys))
+            if g % 7 and share >= 0.3:
+                want[i, g] = round(share, 6)
+    assert {(r.id, r.goal_id): r.share for r in got} == want and len(got) == len(want)
+    assert rows_moved < len(want) / 4
+
+
+@pytest.mark.parametrize("hot", [3, 10_000])
+def test_words_of_an_entity_move_by_record(spark, moved, monkeypatch, hot):
+    monkeypatch.setattr(K, "HOT", hot)
+    rng = random.Random(7)
+    vocabulary = [f"word{k}" for k in range(30)]
+    texts = {i: rng.sample(vocabulary, rng.randint(0, 12)) for i in range(200)}
+    bridge = [(i, e) for i in range(210) for e in rng.sample(range(40), 3)]
+    memories = spark.createDataFrame([(i, " ".join(w) if i % 30 else None, i % 9 > 0) for i, w in texts.items()], "id long, content string, is_active boolean").repartition(3)
+    made = spark.createDataFrame(bridge, "memory_id long, entity_id long").repartition(3)
+    entities = spark.range(45).select("id")
+    got, rows_moved = moved(lambda: K.entity_profiles(entities, made, memories))
+    want = {}
+    for e in range(45):
+        own = [i for i, x in bridge if x == e and i in texts and i % 9]
+        n = Counter(w for i in own if i % 30 for w in texts[i])
+        if own:
+            want[e] = (len(own), ",".join(sorted(n, key=lambda w: (-n[w], w))[:5]) or None)
+    assert {r.entity_id: (r.records, r.words) for r in got} == want
+    if hot > 3:
+        assert rows_moved < sum(len(texts.get(i, ())) for i, _ in bridge)
